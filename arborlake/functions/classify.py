@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from arborlake.functions.let import let
 from arborlake.functions.paths import suffix
 from arborlake.options import BINARY_SAMPLE_BYTES
 
@@ -56,56 +57,59 @@ SIGNATURES = (
 
 def by_suffix(name: Column) -> Column:
     """False for a text suffix, true for a binary one, null for any other."""
-    ext = suffix(name)
-    return F.when(ext.isin(*TEXT_SUFFIXES), F.lit(False)).when(
-        ext.isin(*BINARY_SUFFIXES), F.lit(True)
-    )
+    def decide(ext: Column) -> Column:
+        text = F.find_in_set(ext, F.lit(",".join(TEXT_SUFFIXES))) > 0
+        binary = F.find_in_set(ext, F.lit(",".join(BINARY_SUFFIXES))) > 0
+        return F.when(text, F.lit(False)).when(binary, F.lit(True))
+
+    return let(suffix(name), decide)
 
 
 def sample(content: Column) -> Column:
     return F.substring(content, 1, BINARY_SAMPLE_BYTES)
 
 
-def sample_counts(sampled: Column) -> dict[str, Column]:
-    """Byte counts of a sample. ISO-8859-1 gives one character per byte, so runs of other
-    bytes are dropped by one regular expression and the rest is measured."""
-    chars = F.decode(sampled, "ISO-8859-1")
-    total = F.octet_length(sampled).cast("long")
-    printable = F.length(
-        F.regexp_replace(chars, r"[^\x20-\x7E\t\n\f\r]+", "")
-    ).cast("long")
-    safe = F.length(F.regexp_replace(chars, r"[\x00-\x08\x0B\x0E-\x1F]+", "")).cast("long")
-    without_nul = F.length(F.replace(chars, F.lit("\x00"))).cast("long")
-    return {
-        "total": total,
-        "printable": printable,
-        "control": total - safe,
-        "nul": total - without_nul,
-    }
-
-
 def sample_statistics(sampled: Column) -> Column:
-    """Struct of the printable, control and NUL shares; (1, 0, 0) for no bytes."""
-    counts = sample_counts(sampled)
-    empty = counts["total"] == 0
-    size = F.greatest(counts["total"], F.lit(1)).cast("double")
-    return F.struct(
-        F.when(empty, F.lit(1.0)).otherwise(counts["printable"] / size).alias("printable"),
-        F.when(empty, F.lit(0.0)).otherwise(counts["control"] / size).alias("control"),
-        F.when(empty, F.lit(0.0)).otherwise(counts["nul"] / size).alias("nul"),
-    )
-
-
-def by_statistics(stats: Column, sampled: Column) -> Column:
+    """Struct of the printable, control and NUL shares, and whether two NULs stand together;
+    shares (1, 0, 0) for no bytes.
+
+    ISO-8859-1 gives one character per byte, so runs of other bytes are dropped by one regular
+    expression and the rest is measured.
+    """
+    def count(chars: Column) -> Column:
+        return F.struct(
+            F.length(chars).alias("total"),
+            F.length(F.regexp_replace(chars, r"[^\x20-\x7E\t\n\f\r]+", "")).alias("printable"),
+            F.length(F.regexp_replace(chars, r"[\x00-\x08\x0B\x0E-\x1F]+", "")).alias("safe"),
+            F.length(F.replace(chars, F.lit("\x00"))).alias("not_nul"),
+            F.contains(chars, F.lit("\x00\x00")).alias("two_nuls"),
+        )
+
+    def share(n: Column) -> Column:
+        size = F.greatest(n["total"], F.lit(1)).cast("double")
+        return F.when(n["total"].isNotNull(), F.struct(
+            F.when(n["total"] == 0, F.lit(1.0)).otherwise(n["printable"] / size)
+            .alias("printable"),
+            ((n["total"] - n["safe"]) / size).alias("control"),
+            ((n["total"] - n["not_nul"]) / size).alias("nul"),
+            n["two_nuls"].alias("two_nuls"),
+        ))
+
+    return let(F.decode(sampled, "ISO-8859-1"), lambda chars: let(count(chars), share))
+
+
+def by_statistics(stats: Column) -> Column:
     """Class by the byte shares alone; null where they leave it open."""
-    printable, control, nul = (stats[n] for n in ("printable", "control", "nul"))
-    two_nuls = F.position(F.lit(b"\x00\x00"), sampled) > 0
-    return (
-        F.when((nul > 0) & ((nul >= NUL_BINARY) | two_nuls), F.lit(True))
-        .when((control > CONTROL_BINARY) & (printable < PRINTABLE_WITH_CONTROL), F.lit(True))
-        .when((printable >= PRINTABLE_TEXT) & (control <= CONTROL_TEXT), F.lit(False))
-        .when(printable <= PRINTABLE_BINARY, F.lit(True))
-    )
+    def decide(s: Column) -> Column:
+        printable, control, nul = s["printable"], s["control"], s["nul"]
+        return (
+            F.when((nul > 0) & ((nul >= NUL_BINARY) | s["two_nuls"]), F.lit(True))
+            .when((control > CONTROL_BINARY) & (printable < PRINTABLE_WITH_CONTROL), F.lit(True))
+            .when((printable >= PRINTABLE_TEXT) & (control <= CONTROL_TEXT), F.lit(False))
+            .when(printable <= PRINTABLE_BINARY, F.lit(True))
+        )
+
+    return let(stats, decide)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -135,23 +139,30 @@ def by_charset(sampled: Column, needed: Column) -> Column:
 
 def mime_of(sampled: Column) -> Column:
     """Type announced by the leading bytes, empty content included; else the unknown type."""
-    found = F.when(F.octet_length(sampled) == 0, F.lit(TEXT_MIME_TYPES[0]))
-    for signature, mime in SIGNATURES:
-        head = F.substring(sampled, 1, len(signature) // 2)
-        found = found.when(head == F.lit(bytes.fromhex(signature)), F.lit(mime))
-    return found.otherwise(F.lit(UNKNOWN_MIME))
+    longest = max(len(signature) for signature, _ in SIGNATURES)
+
+    def look_up(head: Column) -> Column:
+        found = F.when(head == "", F.lit(TEXT_MIME_TYPES[0]))
+        for signature, mime in SIGNATURES:
+            found = found.when(F.startswith(head, F.lit(signature)), F.lit(mime))
+        return found.otherwise(F.lit(UNKNOWN_MIME))
+
+    return let(F.hex(F.substring(sampled, 1, longest // 2)), look_up)
 
 
 def by_mime(mime: Column) -> Column:
     """False for a textual type, null for the unknown one, true for any other."""
-    textual = mime.isin(*TEXT_MIME_TYPES)
-    for prefix in TEXT_MIME_PREFIXES:
-        textual = textual | F.startswith(mime, F.lit(prefix))
-    return (
-        F.when(mime.isNull() | (mime == ""), F.lit(None).cast("boolean"))
-        .when(textual, F.lit(False))
-        .when(mime != UNKNOWN_MIME, F.lit(True))
-    )
+    def decide(kind: Column) -> Column:
+        textual = kind.isin(*TEXT_MIME_TYPES)
+        for prefix in TEXT_MIME_PREFIXES:
+            textual = textual | F.startswith(kind, F.lit(prefix))
+        return (
+            F.when(kind.isNull() | (kind == ""), F.lit(None).cast("boolean"))
+            .when(textual, F.lit(False))
+            .when(kind != UNKNOWN_MIME, F.lit(True))
+        )
+
+    return let(mime, decide)
 
 
 def first_decision(*decisions: Column) -> Column:
@@ -159,12 +170,31 @@ def first_decision(*decisions: Column) -> Column:
     return F.coalesce(*decisions, F.lit(False))
 
 
-def is_binary(name: Column, content: Column, *, charset: bool = True) -> Column:
-    """The whole cascade. Content is only looked at where the suffix decides nothing."""
-    known = by_suffix(name)
-    sampled = F.when(known.isNull(), sample(content))
-    numeric = by_statistics(sample_statistics(sampled), sampled)
-    steps = [known, numeric]
-    if charset:
-        steps.append(by_charset(sampled, numeric.isNull() & sampled.isNotNull()))
-    return first_decision(*steps, by_mime(mime_of(sampled)))
+def with_is_binary(
+    df: DataFrame, *, charset: bool = True, unless: Column | None = None
+) -> DataFrame:
+    """Add ``is_binary`` by the whole cascade from ``filename`` and ``content``.
+
+    Content is only looked at where the suffix decides nothing (and ``unless`` does not hold).
+    """
+    df = df.withColumn("_known", by_suffix(F.col("filename")))
+    wanted = F.col("_known").isNull()
+    if unless is not None:
+        wanted = wanted & ~unless
+    df = df.withColumn("_sample", F.when(wanted, sample(F.col("content"))))
+    sampled = F.col("_sample")
+
+    def numeric(raw: Column) -> Column:
+        return by_statistics(sample_statistics(raw))
+
+    if not charset:
+        decision = let(
+            sampled, lambda raw: first_decision(numeric(raw), by_mime(mime_of(raw))))
+    else:
+        df = df.withColumn("_numeric", numeric(sampled))
+        open_case = F.col("_numeric").isNull() & sampled.isNotNull()
+        df = df.withColumn("_charset", by_charset(sampled, open_case))
+        decision = first_decision(
+            F.col("_numeric"), F.col("_charset"), by_mime(mime_of(sampled)))
+    return df.withColumn("is_binary", F.coalesce("_known", decision)).drop(
+        "_known", "_sample", "_numeric", "_charset")

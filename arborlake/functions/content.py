@@ -7,7 +7,7 @@ import hashlib
 import logging
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from arborlake.options import ENCODING_SAMPLE_BYTES
 
@@ -18,6 +18,7 @@ except ImportError:  # pragma: no cover - depends on the image
 
 log = logging.getLogger(__name__)
 # fixed values: hints that ask for detection
+_UTF8_NAMES = ("utf-8", "utf_8", "ascii")
 _AUTO_HINTS = ("", "auto", "automatic", "auto-detect", "autodetect", "detect")
 
 
@@ -57,57 +58,77 @@ def _is_ascii(raw: Column) -> Column:
     return ~F.decode(raw, "ISO-8859-1").rlike(r"[^\x00-\x7F]")
 
 
-def _complete_utf8(raw: Column) -> Column:
-    """A preview may end inside a character: judge it without its cut-off last character."""
+def _utf8_but_for_its_end(raw: Column) -> Column:
+    """A preview may end inside a character: judge it without up to three last bytes."""
     size = F.octet_length(raw)
-    verdict = _is_utf8(raw)
+    verdict = F.lit(False)
     for drop in (1, 2, 3):
         verdict = verdict | ((size > drop) & _is_utf8(F.substring(raw, F.lit(1), size - drop)))
     return verdict
 
 
-@F.pandas_udf(T.StringType())
-def _detect(samples: pd.Series) -> pd.Series:
+_GUESS = T.StructType([
+    T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType()),
+])
+
+
+@F.pandas_udf(_GUESS)
+def _guess_and_decode(raw: pd.Series, codec: pd.Series) -> pd.DataFrame:
+    """Codec (the given one, or the best guess over a sample) and decoded text.
+
+    Rows decided on the JVM arrive as null and come back as null.
+    """
     try:
         from charset_normalizer import from_bytes
     except ImportError:
-        return samples.map(lambda raw: None if raw is None else "utf-8")
+        from_bytes = None
 
-    def guess(raw):
-        if raw is None:
-            return None
-        best = from_bytes(raw).best()
+    def guess(data):
+        best = from_bytes(data[:ENCODING_SAMPLE_BYTES]).best() if from_bytes else None
         return best.encoding if best is not None and best.encoding else "utf-8"
 
-    return samples.map(guess, na_action=None)
-
-
-@F.pandas_udf(T.StringType())
-def _decode_as(raw: pd.Series, encoding: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if data is None or codec is None else bytes(data).decode(codec, errors="replace")
-        for data, codec in zip(raw, encoding)
-    ])
+    rows = []
+    for data, name in zip(raw, codec):
+        if data is None:
+            rows.append((None, None))
+        else:
+            name = name or guess(bytes(data))
+            rows.append((name, bytes(data).decode(name, errors="replace")))
+    return pd.DataFrame(rows, columns=["encoding", "text"], dtype="object")
 
 
-def detect_encoding(raw: Column, *, cut: bool | Column = False) -> Column:
-    """``ascii`` or ``utf_8`` decided on the JVM; only the rest goes to charset detection."""
+def encoding_on_jvm(raw: Column, cut: Column) -> Column:
+    """``ascii`` or ``utf_8`` where the encoding sample is one of them, else null."""
     sampled = F.substring(raw, 1, ENCODING_SAMPLE_BYTES)
-    shortened = (F.octet_length(raw) > ENCODING_SAMPLE_BYTES) | (
-        F.lit(cut) if isinstance(cut, bool) else cut
-    )
-    utf8 = _is_utf8(sampled) | (shortened & _complete_utf8(sampled))
-    easy = F.when(_is_ascii(sampled), F.lit("ascii")).when(utf8, F.lit("utf_8"))
-    return F.coalesce(easy, _detect(F.when(easy.isNull(), sampled)))
-
-
-def decode_text(raw: Column, encoding: Column) -> Column:
-    """Text with U+FFFD for what cannot be decoded; UTF-8 stays on the JVM."""
-    on_jvm = encoding.isin("ascii", "utf_8", "utf-8")
-    utf8 = F.make_valid_utf8(raw.cast("string"))
-    return F.when(on_jvm, utf8).otherwise(
-        _decode_as(F.when(~on_jvm, raw), F.when(~on_jvm, encoding))
-    )
+    shortened = cut | (F.octet_length(raw) > ENCODING_SAMPLE_BYTES)
+    utf8 = _is_utf8(sampled) | (shortened & _utf8_but_for_its_end(sampled))
+    return F.when(_is_ascii(sampled), F.lit("ascii")).when(utf8, F.lit("utf_8"))
+
+
+def with_decoded(
+    df: DataFrame, raw: str, *, hint: str | None = None, cut: Column | None = None
+) -> DataFrame:
+    """Add ``_encoding`` and ``_decoded`` (U+FFFD for what cannot be decoded).
+
+    UTF-8 and ASCII stay on the JVM. Only other bytes go to Python, in one Arrow pass that both
+    guesses and decodes; with a UTF-8 hint there is no such pass in the plan.
+    """
+    source = F.col(raw)
+    if hint in _UTF8_NAMES:
+        return df.withColumns({
+            "_encoding": F.when(source.isNotNull(), F.lit(hint)), "_decoded": decode_utf8(source)})
+    if hint is None:
+        cut = F.lit(False) if cut is None else cut
+        df = df.withColumn("_easy", encoding_on_jvm(source, cut))
+    else:
+        df = df.withColumn("_easy", F.lit(None).cast("string"))
+    other = F.when(F.col("_easy").isNull(), source)
+    df = df.withColumn("_guess", _guess_and_decode(other, F.lit(hint).cast("string")))
+    return df.withColumns({
+        "_encoding": F.coalesce("_easy", "_guess.encoding"),
+        "_decoded": F.when(F.col("_easy").isNotNull(), decode_utf8(source))
+        .otherwise(F.col("_guess.text")),
+    }).drop("_easy", "_guess")
 
 
 def decode_utf8(raw: Column) -> Column:

@@ -52,38 +52,29 @@ def _problem_text(files: DataFrame) -> Column:
 
 
 def tagged(files: DataFrame, options: ScanOptions) -> DataFrame:
-    """Add ``type`` and ``reason``: error, excluded, binary or text.
+    """Add ``type`` (error, excluded, binary or text) and ``reason``.
 
     Size is judged before content, and content only where the suffix leaves the class open.
     """
-    small_enough = ~size_excluded(F.col("size"), options)
-    binary = classify.is_binary(
-        F.col("filename"),
-        F.when(small_enough, F.col("content")),
-        charset=options.detect_charset,
-    )
-    skip_binary = F.lit(not options.include_binary)
-    read_error = _read_error(files)
-    return (
-        files.withColumn("is_binary", binary)
-        .withColumn(
-            "type",
-            F.when(F.col("stat_error").isNotNull(), F.lit("error"))
-            .when(~small_enough, F.lit("excluded"))
-            .when(read_error.isNotNull(), F.lit("error"))
-            .when(
-                skip_binary & (F.col("is_binary") | is_image(F.col("filename"), options)),
-                F.lit("excluded"),
-            )
-            .when(F.col("is_binary"), F.lit("binary"))
-            .otherwise(F.lit("text")),
-        )
-        .withColumn(
-            "reason",
-            F.when(F.col("type") == "excluded",
-                   F.when(~small_enough, F.lit("file_size")).otherwise(F.lit("binary_or_image"))),
-        )
+    large = size_excluded(F.col("size"), options)
+    rows = classify.with_is_binary(files, charset=options.detect_charset, unless=large)
+    skipped = F.col("is_binary") | is_image(F.col("filename"), options)
+    if options.include_binary:
+        skipped = F.lit(False)
+    tag = (
+        F.when(F.col("stat_error").isNotNull(), F.lit("error"))
+        .when(large, F.lit("file_size"))
+        .when(_read_error(files).isNotNull(), F.lit("error"))
+        .when(skipped, F.lit("binary_or_image"))
+        .when(F.col("is_binary"), F.lit("binary"))
+        .otherwise(F.lit("text"))
     )
+    reasons = F.lit("^(file_size|binary_or_image)$")
+    rows = rows.withColumn("_tag", tag)
+    return rows.withColumns({
+        "type": F.regexp_replace("_tag", reasons, F.lit("excluded")),
+        "reason": F.regexp_substr("_tag", reasons),
+    }).drop("_tag")
 
 
 def entries(
@@ -101,15 +92,12 @@ def entries(
     read = is_text | is_bin
     limit = F.when(is_text, F.lit(options.text_limit)).otherwise(F.lit(options.binary_limit))
     limit = limit.cast("long")
-    raw_text = F.when(is_text, fc.preview(F.col("content"), options.text_limit))
-    raw_binary = F.when(is_bin, fc.preview(F.col("content"), options.binary_limit))
-    cut = F.col("size") > options.text_limit
-    hint = fc.encoding_hint(options.encoding)
-    encoding = F.lit(hint) if hint else fc.detect_encoding(raw_text, cut=cut)
-    rows = rows.withColumn("_raw", raw_text).withColumn(
-        "encoding", F.when(is_text, encoding).when(is_bin, F.lit("base64"))
+    rows = rows.withColumn("_text", F.when(is_text, fc.preview(F.col("content"), options.text_limit)))
+    rows = fc.with_decoded(
+        rows, "_text", hint=fc.encoding_hint(options.encoding),
+        cut=F.col("size") > options.text_limit,
     )
-    text = fc.decode_text(F.col("_raw"), F.when(is_text, F.col("encoding")))
+    raw_binary = F.when(is_bin, fc.preview(F.col("content"), options.binary_limit))
     if not options.hash_algorithm:
         digest = F.lit(None).cast("string")
     elif "digest" in files.columns:
@@ -125,8 +113,8 @@ def entries(
         "filename",
         "type",
         "reason",
-        "encoding",
-        F.when(is_text, text)
+        F.when(is_text, F.col("_encoding")).when(is_bin, F.lit("base64")).alias("encoding"),
+        F.when(is_text, F.col("_decoded"))
         .when(is_bin, fc.base64_text(raw_binary))
         .when(failed, _problem_text(files))
         .alias("content"),

@@ -96,26 +96,38 @@ def metric_rows(runs: DataFrame, summary_columns: tuple[str, ...] = ()) -> DataF
     return runs.select("identifier", F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
 
 
+def _cells(summary_columns: tuple[str, ...]) -> list[tuple[str, Column]]:
+    """Comparison metrics of a run row, in order: metadata, then the summary by name."""
+    return _metadata_cells() + [
+        (f"Summary: {name}", F.col(name).cast("string")) for name in sorted(summary_columns)
+    ]
+
+
 def compare_metrics(
     runs: DataFrame, pairs: DataFrame, summary_columns: tuple[str, ...] = ()
 ) -> DataFrame:
     """Both values of every metric for pairs ``left_id, right_id``; '' where one side has none.
 
-    Each metric row is sent to the pairs it takes part in, then one grouping joins the sides:
-    the keys are (pair, metric), so no run and no pair is gathered as a whole.
+    The runs are joined to the pairs as rows and unpivoted side by side afterwards, so metrics
+    are neither shuffled nor grouped.
     """
-    rows = metric_rows(runs, summary_columns)
-    label = F.when(F.col("section") == 1, F.concat(F.lit("Summary: "), F.col("metric"))).otherwise(
-        F.col("metric")
-    )
-    rows = rows.select("identifier", label.alias("metric"), "value")
-    left = pairs.join(rows, pairs["left_id"] == rows["identifier"]).select(
-        "left_id", "right_id", "metric", F.col("value").alias("left"), F.lit("").alias("right"))
-    right = pairs.join(rows, pairs["right_id"] == rows["identifier"]).select(
-        "left_id", "right_id", "metric", F.lit("").alias("left"), F.col("value").alias("right"))
-    return left.unionByName(right).groupBy("left_id", "right_id", "metric").agg(
-        F.max("left").alias("left"), F.max("right").alias("right")
-    )
+    names = [name for name, _ in _cells(summary_columns)]
+
+    def side(key: str, prefix: str) -> DataFrame:
+        values = [v.alias(f"{prefix}{i}") for i, (_, v) in enumerate(_cells(summary_columns))]
+        return runs.select(F.col("identifier").alias(key), *values)
+
+    joined = pairs.join(side("left_id", "_l"), "left_id").join(side("right_id", "_r"), "right_id")
+    cells = F.array(*[
+        F.struct(
+            F.lit(name).alias("metric"),
+            F.coalesce(f"_l{i}", F.lit("")).alias("left"),
+            F.coalesce(f"_r{i}", F.lit("")).alias("right"),
+            F.coalesce(f"_l{i}", f"_r{i}").isNotNull().alias("_known"),
+        )
+        for i, name in enumerate(names)
+    ])
+    return joined.select("left_id", "right_id", F.inline(cells)).filter("_known").drop("_known")
 
 
 def metric_names(runs: DataFrame, summary_columns: tuple[str, ...] = ()) -> DataFrame:
@@ -189,8 +201,16 @@ def report_lines(runs: DataFrame, summary_columns: tuple[str, ...] = ()) -> Data
 
 
 def report_text(runs: DataFrame, summary_columns: tuple[str, ...] = ()) -> DataFrame:
-    """The whole report of each run as one text; a run has a handful of lines."""
-    ordered = F.sort_array(F.collect_list(F.struct("section", "position", "line")))
-    return report_lines(runs, summary_columns).groupBy("identifier").agg(
-        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("report")
-    )
+    """The whole report of each run as one text, made from its row without any grouping."""
+    def lines(cells: list[tuple[str, Column]], start: str) -> list[Column]:
+        return [
+            F.when(value.isNotNull(), F.concat(F.lit(f"{start}{name}: "), value))
+            for name, value in cells
+        ]
+
+    overview = lines(_metadata_cells(), "")
+    metrics = [(name, F.col(name).cast("string")) for name in sorted(summary_columns)]
+    known = F.coalesce(*[value for _, value in metrics], F.lit(None)).isNotNull()
+    title = F.when(known, F.lit("\nSummary metrics:"))
+    return runs.select(
+        "identifier", F.concat_ws("\n", *overview, title, *lines(metrics, "- ")).alias("report"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,13 +14,21 @@ from arborlake.options import ScanOptions
 from arborlake.schema import ENTRIES, ENTRY_COLUMNS
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """Lazy results of one run."""
+    """Results of one run; each plan is made when it is first asked for."""
 
-    rows: DataFrame
-    entries: DataFrame
-    options: ScanOptions
+    def __init__(self, files: DataFrame, options: ScanOptions):
+        self.options = options
+        self.reached = analysis.traversed(files, options)
+
+    @functools.cached_property
+    def rows(self) -> DataFrame:
+        """All reached files with ``name_excluded``, ``type`` and ``reason``."""
+        return analysis.tagged(self.reached, self.options)
+
+    @functools.cached_property
+    def entries(self) -> DataFrame:
+        return analysis.entries(self.reached.filter(~F.col("name_excluded")), self.options)
 
     def summary(self, *, stopped_early: bool = False) -> DataFrame:
         """Counts over all reached files; content is needed for undecided suffixes only."""
@@ -34,13 +43,7 @@ class Analysis:
 
 def analyse(files: DataFrame, options: ScanOptions) -> Analysis:
     """``files`` has the FILES columns and ``content``."""
-    reached = analysis.traversed(files, options)
-    included = reached.filter(~F.col("name_excluded"))
-    return Analysis(
-        rows=analysis.tagged(reached, options),
-        entries=analysis.entries(included, options),
-        options=options,
-    )
+    return Analysis(files, options)
 
 
 @dataclass(frozen=True)

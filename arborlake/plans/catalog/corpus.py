@@ -301,9 +301,9 @@ def sample_statistics(spark, sf_dir):
 
 @query("sample_decision", "SELECT path, by_statistics AS is_binary FROM decisions_v")
 def sample_decision(spark, sf_dir):
-    sampled = classify.sample(F.col("content"))
-    decision = classify.by_statistics(classify.sample_statistics(sampled), sampled)
-    return views.files(spark, sf_dir).select("path", decision.alias("is_binary"))
+    stats = classify.sample_statistics(classify.sample(F.col("content")))
+    return views.files(spark, sf_dir).select(
+        "path", classify.by_statistics(stats).alias("is_binary"))
 
 
 @query("mime_decision", """SELECT path, mime, CASE WHEN mime LIKE 'text/%'
@@ -326,24 +326,22 @@ def mime_decision(spark, sf_dir):
 
 @query("is_binary_cascade", "SELECT path, is_binary FROM decisions_v")
 def is_binary_cascade(spark, sf_dir):
-    decision = classify.is_binary(F.col("filename"), F.col("content"), charset=False)
-    return views.files(spark, sf_dir).select("path", decision.alias("is_binary"))
+    return classify.with_is_binary(views.files(spark, sf_dir), charset=False).select(
+        "path", "is_binary")
 
 
 @query("text_default", """SELECT path, coalesce(by_suffix, by_statistics, false) AS is_binary
   FROM decisions_v""")
 def text_default(spark, sf_dir):
-    sampled = classify.sample(F.col("content"))
     decision = classify.first_decision(
         classify.by_suffix(F.col("filename")),
-        classify.by_statistics(classify.sample_statistics(sampled), sampled))
+        classify.by_statistics(classify.sample_statistics(classify.sample(F.col("content")))))
     return views.files(spark, sf_dir).select("path", decision.alias("is_binary"))
 
 
 @query("classify_with_charset")
 def classify_with_charset(spark, sf_dir):
-    decision = classify.is_binary(F.col("filename"), F.col("content"))
-    return views.files(spark, sf_dir).select("path", decision.alias("is_binary"))
+    return classify.with_is_binary(views.files(spark, sf_dir)).select("path", "is_binary")
 
 
 # ---- content -------------------------------------------------------------------------------
@@ -352,8 +350,8 @@ def classify_with_charset(spark, sf_dir):
 @query("detect_encoding", """SELECT path, CASE WHEN size = length(text) THEN 'ascii'
   ELSE 'utf_8' END AS encoding FROM files_v""")
 def detect_encoding(spark, sf_dir):
-    return views.files(spark, sf_dir).select(
-        "path", content.detect_encoding(F.col("content")).alias("encoding"))
+    return content.with_decoded(views.files(spark, sf_dir), "content").select(
+        "path", F.col("_encoding").alias("encoding"))
 
 
 @query("decode_text", "SELECT path, text AS content FROM files_v")
@@ -366,8 +364,9 @@ def decode_text(spark, sf_dir):
 def decode_by_codec(spark, sf_dir):
     """Texts stored as UTF-16 and read back through the codec path."""
     raw = F.encode("text", "UTF-16LE")
-    return views.files(spark, sf_dir).select("path", "text").select(
-        "path", content.decode_text(raw, F.lit("utf-16-le")).alias("content"))
+    files = views.files(spark, sf_dir).select("path", raw.alias("raw"))
+    return content.with_decoded(files, "raw", hint="utf-16-le").select(
+        "path", F.col("_decoded").alias("content"))
 
 
 @query("base64_preview", "SELECT path, base64(encode(text)) AS content FROM files_v")
