@@ -48,6 +48,8 @@ def analyse(files: DataFrame, options: ScanOptions) -> Analysis:
 
 @dataclass(frozen=True)
 class Incremental:
+    """``entries`` is both parts together, with ``mtime_us`` and the flag ``from_state``."""
+
     entries: DataFrame
     reused: DataFrame
     processed: DataFrame
@@ -86,6 +88,8 @@ def analyse_incremental(
     fresh = load_content(cache.misses(in_size, stored, "stat"))
     unread = reached.filter(too_large).withColumn("content", F.lit(None).cast("binary"))
     processed = analysis.entries(
-        fresh.unionByName(unread.select(*fresh.columns)), options, keep=["mtime_us"]
+        fresh.unionByName(unread, allowMissingColumns=True), options, keep=["mtime_us"]
     )
-    return Incremental(reused.unionByName(processed), reused, processed)
+    both = reused.withColumn("from_state", F.lit(True)).unionByName(
+        processed.withColumn("from_state", F.lit(False)))
+    return Incremental(both, reused, processed)

@@ -52,10 +52,10 @@ class _Walker:
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
-        self.folders = frozenset(json.loads(options.get("excludedFolders", "[]")))
-        self.follow = str(options.get("followSymlinks", "false")).lower() == "true"
+        self.folders = frozenset(json.loads(options.get("excludedfolders", "[]")))
+        self.follow = str(options.get("followsymlinks", "false")).lower() == "true"
         self.rules = []
-        for rule in json.loads(options.get("excludePatterns", "[]")):
+        for rule in json.loads(options.get("excludepatterns", "[]")):
             expression = rule[6:] if rule.startswith("regex:") else fnmatch.translate(rule)
             try:
                 self.rules.append(re.compile(expression))
@@ -150,7 +150,7 @@ def _plan(walker: _Walker, options: dict, **window) -> list[_Share]:
 
 class FileTreeReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = options
 
     def partitions(self):
         return _plan(_Walker(self.options), self.options)
@@ -164,12 +164,14 @@ class FileTreeStreamReader(DataSourceStreamReader):
 
     A batch covers the times up to ``settleSeconds`` (default 2) before now, so that a file still
     being written is left to a later batch. ``maxWindowSeconds`` bounds one batch after a pause.
+    Time always moves on, so every trigger lists the tree once, also when nothing changed: run it
+    with ``availableNow`` or a ``processingTime`` that suits the size of the tree.
     """
 
     def __init__(self, options: dict):
-        self.options = dict(options)
-        self.settle_us = int(float(options.get("settleSeconds", 2)) * 1_000_000)
-        self.window_us = int(float(options.get("maxWindowSeconds", 0)) * 1_000_000)
+        self.options = options
+        self.settle_us = int(float(options.get("settleseconds", 2)) * 1_000_000)
+        self.window_us = int(float(options.get("maxwindowseconds", 0)) * 1_000_000)
         self._last_us = 0
 
     def initialOffset(self):
@@ -204,10 +206,14 @@ class FileTreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return FileTreeReader(self.options)
+        return FileTreeReader(self._plain_options())
 
     def streamReader(self, schema):
-        return FileTreeStreamReader(self.options)
+        return FileTreeStreamReader(self._plain_options())
+
+    def _plain_options(self) -> dict:
+        """Option names are case-insensitive to the user; tasks get them in lower case."""
+        return {name.lower(): value for name, value in self.options.items()}
 
 
 def register(spark: SparkSession) -> None:

@@ -12,6 +12,7 @@ from arborlake.operators import analysis, cache, summary
 from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
 from arborlake.schema import ENTRIES
+from arborlake.session import materialise
 from arborlake.sources.state_table import StateTable
 
 log = logging.getLogger(__name__)
@@ -107,18 +108,14 @@ def reanalyse(
     to the state under the batch id. A repeated batch overwrites its own output and is not
     applied twice.
     """
-    name = state.path
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = latest_of_batch(batch)
-        result = analyse_incremental(batch, state.read(), options, load_content)
+        # metadata only, and written once: listing a tree again could give other rows
+        listed = materialise(latest_of_batch(batch), "listed")
+        result = analyse_incremental(listed, state.read(), options, load_content)
         target = f"{path}/batch={batch_id}"
         result.entries.write.mode("overwrite").parquet(target)
-        written = batch.sparkSession.read.parquet(target)
-        fresh = written.join(
-            cache.misses(batch.select("path", "size", "mtime_us"), state.read()).select("path"),
-            "path", "left_semi")
-        state.upsert(stored_form(fresh), f"{name}:{batch_id}")
+        written = batch.sparkSession.read.schema(result.entries.schema).parquet(target)
+        state.upsert(stored_form(written.filter("NOT from_state")), f"{checkpoint}:{batch_id}")
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint)

@@ -44,8 +44,9 @@ def rolling_buffer(
     third of all rows is not handled by one task, as keyed streaming state would do.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        merged = state.read().unionByName(batch.select(*state.read().columns))
-        state.replace(buffered(merged, n), f"{state.path}:{batch_id}")
+        held = state.read()
+        merged = held.unionByName(batch.select(*held.columns))
+        state.replace(buffered(merged, n), f"{checkpoint}:{batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)

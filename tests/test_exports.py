@@ -82,7 +82,7 @@ def test_json_array(spark, run, tmp_path):
 def test_jsonl(run, tmp_path, remove):
     path = str(tmp_path / "out")
     sinks.write("jsonl", run.entries, path, summary=run.summary(), remove_empty_fields=remove)
-    rows = {r["path"]: r for r in map(json.loads, text_of(path).splitlines())}
+    rows = {r["path"]: r for r in map(json.loads, text_of(path).strip("\n").split("\n"))}
     assert set(rows) == set(CONTENTS)
     assert rows["top.py"]["content"] == "print()" and len(rows["top.py"]["hash"]) == 32
     assert ("created" in rows["top.py"]) is not remove

@@ -130,10 +130,9 @@ def test_stream_sees_new_files_once(spark, tree, tmp_path):
 
     def once():
         time.sleep(0.3)
-        query = stream.writeStream.format("parquet").option(
+        query = stream.writeStream.format("parquet").trigger(availableNow=True).option(
             "checkpointLocation", f"{work}/cp").start(f"{work}/out")
-        query.processAllAvailable()
-        query.stop()
+        assert query.awaitTermination(60)
         return sorted(r["path"] for r in spark.read.parquet(f"{work}/out").collect())
 
     first = once()
