@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -24,16 +25,23 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+@functools.cache
+def _own_work_dir() -> str:
+    return tempfile.mkdtemp(prefix="arborlake-")
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    Only a session without that setting (a local test) gets a temporary folder of its own; a
+    cluster has to name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="arborlake-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_work_dir()
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:
