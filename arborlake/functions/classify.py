@@ -77,13 +77,18 @@ def sample_statistics(sampled: Column) -> Column:
     expression and the rest is measured.
     """
     def count(chars: Column) -> Column:
-        return F.struct(
-            F.length(chars).alias("total"),
+        total = F.length(chars)
+        clean = F.struct(
+            total.alias("total"), total.alias("printable"), total.alias("safe"),
+            total.alias("not_nul"), F.lit(False).alias("two_nuls"))
+        measured = F.struct(
+            total.alias("total"),
             F.length(F.regexp_replace(chars, r"[^\x20-\x7E\t\n\f\r]+", "")).alias("printable"),
             F.length(F.regexp_replace(chars, r"[\x00-\x08\x0B\x0E-\x1F]+", "")).alias("safe"),
             F.length(F.replace(chars, F.lit("\x00"))).alias("not_nul"),
             F.contains(chars, F.lit("\x00\x00")).alias("two_nuls"),
         )
+        return F.when(chars.rlike(r"[^\x20-\x7E\t\n\f\r]"), measured).otherwise(clean)
 
     def share(n: Column) -> Column:
         size = F.greatest(n["total"], F.lit(1)).cast("double")

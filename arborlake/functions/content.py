@@ -9,6 +9,7 @@ import logging
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from arborlake.functions.let import let
 from arborlake.options import ENCODING_SAMPLE_BYTES
 
 try:
@@ -36,7 +37,7 @@ def truncated(size: Column, limit: int) -> Column:
 
 def base64_text(raw: Column) -> Column:
     """Base64 on one line (the built-in breaks lines every 76 characters)."""
-    return F.regexp_replace(F.base64(raw), r"[\r\n]", "")
+    return F.replace(F.base64(raw), F.lit("\r\n"))
 
 
 def encoding_hint(hint: str | None) -> str | None:
@@ -54,10 +55,6 @@ def _is_utf8(raw: Column) -> Column:
     return F.is_valid_utf8(raw.cast("string"))
 
 
-def _is_ascii(raw: Column) -> Column:
-    return ~F.decode(raw, "ISO-8859-1").rlike(r"[^\x00-\x7F]")
-
-
 def _utf8_but_for_its_end(raw: Column) -> Column:
     """A preview may end inside a character: judge it without up to three last bytes."""
     size = F.octet_length(raw)
@@ -99,10 +96,17 @@ def _guess_and_decode(raw: pd.Series, codec: pd.Series) -> pd.DataFrame:
 
 def encoding_on_jvm(raw: Column, cut: Column) -> Column:
     """``ascii`` or ``utf_8`` where the encoding sample is one of them, else null."""
-    sampled = F.substring(raw, 1, ENCODING_SAMPLE_BYTES)
     shortened = cut | (F.octet_length(raw) > ENCODING_SAMPLE_BYTES)
-    utf8 = _is_utf8(sampled) | (shortened & _utf8_but_for_its_end(sampled))
-    return F.when(_is_ascii(sampled), F.lit("ascii")).when(utf8, F.lit("utf_8"))
+
+    def decide(sampled: Column) -> Column:
+        one_byte_each = F.length(sampled.cast("string")) == F.octet_length(sampled)
+        return (
+            F.when(_is_utf8(sampled) & one_byte_each, F.lit("ascii"))
+            .when(_is_utf8(sampled), F.lit("utf_8"))
+            .when(shortened & _utf8_but_for_its_end(sampled), F.lit("utf_8"))
+        )
+
+    return let(F.substring(raw, 1, ENCODING_SAMPLE_BYTES), decide)
 
 
 def with_decoded(
