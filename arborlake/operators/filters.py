@@ -11,6 +11,19 @@ from arborlake.functions.paths import suffix
 from arborlake.options import ScanOptions
 
 
+# fixed values: the sentences of the filter preview
+FOLDER_REASON = "Matches excluded folder '{}'."
+NAME_REASON = "Matches excluded filename '{}'."
+REGEX_REASON = "Matches regex pattern '{}'."
+GLOB_REASON = "Matches glob pattern '{}'."
+IMAGE_REASON = "Tagged as image asset via extension '{}'."
+KEPT_REASON = "No exclusion matched. This path will be analysed."
+
+
+def _sentence(form: str, value: Column) -> Column:
+    return F.replace(F.lit(form), F.lit("{}"), value)
+
+
 def in_excluded_folder(parent: Column, folders: Sequence[str]) -> Column:
     """True when any directory above the file has one of the names (exact, case-sensitive)."""
     if not folders:
@@ -64,39 +77,36 @@ def preview_reason(path: Column, options: ScanOptions) -> Column:
         if folder:
             folder = folder.lower()
             reason = reason.when(
-                F.array_contains(parts, folder), F.lit(f"Matches excluded folder '{folder}'.")
+                F.array_contains(parts, folder), F.lit(FOLDER_REASON.format(folder))
             )
     names = [n.lower() for n in options.excluded_files]
     if names:
         reason = reason.when(
             (name != "") & name.isin(*names),
-            F.concat(F.lit("Matches excluded filename '"), name, F.lit("'.")),
+            _sentence(NAME_REASON, name),
         )
     for rule in options.exclude_patterns:
         if rule.startswith(patterns.REGEX_PREFIX):
             body = rule[len(patterns.REGEX_PREFIX):]
             reason = reason.when(
                 patterns.matches_regex(path, body, anchored=False),
-                F.lit(f"Matches regex pattern '{body}'."),
+                F.lit(REGEX_REASON.format(body)),
             )
         elif rule:
             reason = reason.when(
                 patterns.matches_glob(path, rule) | patterns.matches_glob(name, rule),
-                F.lit(f"Matches glob pattern '{rule}'."),
+                F.lit(GLOB_REASON.format(rule)),
             )
     ext = suffix(name)
     images = [e.lower() for e in options.image_extensions]
     if images:
         reason = reason.when(
             (ext != "") & ext.isin(*images),
-            F.concat(F.lit("Tagged as image asset via extension '"), ext, F.lit("'.")),
+            _sentence(IMAGE_REASON, ext),
         )
     return reason.otherwise(F.lit(KEPT_REASON))
 
 
-KEPT_REASON = "No exclusion matched. This path will be analysed."
-
-
 def filter_preview(files: DataFrame, options: ScanOptions) -> DataFrame:
     reasoned = files.withColumn("reason", preview_reason(F.col("path"), options))
     return reasoned.withColumn("excluded", F.col("reason") != KEPT_REASON)

@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from arborlake.functions import display
 
 
+# fixed values: the three status sentences
+OF_TOTAL = "{} Processed %d of %d files (%d%% complete)"
+WITHOUT_TOTAL = "{} Processed %d files before stopping"
+NOTHING_DONE = "{} No files were processed"
+
+
 def counters(rows: DataFrame) -> DataFrame:
     """Walk counters: ``included`` before any size or binary tag, ``excluded`` by name only."""
     return rows.agg(
@@ -109,12 +115,11 @@ def progress_message(prefix: str, current: Column, total: Column) -> Column:
         F.when(
             total > 0,
             F.format_string(
-                f"{prefix} Processed %d of %d files (%d%% complete)",
-                current, total, progress_percent(current, total),
+                OF_TOTAL.format(prefix), current, total, progress_percent(current, total),
             ),
         )
-        .when(current > 0, F.format_string(f"{prefix} Processed %d files before stopping", current))
-        .otherwise(F.lit(f"{prefix} No files were processed"))
+        .when(current > 0, F.format_string(WITHOUT_TOTAL.format(prefix), current))
+        .otherwise(F.lit(NOTHING_DONE.format(prefix)))
     )
 
 

@@ -103,16 +103,19 @@ def validate_export(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min("place").alias("start"),
         F.min(F.when(F.col("fault").isNotNull(), F.struct("place", "fault"))).alias("first"))
-    # one row per block of the export
-    blocks = per_block.orderBy("file", "block").collect()
-    before = 0
+    blocks = materialise(per_block, "validated")
+    place = F.struct("file", "block")
+    bad = blocks.filter(F.col("first").isNotNull()).agg(
+        F.min(F.struct(place.alias("at"), "start", "first")).alias("bad")).first()["bad"]
+    total = blocks.agg(F.sum("n")).first()[0] or 0
     reason = None
-    for row in blocks:
-        if reason is None and row["first"] is not None:
-            index = before + row["first"]["place"] - row["start"]
-            reason = row["first"]["fault"].replace("%", str(index))
-        before += row["n"]
-    if before == 0:
+    if total == 0:
         reason = "decoded payload is empty"
+    elif bad is not None:
+        file, block = bad["at"]
+        earlier = (F.col("file") < file) | ((F.col("file") == file) & (F.col("block") < block))
+        before = blocks.filter(earlier).agg(F.sum("n")).first()[0] or 0
+        index = before + bad["first"]["place"] - bad["start"]
+        reason = bad["first"]["fault"].replace("%", str(index))
     return spark.createDataFrame(
-        [(reason is None, before, reason)], "is_valid BOOLEAN, records BIGINT, reason STRING")
+        [(reason is None, total, reason)], "is_valid BOOLEAN, records BIGINT, reason STRING")
