@@ -10,15 +10,18 @@ _MIN_EPOCH = -62135596800
 _MAX_EPOCH = 253402300799
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def utc_of_micros(micros: Column) -> Column:
     """Zone-less UTC timestamp, whatever the session time zone is."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_add("MICROSECOND", micros, epoch)
+    return F.timestamp_add("MICROSECOND", micros, _epoch())
 
 
 def micros_of(ts: Column) -> Column:
-    """Microseconds of a zone-less timestamp taken as UTC (session time zone must be UTC)."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds of a zone-less timestamp taken as UTC."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
 
 
 def iso_micros(micros: Column, zone: str | Column = "UTC") -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from arborlake.functions.content import algorithm_used
+from arborlake.functions.content import algorithm_used, content_hash
 from arborlake.operators import analysis, cache, summary
 from arborlake.options import ScanOptions
 from arborlake.schema import ENTRIES, ENTRY_COLUMNS
@@ -64,6 +64,13 @@ def stored_form(entries: DataFrame) -> DataFrame:
     )
 
 
+def _hashed(files: DataFrame, options: ScanOptions) -> DataFrame:
+    if "digest" in files.columns:
+        return files.withColumn("file_hash", F.col("digest"))
+    return files.withColumn(
+        "file_hash", content_hash(F.col("content"), options.hash_algorithm or "xxh64"))
+
+
 def analyse_incremental(
     files: DataFrame,
     stored: DataFrame,
@@ -73,19 +80,25 @@ def analyse_incremental(
     """Reuse stored results of unchanged files and read only the others.
 
     ``files`` is metadata only. ``load_content`` adds ``content`` to the rows it is given (see
-    ``sources.content``); it gets the misses alone, so unchanged files are never opened.
+    ``sources.content``); it gets the misses alone, so unchanged files are never opened. With
+    ``cache_validate="hash"`` every file within the size limit is read, as its hash is compared.
     """
     reached = analysis.traversed(files, options).filter(~F.col("name_excluded"))
     too_large = analysis.size_excluded(F.col("size"), options)
     in_size = reached.filter(~too_large)
-    hits = cache.hits(in_size, stored, "stat")
+    if options.cache_validate == "hash":
+        in_size = _hashed(load_content(in_size), options)
+        hits = cache.hits(in_size.drop("content", "digest", "read_error"), stored, "hash")
+        fresh = cache.misses(in_size, stored, "hash").drop("file_hash")
+    else:
+        hits = cache.hits(in_size, stored, options.cache_validate)
+        fresh = load_content(cache.misses(in_size, stored, options.cache_validate))
     parsed = F.from_json("file_info", ENTRIES)
     reused = hits.withColumn("_info", parsed).select(
         *["path" if n == "path" else F.col("file_hash").alias("hash") if n == "hash"
           else F.col(f"_info.{n}").alias(n) for n in ENTRY_COLUMNS],
         "mtime_us",
     )
-    fresh = load_content(cache.misses(in_size, stored, "stat"))
     unread = reached.filter(too_large).withColumn("content", F.lit(None).cast("binary"))
     processed = analysis.entries(
         fresh.unionByName(unread, allowMissingColumns=True), options, keep=["mtime_us"]

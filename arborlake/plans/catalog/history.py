@@ -37,8 +37,8 @@ def run_summary(spark, sf_dir):
       count(*) FILTER (lang = 'de') AS failed_files FROM documents GROUP BY source) d
     LEFT JOIN (SELECT source, count(*) AS included_files,
       CASE WHEN min(quality) = 1 THEN count(*) END AS processed_files,
-      CASE WHEN max(toxic) = 1 THEN sum(toxic) END AS failed_files,
-      CASE WHEN max(toxic) = 1 THEN sum(1 - quality) END AS excluded_files,
+      CASE WHEN max(toxic) = 1 THEN CAST(sum(toxic) AS BIGINT) END AS failed_files,
+      CASE WHEN max(toxic) = 1 THEN CAST(sum(1 - quality) AS BIGINT) END AS excluded_files,
       CASE WHEN min(quality) = 0 THEN count(*) * 2 END AS total_files
       FROM labels JOIN documents USING (doc_id) GROUP BY source) s USING (source)""")
 def summary_with_defaults(spark, sf_dir):

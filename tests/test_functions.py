@@ -104,6 +104,32 @@ def test_charset_decides_open_cases(spark, files):
     assert got == {"letter": False}
 
 
+def test_whole_cascade_equals_brute_force(spark):
+    """All documents, each judged alone in plain Python."""
+    normalizer = pytest.importorskip("charset_normalizer")
+    from arborlake.plans import views
+    rows = classify.with_is_binary(views.files(spark, "/root/testdata/sf0.001")).select(
+        "filename", "content", "is_binary").collect()
+
+    def judge(name, data):
+        ext = pathlib.PurePosixPath(name).suffix.lower()
+        if ext in classify.TEXT_SUFFIXES or ext in classify.BINARY_SUFFIXES:
+            return ext in classify.BINARY_SUFFIXES
+        head = bytes(data[:8192])
+        good = sum(b in (9, 10, 12, 13) or 32 <= b < 127 for b in head) / len(head)
+        if good >= 0.95:
+            return False
+        if good <= 0.60:
+            return True
+        best = normalizer.from_bytes(head).best()
+        if best is not None and best.percent_coherence >= 60:
+            return False
+        return best is not None and best.percent_chaos > 40
+
+    assert len(rows) == 200
+    assert [r["is_binary"] for r in rows] == [judge(r["filename"], r["content"]) for r in rows]
+
+
 def test_mime(spark):
     kinds = ["text/x-c", "application/json; charset=x", "inode/x-empty", "image/png",
              "application/octet-stream", "", None]
@@ -139,8 +165,10 @@ def test_encoding_hints():
 
 
 def test_hash_has_sixteen_hex_digits(spark, monkeypatch, caplog):
-    got = column_of(spark, [b"corpus", None], content.content_hash, "binary")
+    got = column_of(spark, [b"corpus", None, b""], content.content_hash, "binary")
     assert re.fullmatch("[0-9a-f]{16}", got[0]) and got[1] is None
+    xxhash = pytest.importorskip("xxhash")
+    assert got == [xxhash.xxh64(b"corpus").hexdigest(), None, xxhash.xxh64(b"").hexdigest()]
     monkeypatch.setattr(content, "xxhash", None)
     monkeypatch.setattr(content, "_fallback_told", False)
     assert re.fullmatch("[0-9a-f]{16}", content.digest64(b"corpus"))

@@ -1,12 +1,13 @@
 """State table, incremental analysis and the ordered operators under skew."""
 
+import dataclasses
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import cache, ordering, runs, tree
+from arborlake.operators import analysis, cache, ordering, runs, tree
 from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
 from arborlake.plans.analysis import analyse
@@ -55,13 +56,7 @@ def test_uncommitted_version_is_ignored(spark, table):
 
 def test_incremental_reads_only_misses(spark, files):
     first = files({"a.txt": b"one", "b.txt": b"two", "c.png": b"x", "big.txt": b"z" * 200})
-    stored = stored_form(first.join(
-        analyse(first, OPTIONS).entries.select("path", "type", "hash"), "path"
-    ).select("*", *[F.lit(None).cast("string").alias(c) for c in (
-        "reason", "encoding", "created", "modified", "permissions", "timezone", "exception_type",
-        "exception_message")], F.lit(None).cast("long").alias("preview_bytes"),
-        F.lit(None).cast("boolean").alias("truncated"), ).withColumn(
-            "content", F.col("content").cast("string")))
+    stored = stored_form(analysis.entries(first, OPTIONS, keep=["mtime_us"]))
     assert {r["path"] for r in stored.collect()} == {"a.txt", "b.txt"}
     now = files({"a.txt": b"one", "b.txt": b"two!", "c.png": b"x", "n.txt": b"new",
                  "big.txt": b"z" * 200})
@@ -79,6 +74,22 @@ def test_incremental_reads_only_misses(spark, files):
     assert [r["path"] for r in result.reused.collect()] == ["a.txt"]
 
 
+def test_hash_validation_finds_silent_changes(spark, files):
+    """Same size and mtime, other bytes: only the hash tells."""
+    before, after = files({"a.txt": b"one", "b.txt": b"two"}), files({"a.txt": b"one", "b.txt": b"TWO"})
+    stored = stored_form(analysis.entries(before, OPTIONS, keep=["mtime_us"]))
+
+    def processed(validate):
+        options = dataclasses.replace(OPTIONS, cache_validate=validate)
+        result = analyse_incremental(
+            after.drop("content"), stored, options,
+            lambda missing: missing.join(after.select("path", "content"), "path"))
+        assert result.entries.count() == 2
+        return {r["path"] for r in result.processed.collect()}
+
+    assert processed("stat") == set() and processed("hash") == {"b.txt"}
+
+
 def test_corrupt_payload_is_a_miss(spark):
     rows = [("a", "h", '{"t":1}', 1, 1), ("b", "h", '{"t":1', 1, 1), ("c", "h", '{} x', 1, 1)]
     stored = spark.createDataFrame(rows, CACHE)
