@@ -45,6 +45,9 @@ def numbered(
     # at most one row per partition and key
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if not keys:
+        # proven size: one row per partition of ``stored``, so the rows themselves stay in place
+        offsets = F.broadcast(offsets)
     return (
         stored.join(offsets, ["_part", *keys])
         .withColumn(name, F.col("_local") - F.col("_first") + F.col("_before") + 1)

@@ -51,6 +51,7 @@ def run_tree(
     preset: str | None = None,
     name: str | None = None,
     scan_options: dict | None = None,
+    by_levels: bool = False,
     **sink_options,
 ) -> TreeRun:
     """Analyse the files below ``root`` and write them to ``target`` as ``fmt``.
@@ -58,13 +59,15 @@ def run_tree(
     The listing and the entries are each written once in the shared folder, so no file is
     listed or read twice although summary, export, state and history all use them. With a
     ``state`` unchanged files are not opened; with a ``history`` the run is recorded.
+    ``by_levels`` lists very uneven trees level by level (see ``filetree.scan_levels``).
     """
     options = options or ScanOptions()
     started = time.monotonic()
     when = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
     identifier = uuid.uuid4().hex
 
-    listed = materialise(filetree.scan(spark, root, options, **(scan_options or {})), "listing")
+    scan = filetree.scan_levels if by_levels else filetree.scan
+    listed = materialise(scan(spark, root, options, **(scan_options or {})), "listing")
     reached = analysis.traversed(listed, options)
     if state is None:
         included = reached.filter(~F.col("name_excluded"))

@@ -62,18 +62,22 @@ def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
         F.variant_get(doc, "$.summary", "variant").alias("summary"))
 
 
+# fixed values: what can be wrong with a record
+EMPTY_MAPPING = "mapping entry at {} is empty"
+EMPTY_LIST = "list entry at {} is empty"
+WRONG_TYPE = "entry at {} has unsupported type {}"
+NOT_JSON = "record at {} is not JSON"
+NO_RECORDS = "decoded payload is empty"
+
+
 def _fault(value, context: str) -> str | None:
-    if isinstance(value, dict):
-        return None if value else f"mapping entry at {context} is empty"
-    if isinstance(value, list):
-        if not value:
-            return f"list entry at {context} is empty"
-        for place, item in enumerate(value):
-            fault = _fault(item, f"{context}[{place}]")
-            if fault:
-                return fault
-        return None
-    return f"entry at {context} has unsupported type {type(value).__name__}"
+    if not isinstance(value, (dict, list)):
+        return WRONG_TYPE.format(context, type(value).__name__)
+    if not value:
+        return (EMPTY_MAPPING if isinstance(value, dict) else EMPTY_LIST).format(context)
+    items = enumerate(value) if isinstance(value, list) else ()
+    faults = (_fault(item, f"{context}[{place}]") for place, item in items)
+    return next(filter(None, faults), None)
 
 
 @F.pandas_udf(T.StringType())
@@ -83,7 +87,7 @@ def _record_fault(lines: pd.Series) -> pd.Series:
         try:
             return _fault(json.loads(line), "index %")
         except ValueError:
-            return "record at index % is not JSON"
+            return NOT_JSON.format("index %")
     return lines.map(judge)
 
 
@@ -110,7 +114,7 @@ def validate_export(spark: SparkSession, path: str) -> DataFrame:
     total = blocks.agg(F.sum("n")).first()[0] or 0
     reason = None
     if total == 0:
-        reason = "decoded payload is empty"
+        reason = NO_RECORDS
     elif bad is not None:
         file, block = bad["at"]
         earlier = (F.col("file") < file) | ((F.col("file") == file) & (F.col("block") < block))

@@ -21,6 +21,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, InputPartition,
@@ -28,10 +29,12 @@ from pyspark.sql.datasource import (
 
 from arborlake.options import ScanOptions
 from arborlake.schema import FILES
+from arborlake.session import materialise
 
 log = logging.getLogger(__name__)
 
 SCHEMA = FILES + ", location STRING, real_dir STRING"
+_ROWS_PER_BATCH = 10_000
 _PLANNED_PER_PARTITION = 10  # directories the planner lists at most, per wanted partition
 
 
@@ -233,6 +236,7 @@ def scan(spark: SparkSession, root: str, options: ScanOptions, **extra) -> DataF
     """Files below ``root``. With links followed, a directory reached on several ways counts once
     (the way that sorts first)."""
     register(spark)
+    extra.setdefault("partitions", _parallelism(spark))
     reader = spark.read.format("filetree").options(**_source_options(root, options), **extra)
     files = reader.load()
     if not options.follow_symlinks:
@@ -244,6 +248,66 @@ def scan(spark: SparkSession, root: str, options: ScanOptions, **extra) -> DataF
                           for c in files.columns])
 
 
+def _parallelism(spark: SparkSession) -> int:
+    return max(64, 4 * spark.sparkContext.defaultParallelism)
+
+
+LEVEL_SCHEMA = SCHEMA + ", is_dir BOOLEAN"
+
+
+def _level_lister(options: dict):
+    def list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walker = _Walker(options)
+        names = [column.split(" ")[0] for column in LEVEL_SCHEMA.split(", ")]
+        rows = []
+        for batch in batches:
+            for directory in batch["directory"]:
+                below, _ = walker.listing(directory)
+                rows += [
+                    (None, None, None, None, None, None, None, None, path,
+                     os.path.realpath(path), True) for path in below
+                ]
+                share = _Share((directory,), False, 0, 1)
+                for row in walker.rows(share):
+                    rows.append((*row, False))
+                    if len(rows) >= _ROWS_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=names, dtype="object")
+                        rows = []
+        yield pd.DataFrame(rows, columns=names, dtype="object")
+    return list_level
+
+
+def scan_levels(
+    spark: SparkSession, root: str, options: ScanOptions, partitions: int | None = None
+) -> DataFrame:
+    """``scan`` for trees whose files sit unevenly: one job per depth.
+
+    The directories found on one level are spread anew over all tasks for the next, so a
+    subtree with most of the files is not listed by one task. Levels are written out once.
+    With links followed, a directory is entered once, whichever ways lead to it.
+    """
+    plain = {name.lower(): value for name, value in _source_options(root, options).items()}
+    lister = _level_lister(plain)
+    wanted = partitions or _parallelism(spark)
+    top = os.path.abspath(root)
+    frontier = spark.createDataFrame([(top,)], "directory STRING")
+    seen = spark.createDataFrame([(os.path.realpath(top),)], "real_dir STRING")
+    files = None
+    while True:
+        level = materialise(
+            frontier.repartition(wanted).mapInPandas(lister, LEVEL_SCHEMA), "level")
+        found = level.filter("NOT is_dir").drop("is_dir")
+        files = found if files is None else files.unionByName(found)
+        directories = level.filter("is_dir")
+        if options.follow_symlinks:
+            directories = directories.groupBy("real_dir").agg(
+                F.min("location").alias("location")).join(seen, "real_dir", "left_anti")
+            seen = seen.unionByName(directories.select("real_dir"))
+        frontier = directories.select(F.col("location").alias("directory"))
+        if frontier.isEmpty():
+            return files
+
+
 def scan_stream(spark: SparkSession, root: str, options: ScanOptions, **extra) -> DataFrame:
     register(spark)
     return spark.readStream.format("filetree").options(

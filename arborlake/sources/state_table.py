@@ -83,6 +83,12 @@ class StateTable:
         self.replace(rows if partitions is None else rows.repartition(partitions), batch)
         return self.bytes_on_disk()
 
+    def compact_beyond(self, versions: int, batch: str) -> bool:
+        """Compact once more than ``versions`` of them have to be merged to read the table."""
+        if len(self._live_versions()) <= versions:
+            return False
+        return self.replace(self.read(), batch)
+
     def bytes_on_disk(self) -> int:
         """Bytes of the live versions, from the listing alone."""
         paths = [f"{self.path}/data/version={v}" for v in self._live_versions()]

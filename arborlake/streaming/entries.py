@@ -101,6 +101,7 @@ def reanalyse(
     checkpoint: str,
     *,
     trigger: dict | None = None,
+    compact_beyond: int = 20,
 ) -> StreamingQuery:
     """Incremental analysis: unchanged files come from the state, the others are read and kept.
 
@@ -116,6 +117,7 @@ def reanalyse(
         result.entries.write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.schema(result.entries.schema).parquet(target)
         state.upsert(stored_form(written.filter("NOT from_state")), f"{checkpoint}:{batch_id}")
+        state.compact_beyond(compact_beyond, f"{checkpoint}:{batch_id}:compact")
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint)

@@ -56,6 +56,22 @@ def test_followed_links_end_and_count_once(spark, tree, partitions):
     assert names.count("l1.txt") == 1 and names.count("mod.py") == 1 and len(paths) == len(EXPECTED)
 
 
+@pytest.mark.parametrize("follow", [False, True])
+def test_level_scan_equals_scan(spark, tree, follow):
+    options = ScanOptions(excluded_folders=("node_modules", ".git"), excluded_files=(),
+                          exclude_patterns=("*.pyc", "tmp*"), follow_symlinks=follow)
+    (tree / "pkg" / "also").symlink_to(tree / "pkg" / "sub", target_is_directory=True)
+    columns = ["path", "parent", "filename", "size", "mtime_us", "mode", "location", "real_dir"]
+    levels = filetree.scan_levels(spark, str(tree), options, partitions=3).select(*columns)
+    found = {r["filename"]: r for r in levels.collect()}
+    assert levels.count() == len(found) == len(EXPECTED)
+    want = {r["filename"]: r for r in
+            filetree.scan(spark, str(tree), options).select(*columns).collect()}
+    same = columns if not follow else ["filename", "size", "mtime_us", "mode", "real_dir"]
+    for name, row in found.items():
+        assert [row[c] for c in same] == [want[name][c] for c in same]
+
+
 def run(spark, tree, options):
     files = filetree.scan(spark, str(tree), options)
     return analyse(content.with_content(files, options), options)

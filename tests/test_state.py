@@ -46,6 +46,14 @@ def test_state_table(spark, table):
     assert current(table) == {"a": 3, "b": 2}
 
 
+def test_compaction_by_number_of_versions(spark, table):
+    for i in range(3):
+        table.upsert(pairs(spark, {"a": i, f"k{i}": i}), f"b{i}")
+    assert not table.compact_beyond(3, "c") and table.compact_beyond(2, "c")
+    assert len(table._live_versions()) == 1
+    assert current(table) == {"a": 2, "k0": 0, "k1": 1, "k2": 2}
+
+
 def test_uncommitted_version_is_ignored(spark, table):
     table.upsert(pairs(spark, {"a": 1}), "b1")
     pairs(spark, {"a": 7}).write.parquet(f"{table.path}/data/version=2")

@@ -59,6 +59,6 @@ def test_two_runs_with_state_and_history(spark, tree, tmp_path, monkeypatch):
 
 def test_run_without_summary(spark, tree, tmp_path):
     result = run_tree(spark, str(tree), str(tmp_path / "out"), "parquet",
-                      ScanOptions(encoding="utf-8"), include_summary=False)
+                      ScanOptions(encoding="utf-8"), include_summary=False, by_levels=True)
     assert result.summary.first()["included_files"] == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
