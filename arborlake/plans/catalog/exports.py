@@ -145,6 +145,19 @@ def dot_graph(spark, sf_dir):
     return _keyed(documents.dot_graph(run.entries, run.summary()))
 
 
+@query("dot_detailed_nodes", """SELECT concat('2/', path) AS sort_key, CAST(0 AS BIGINT) AS rank,
+    concat('    "', path, '" [label="', filename, '\\nSize: ', coalesce(CAST(size AS VARCHAR), 'N/A'),
+      ' bytes\\nCreated: ', coalesce(created, 'N/A'), '\\nModified: ', coalesce(modified, 'N/A'),
+      '\\nPermissions: ', coalesce(permissions, 'N/A'), '\\nHash: ', coalesce(hash, 'N/A'),
+      CASE WHEN content IS NULL THEN '' ELSE concat('\\nContent: ', replace(replace(
+        substr(content, 1, 900000), '"', '\\"'), chr(10), '\\n')) END,
+      '", shape=note, color="#90EE90"];') AS line FROM entries_v""")
+def dot_detailed_nodes(spark, sf_dir):
+    lines = documents.dot_graph(
+        _run(spark, sf_dir).entries, detailed=True, include_content=True)
+    return _keyed(lines.filter(F.contains("line", F.lit("shape=note, color"))))
+
+
 _STYLE = """CASE kind WHEN 'directory' THEN
     'fillcolor="#FFF3E0", color="#E65100", shape="folder", style="filled"'
   WHEN 'excluded' THEN

@@ -13,7 +13,12 @@ from arborlake.sinks import summary_rows as sr
 
 # fixed values: default colours of the plain DOT export, preamble of the styled one
 DIR_COLOUR, FILE_COLOUR, SUMMARY_COLOUR = "#FFA500", "#90EE90", "#D3D3D3"
-DOT_CONTENT_CHARACTERS = 1024
+DOT_CONTENT_CHARACTERS, DOT_DETAILED_CHARACTERS = 1024, 900_000
+DOT_DETAILS = (
+    ("Size: ", "size", " bytes"), ("Created: ", "created", ""), ("Modified: ", "modified", ""),
+    ("Permissions: ", "permissions", ""), ("Hash: ", "hash", ""),
+)
+NOT_AVAILABLE = "N/A"
 DOT_STYLED_PREAMBLE = (
     "digraph Repository {",
     '  graph [rankdir="LR", splines="ortho", ranksep="1.5", nodesep="0.8", pad="0.5", '
@@ -224,13 +229,24 @@ def _numbered_block(lines: DataFrame, block: str, sort: Column, rank: int = 0) -
 def dot_graph(entries: DataFrame, summary: DataFrame | None = None,
               failures: DataFrame | None = None, *, dir_color: str = DIR_COLOUR,
               file_color: str = FILE_COLOUR, summary_color: str = SUMMARY_COLOUR,
-              rankdir: str = "LR", include_content: bool = False) -> DataFrame:
-    """Lines of a digraph with folder and note nodes; ids are whole paths."""
+              rankdir: str = "LR", include_content: bool = False,
+              detailed: bool = False) -> DataFrame:
+    """Lines of a digraph with folder and note nodes; ids are whole paths.
+
+    ``detailed`` adds size, times, permissions and hash to the labels of files.
+    """
     spark = entries.sparkSession
     path = F.col("path")
     label = escape.dot_label(F.col("filename"))
+    if detailed:
+        label = F.concat(label, *[
+            part for title, name, unit in DOT_DETAILS for part in (
+                F.lit("\\n" + title),
+                F.coalesce(F.col(name).cast("string"), F.lit(NOT_AVAILABLE)), F.lit(unit))
+        ])
     if include_content:
-        clipped = escape.dot_label(escape.clip(F.col("content"), DOT_CONTENT_CHARACTERS))
+        characters = DOT_DETAILED_CHARACTERS if detailed else DOT_CONTENT_CHARACTERS
+        clipped = escape.dot_label(escape.clip(F.col("content"), characters))
         label = F.concat_ws("\\nContent: ", label, clipped)
     node = F.concat(F.lit("    "), escape.dot_quoted(path))
     dirs = tree.directories(entries).select(

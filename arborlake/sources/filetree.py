@@ -166,7 +166,8 @@ class FileTreeStreamReader(DataSourceStreamReader):
     """New and changed files by inode change time, which copying cannot set back.
 
     A batch covers the times up to ``settleSeconds`` (default 2) before now, so that a file still
-    being written is left to a later batch. ``maxWindowSeconds`` bounds one batch after a pause.
+    being written is left to a later batch. ``maxWindowSeconds`` bounds the time a batch spans
+    while the query runs; the first batch after a start takes everything up to now.
     Time always moves on, so every trigger lists the tree once, also when nothing changed: run it
     with ``availableNow`` or a ``processingTime`` that suits the size of the tree.
     """

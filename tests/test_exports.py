@@ -196,6 +196,14 @@ def test_dot(run, tmp_path):
     assert "\\nContent: deep" in text and "total_files: 11" in text
 
 
+def test_detailed_dot(run, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write("dot", run.entries, path, detailed=True)
+    text = text_of(path)
+    assert 'label="top.py\\nSize: 7 bytes\\nCreated: N/A\\nModified: 2024-01-01T00:00:00+00:00' in text
+    assert 'label="pic.png\\nSize: N/A bytes' in text and "Content:" not in text
+
+
 def test_styled_dot(run, tmp_path):
     path = str(tmp_path / "out")
     sinks.write("dot_styled", run.entries, path)
