@@ -143,11 +143,12 @@ def yaml_string(text: Column) -> Column:
     ).otherwise(quoted)
 
 
-def canonical_json(columns: dict[str, Column]) -> Column:
-    """JSON text with its keys in sorted order."""
+def canonical_json(columns: dict[str, Column], *, pretty: bool = False) -> Column:
+    """JSON text with its keys in sorted order. VARIANT values keep theirs sorted by nature, so
+    nested documents come out in order too."""
     return F.to_json(
         F.struct(*[columns[name].alias(name) for name in sorted(columns)]),
-        {"ignoreNullFields": "false"},
+        {"ignoreNullFields": "false", "pretty": str(pretty).lower()},
     )
 
 

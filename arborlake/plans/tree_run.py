@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
+import json
 import time
 import uuid
 from dataclasses import dataclass
@@ -105,6 +107,7 @@ def run_tree(
             F.lit(time.monotonic() - started).alias("duration_seconds"),
             "processed_files", "total_files", "excluded_files", "failed_files", "stopped_early",
             "hash_algorithm",
+            F.lit(json.dumps(dataclasses.asdict(options), sort_keys=True)).alias("configuration"),
             F.lit(target).alias("results"),
         )
         history.upsert(row, identifier)

@@ -29,7 +29,7 @@ RUNS = (
     "identifier STRING, display_name STRING, ts TIMESTAMP_NTZ, repository STRING, preset STRING, "
     "output_format STRING, duration_seconds DOUBLE, processed_files BIGINT, total_files BIGINT, "
     "excluded_files BIGINT, failed_files BIGINT, stopped_early BOOLEAN, hash_algorithm STRING, "
-    "results STRING"
+    "configuration STRING, results STRING"
 )
 
 RUN_SUMMARY_FIELDS = (

@@ -9,15 +9,23 @@ from arborlake.functions.times import run_time
 from arborlake.operators import runs as run_ops
 
 
-def run_json(runs: DataFrame) -> DataFrame:
-    """Each run as one JSON text with sorted keys: ``identifier, document``."""
-    columns: dict[str, Column] = {name: F.col(name) for name in runs.columns if name != "ts"}
+def run_json(
+    runs: DataFrame, *, documents: tuple[str, ...] = (), pretty: bool = False
+) -> DataFrame:
+    """Each run as one JSON text with sorted keys: ``identifier, document``.
+
+    ``documents`` names text columns that hold JSON themselves; they become nested objects.
+    """
+    columns: dict[str, Column] = {
+        name: F.try_parse_json(name) if name in documents else F.col(name)
+        for name in runs.columns if name != "ts"
+    }
     columns["timestamp"] = F.replace(run_time(F.col("ts")), F.lit(" "), F.lit("T"))
-    return runs.select("identifier", canonical_json(columns).alias("document"))
+    return runs.select("identifier", canonical_json(columns, pretty=pretty).alias("document"))
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    run_json(runs).select("document").write.text(path)
+def write_runs(runs: DataFrame, path: str, **options) -> None:
+    run_json(runs, **options).select("document").write.text(path)
 
 
 def write_reports(runs: DataFrame, path: str, summary_columns: tuple[str, ...] = ()) -> None:

@@ -10,6 +10,7 @@ from arborlake.options import ScanOptions
 from arborlake.plans.tree_run import cache_table, history_table, run_tree
 from arborlake.schema import RUN_SUMMARY_FIELDS
 from arborlake.session import new_work_path
+from arborlake.sinks.runs import run_json
 from arborlake.sources import content
 
 
@@ -55,6 +56,11 @@ def test_two_runs_with_state_and_history(spark, tree, tmp_path, monkeypatch):
     assert compared["Summary: total_files"] == ("4", "4")
     assert runs.search(recorded, "FAST").count() == 1
     assert state.read().count() == 4
+    export = {r["identifier"]: json.loads(r["document"]) for r in run_json(
+        recorded, documents=("configuration",), pretty=True).collect()}[second.identifier]
+    assert export["configuration"]["max_file_size"] == 50 * 1024 * 1024
+    assert list(export) == sorted(export) and export["preset"] == "fast"
+    assert list(export["configuration"]) == sorted(export["configuration"])
 
 
 def test_run_without_summary(spark, tree, tmp_path):
