@@ -40,6 +40,12 @@ def _problem(files: DataFrame) -> Column:
     return F.coalesce(F.col("stat_error"), _read_error(files))
 
 
+def is_failed(files: DataFrame, options: ScanOptions) -> Column:
+    """True for files that end as error entries; needs no content."""
+    unread = _read_error(files).isNotNull() & ~size_excluded(F.col("size"), options)
+    return F.col("stat_error").isNotNull() | F.coalesce(unread, F.lit(False))
+
+
 def _problem_text(files: DataFrame) -> Column:
     message = F.regexp_replace(_problem(files), "(?s)^[^:]*: ", "")
     kind = F.substring_index(_problem(files), ": ", 1)

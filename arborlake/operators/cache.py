@@ -50,11 +50,6 @@ def without_orphans(cache: DataFrame, files: DataFrame) -> DataFrame:
     return cache.join(files.select("path"), "path", "left_semi")
 
 
-def orphan_paths(cache: DataFrame, files: DataFrame) -> DataFrame:
-    """Key difference: stored minus present, distinct."""
-    return cache.select("path").subtract(files.select("path"))
-
-
 def persistable(entries: DataFrame) -> DataFrame:
     """Results worth keeping: read files with a hash."""
     return entries.filter(F.col("type").isin("text", "binary") & F.col("hash").isNotNull())

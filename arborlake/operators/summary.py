@@ -35,17 +35,19 @@ def excluded_percentage(excluded: Column, total: Column) -> Column:
 
 
 def run_summary(
-    rows: DataFrame, *, stopped_early: bool = False, hash_algorithm: str | None = None
+    rows: DataFrame, *, failed: Column | None = None, stopped_early: bool = False,
+    hash_algorithm: str | None = None,
 ) -> DataFrame:
-    """One row per run, from rows with ``name_excluded`` and ``type``.
+    """One row per run, from rows with ``name_excluded`` and ``type`` (or the test ``failed``).
 
     The failed files themselves are the table ``failures``: their number grows with the data,
     so they do not go into one cell. ``failed_files`` here is their count.
     """
+    failed = F.col("type") == "error" if failed is None else failed
     counted = rows.agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(F.col("name_excluded")).alias("excluded_files"),
-        F.count_if(~F.col("name_excluded") & (F.col("type") == "error")).alias("failed_files"),
+        F.count_if(~F.col("name_excluded") & failed).alias("failed_files"),
     )
     total, excluded = F.col("total_files"), F.col("excluded_files")
     return counted.select(

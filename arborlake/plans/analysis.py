@@ -31,14 +31,18 @@ class Analysis:
         return analysis.entries(self.reached.filter(~F.col("name_excluded")), self.options)
 
     def summary(self, *, stopped_early: bool = False) -> DataFrame:
-        """Counts over all reached files; content is needed for undecided suffixes only."""
+        """Counts over all reached files, from names and metadata alone."""
         return summary.run_summary(
-            self.rows, stopped_early=stopped_early,
+            self.reached, failed=analysis.is_failed(self.reached, self.options),
+            stopped_early=stopped_early,
             hash_algorithm=algorithm_used(self.options.hash_algorithm),
         )
 
     def failures(self) -> DataFrame:
-        return summary.failures(self.entries)
+        """``file, error`` rows; picked by metadata before any entry is made."""
+        failed = analysis.is_failed(self.reached, self.options)
+        picked = self.reached.filter(~F.col("name_excluded") & failed)
+        return summary.failures(analysis.entries(picked, self.options))
 
 
 def analyse(files: DataFrame, options: ScanOptions) -> Analysis:

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborlake.functions import classify, content, display, escape, lists, paths, patterns, times
-from arborlake.operators import analysis, filters, repos
+from arborlake.operators import analysis, filters, repos, summary, tree
+from arborlake.options import ScanOptions
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import (
-    OPTIONS, query, sql_array, sql_iso, sql_list,
-)
-from arborlake.options import ScanOptions
+from arborlake.plans.catalog.registry import OPTIONS, query, sql_array, sql_iso, sql_list
 from arborlake.sources import records
 
 # ---- the run as a whole --------------------------------------------------------------------
@@ -25,8 +23,7 @@ def analyse_files(spark, sf_dir):
 @query("entry_types", """SELECT type, reason, count(*) AS files FROM tagged_v
   WHERE NOT name_excluded GROUP BY type, reason""")
 def entry_types(spark, sf_dir):
-    from arborlake.operators.summary import type_counts
-    return type_counts(analyse(views.files(spark, sf_dir), OPTIONS).rows)
+    return summary.type_counts(analyse(views.files(spark, sf_dir), OPTIONS).rows)
 
 
 @query("entry_scan_ordered", "SELECT path, filename, size FROM files_v ORDER BY path")
@@ -513,7 +510,6 @@ def node_label_tooltip(spark, sf_dir):
     CASE kind WHEN 'excluded' THEN 'filled,dashed' ELSE 'filled' END AS style
   FROM (SELECT path, 'directory' AS kind FROM dirs_v UNION ALL SELECT path, type FROM entries_v)""")
 def node_style(spark, sf_dir):
-    from arborlake.operators import tree
     rows = tree.nodes(analyse(views.files(spark, sf_dir), OPTIONS).entries)
     kind = F.col("kind")
     return rows.select("path", *[

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborlake.operators import cache, logs, ordering, repos, runs, sets, summary, tree
+from arborlake.operators import analysis, cache, logs, ordering, repos, runs, sets, summary, tree
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
 from arborlake.plans.catalog.registry import OPTIONS, query
@@ -15,9 +15,8 @@ from arborlake.plans.catalog.registry import OPTIONS, query
 @query("traversal_counters", """SELECT count(*) FILTER (NOT name_excluded) AS included,
   count(*) FILTER (name_excluded) AS excluded FROM reached_v""")
 def traversal_counters(spark, sf_dir):
-    from arborlake.operators.analysis import traversed
     names = views.files(spark, sf_dir).select("parent", "filename")
-    return summary.counters(traversed(names, OPTIONS))
+    return summary.counters(analysis.traversed(names, OPTIONS))
 
 
 @query("run_summary", "SELECT * FROM summary_v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborlake.operators import cache, filters, ordering
+from arborlake.operators import analysis, cache, filters, ordering
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
 from arborlake.plans.catalog.registry import OPTIONS, query
@@ -70,9 +70,8 @@ def exclusion_list_anti_join(spark, sf_dir):
   FROM entries_v JOIN (SELECT path, mtime_us FROM files_v) USING (path) WHERE type = 'text'""")
 def last_wins_upsert(spark, sf_dir):
     """The results of a new run replace the stored rows of the same path."""
-    from arborlake.operators.analysis import entries, traversed
-    included = traversed(views.files(spark, sf_dir), OPTIONS).filter(~F.col("name_excluded"))
-    fresh = cache.persistable(entries(included, OPTIONS, keep=["mtime_us"])).select(
+    included = analysis.traversed(views.files(spark, sf_dir), OPTIONS).filter(~F.col("name_excluded"))
+    fresh = cache.persistable(analysis.entries(included, OPTIONS, keep=["mtime_us"])).select(
         "path", F.col("hash").alias("file_hash"),
         F.to_json(F.struct("type", "size")).alias("file_info"), "size", "mtime_us")
     return cache.upsert(views.cache(spark, sf_dir), fresh)

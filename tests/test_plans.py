@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import cache, filters, ordering, summary, tree
 from arborlake.operators.analysis import entries, traversed
 from arborlake.options import ScanOptions
+from arborlake.plans.analysis import analyse
 from arborlake.plans.catalog import QUERIES
 from arborlake.session import new_work_path
 
@@ -45,7 +46,8 @@ def test_size_rule_reaches_the_scan(stored):
 
 
 def test_counters_and_tree_read_names_only(stored):
-    for df in (summary.counters(traversed(stored, OPTIONS)), tree.directories(stored)):
+    for df in (summary.counters(traversed(stored, OPTIONS)), tree.directories(stored),
+               analyse(stored, OPTIONS).summary()):
         assert "content" not in read_schema(plan_of(df)) and "text" not in read_schema(plan_of(df))
 
 
