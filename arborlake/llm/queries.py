@@ -30,6 +30,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.quality import quality_scores
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query("op2_exact_dedup", f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256({_LOWER}) AS text_sha256,
