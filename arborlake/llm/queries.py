@@ -57,6 +57,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.near_dedup import near_dedup
+    return near_dedup(documents(spark, sf_dir))
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arborlake.llm.secrets import listed, secret_scan
