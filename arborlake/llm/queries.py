@@ -97,3 +97,10 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arborlake.llm.token_counts import token_counts
     return token_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.substrings import substring_dedup
+    return substring_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
