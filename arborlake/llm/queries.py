@@ -104,3 +104,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arborlake.llm.substrings import substring_dedup
     return substring_dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op4_ppm_scores")
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.ppm import lm_scores
+    return lm_scores(documents(spark, sf_dir))

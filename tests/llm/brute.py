@@ -108,3 +108,54 @@ def contained(rows, items, share=0.75):
         s = shingles(text)
         out += [(doc, i, len(w), len(w & s)) for i, w in wanted if w and len(w & s) >= share * len(w)]
     return sorted(out)
+
+
+def base_scores(rows, folds=5):
+    """``doc_id: (n_tokens, n_known, train_tokens, base_score)``."""
+    import math
+
+    counts = Counter()
+    for doc, text in rows:
+        if not held_out(doc, folds):
+            counts.update(words(text) + [None])
+    total, kinds = sum(counts.values()), len(counts)
+    out = {}
+    for doc, text in rows:
+        tokens = words(text) + [None]
+        out[doc] = (len(tokens), sum(counts[t] > 0 for t in tokens), total, sum(
+            math.log10((counts[t] + 0.5) / (total + 0.5 * (kinds + 1))) for t in tokens))
+    return out
+
+
+class Ppm:
+    """Static PPM with method C escapes and full exclusion, symbol by symbol."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.nodes = defaultdict(Counter)
+        for text in texts:
+            s = [255] * order + list(lowered(text)) + [254]
+            for i in range(order, len(s)):
+                for k in range(order + 1):
+                    self.nodes[tuple(s[i - k:i])][s[i]] += 1
+
+    def probability(self, context, symbol):
+        p, excluded = 1.0, set()
+        for k in range(self.order, -1, -1):
+            node = self.nodes.get(tuple(context[len(context) - k:]))
+            if node is None:
+                continue
+            left = {s: c for s, c in node.items() if s not in excluded}
+            total = sum(left.values()) + len(left)
+            if symbol in left:
+                return p * left[symbol] / total
+            if left:
+                p *= len(left) / total
+            excluded |= set(node)
+        return p / max(1, 257 - len(excluded))
+
+    def log10(self, text):
+        import math
+
+        s = [255] * self.order + list(lowered(text)) + [254]
+        return sum(math.log10(self.probability(s[i - self.order:i], s[i])) for i in range(self.order, len(s)))
