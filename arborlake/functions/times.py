@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+import re
+import zoneinfo
+
 from pyspark.sql import Column, functions as F
 
+log = logging.getLogger(__name__)
+
 _ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 # fixed values: first and last instant of years 1 to 9999
 _MIN_EPOCH = -62135596800
@@ -24,9 +30,23 @@ def micros_of(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch(), ts)
 
 
+_OFFSET = "[+-][0-9]{2}:[0-9]{2}"
+
+
+def known_zone(zone: str | Column) -> Column:
+    """The zone where it is known, UTC for any other: an unknown name would fail the job."""
+    names = zoneinfo.available_timezones()
+    if isinstance(zone, str):
+        if zone not in names and not re.fullmatch(_OFFSET, zone):
+            log.warning("unknown time zone %r, UTC is used", zone)
+            zone = "UTC"
+        return F.lit(zone)
+    return F.when(zone.isin(*sorted(names)) | zone.rlike(f"^{_OFFSET}$"), zone).otherwise("UTC")
+
+
 def iso_micros(micros: Column, zone: str | Column = "UTC") -> Column:
     """ISO 8601 text with offset; a fraction only where it is not zero."""
-    zone_col = F.lit(zone) if isinstance(zone, str) else zone
+    zone_col = known_zone(zone)
     utc = utc_of_micros(micros)
     local = F.convert_timezone(F.lit("UTC"), zone_col, utc)
     fraction = F.pmod(micros, F.lit(1_000_000)) != 0

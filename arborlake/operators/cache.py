@@ -20,6 +20,23 @@ def unreadable(cache: DataFrame) -> DataFrame:
     return cache.filter(strict_json(F.col("file_info")).isNull())
 
 
+def _lead(root: str) -> str:
+    return root.rstrip("/") + "/" if root else ""
+
+
+def of_root(cache: DataFrame, root: str) -> DataFrame:
+    """Stored rows below ``root``, with paths relative to it. Tables hold full paths, so that
+    trees with equal relative paths can share one."""
+    lead = _lead(root)
+    return cache.filter(F.startswith("path", F.lit(lead))).withColumn(
+        "path", F.substr("path", F.lit(len(lead) + 1)))
+
+
+def with_root(rows: DataFrame, root: str) -> DataFrame:
+    """Rows to store, with full paths."""
+    return rows.withColumn("path", F.concat(F.lit(_lead(root)), "path"))
+
+
 def probe_keys(validate: str) -> list[str]:
     if validate not in ("stat", "hash"):
         raise ValueError(f"validate must be 'stat' or 'hash', not {validate!r}")

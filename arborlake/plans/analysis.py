@@ -88,8 +88,9 @@ def analyse_incremental(
     ``cache_validate="hash"`` every file within the size limit is read, as its hash is compared.
     """
     reached = analysis.traversed(files, options).filter(~F.col("name_excluded"))
-    too_large = analysis.size_excluded(F.col("size"), options)
-    in_size = reached.filter(~too_large)
+    # a file without a size is no smaller one: its stat failed, and it has nothing to read
+    unread = F.coalesce(analysis.size_excluded(F.col("size"), options), F.lit(False)) | F.col("stat_error").isNotNull()
+    in_size = reached.filter(~unread)
     if options.cache_validate == "hash":
         in_size = _hashed(load_content(in_size), options)
         hits = cache.hits(in_size.drop("content", "digest", "read_error"), stored, "hash")
@@ -99,13 +100,13 @@ def analyse_incremental(
         fresh = load_content(cache.misses(in_size, stored, options.cache_validate))
     parsed = F.from_json("file_info", ENTRIES)
     reused = hits.withColumn("_info", parsed).select(
-        *["path" if n == "path" else F.col("file_hash").alias("hash") if n == "hash"
+        *[n if n in ("path", "parent", "filename") else F.col("file_hash").alias("hash") if n == "hash"
           else F.col(f"_info.{n}").alias(n) for n in ENTRY_COLUMNS],
         "mtime_us",
     )
-    unread = reached.filter(too_large).withColumn("content", F.lit(None).cast("binary"))
+    skipped = reached.filter(unread).withColumn("content", F.lit(None).cast("binary"))
     processed = analysis.entries(
-        fresh.unionByName(unread, allowMissingColumns=True), options, keep=["mtime_us"]
+        fresh.unionByName(skipped, allowMissingColumns=True), options, keep=["mtime_us"]
     )
     both = reused.withColumn("from_state", F.lit(True)).unionByName(
         processed.withColumn("from_state", F.lit(False)))

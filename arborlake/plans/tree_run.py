@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from arborlake import sinks
 from arborlake.functions.content import algorithm_used
 from arborlake.operators import analysis, summary
+from arborlake.operators.cache import of_root, with_root
 from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
 from arborlake.schema import CACHE, ENTRY_COLUMNS, RUNS
@@ -67,6 +69,7 @@ def run_tree(
     started = time.monotonic()
     when = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
     identifier = uuid.uuid4().hex
+    home = root if "://" in root else os.path.abspath(root)
 
     scan = filetree.scan_levels if by_levels else filetree.scan
     listed = materialise(scan(spark, root, options, **(scan_options or {})), "listing")
@@ -78,7 +81,7 @@ def run_tree(
         ).withColumn("from_state", F.lit(False))
     else:
         made = analyse_incremental(
-            listed, state.read(), options, lambda files: content.with_content(files, options)
+            listed, of_root(state.read(), home), options, lambda files: content.with_content(files, options)
         ).entries
     kept = materialise(made, "entries")
     entries = kept.select(*ENTRY_COLUMNS)
@@ -95,7 +98,7 @@ def run_tree(
         **({"summary": totals, "failures": failures} if include_summary else {}), **sink_options)
 
     if state is not None:
-        state.upsert(stored_form(kept.filter("NOT from_state")), identifier)
+        state.upsert(with_root(stored_form(kept.filter("NOT from_state")), home), identifier)
     if history is not None:
         row = totals.select(
             F.lit(identifier).alias("identifier"),

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-
-from arborlake.functions.jsontext import is_object
+from arborlake.functions.jsontext import is_object, strict_json
 from arborlake.session import materialise
 
 
@@ -26,11 +23,9 @@ def flatten_structure(documents: DataFrame, structure: str = "structure") -> Dat
     found = None
     depth = 0
     while True:
-        level.createOrReplaceTempView("_arborlake_level")
-        names = "".join(f"`{c}`, " for c in kept)
-        members = documents.sparkSession.sql(
-            f"SELECT {names}_prefix, m.key AS _key, m.value AS _value "
-            "FROM _arborlake_level, LATERAL variant_explode(_node) AS m")
+        spark = documents.sparkSession
+        members = level.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer())).select(
+            *kept, "_prefix", F.col("key").alias("_key"), F.col("value").alias("_value"))
         path = F.concat_ws("/", F.nullif("_prefix", F.lit("")), F.col("_key"))
         judged = members.select(
             *kept, path.alias("path"), F.col("_value").alias("info"),
@@ -62,33 +57,25 @@ def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
         F.variant_get(doc, "$.summary", "variant").alias("summary"))
 
 
-# fixed values: what can be wrong with a record
-EMPTY_MAPPING = "mapping entry at {} is empty"
-EMPTY_LIST = "list entry at {} is empty"
-WRONG_TYPE = "entry at {} has unsupported type {}"
-NOT_JSON = "record at {} is not JSON"
-NO_RECORDS = "decoded payload is empty"
-
+def record_fault(line: Column) -> Column:
+    """What keeps a line from being a record of an export, null for a good one.
 
-def _fault(value, context: str) -> str | None:
-    if not isinstance(value, (dict, list)):
-        return WRONG_TYPE.format(context, type(value).__name__)
-    if not value:
-        return (EMPTY_MAPPING if isinstance(value, dict) else EMPTY_LIST).format(context)
-    items = enumerate(value) if isinstance(value, list) else ()
-    faults = (_fault(item, f"{context}[{place}]") for place, item in items)
-    return next(filter(None, faults), None)
+    A record is a JSON object or array with something in it; so is each item of an array.
+    """
+    def holds_nothing(value: Column) -> Column:
+        return F.to_json(value).isin("{}", "[]")
 
+    def is_scalar(value: Column) -> Column:
+        return ~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
 
-@F.pandas_udf(T.StringType())
-def _record_fault(lines: pd.Series) -> pd.Series:
-    """What is wrong with a record; ``%`` stands for its index, which the row does not know."""
-    def judge(line):
-        try:
-            return _fault(json.loads(line), "index %")
-        except ValueError:
-            return NOT_JSON.format("index %")
-    return lines.map(judge)
+    value = strict_json(line)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return (
+        F.when(value.isNull(), "no JSON")
+        .when(is_scalar(value), "a bare value")
+        .when(holds_nothing(value), "no content")
+        .when(F.exists(items, is_scalar), "a bare value in a list")
+        .when(F.exists(items, holds_nothing), "no content in a list"))
 
 
 def validate_export(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +89,7 @@ def validate_export(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
-        _record_fault("value").alias("fault"))
+        record_fault(F.col("value")).alias("fault"))
     per_block = judged.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("place").alias("start"),
@@ -114,12 +101,12 @@ def validate_export(spark: SparkSession, path: str) -> DataFrame:
     total = blocks.agg(F.sum("n")).first()[0] or 0
     reason = None
     if total == 0:
-        reason = NO_RECORDS
+        reason = "no records"
     elif bad is not None:
         file, block = bad["at"]
         earlier = (F.col("file") < file) | ((F.col("file") == file) & (F.col("block") < block))
         before = blocks.filter(earlier).agg(F.sum("n")).first()[0] or 0
         index = before + bad["first"]["place"] - bad["start"]
-        reason = bad["first"]["fault"].replace("%", str(index))
+        reason = f"record {index}: {bad['first']['fault']}"
     return spark.createDataFrame(
         [(reason is None, total, reason)], "is_valid BOOLEAN, records BIGINT, reason STRING")

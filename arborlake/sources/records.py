@@ -44,5 +44,10 @@ def parse_issues(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
-    """A dump of issue objects, one per line or one array per file."""
+    """A dump of issue objects, one per line."""
+    return parse_issues(spark.read.text(path))
+
+
+def read_issue_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """A dump of issues with one JSON array (or object) per file."""
     return spark.read.schema(ISSUES).option("multiLine", True).json(path)

@@ -102,21 +102,24 @@ def reanalyse(
     *,
     trigger: dict | None = None,
     compact_beyond: int = 20,
+    root: str = "",
 ) -> StreamingQuery:
     """Incremental analysis: unchanged files come from the state, the others are read and kept.
 
     Per batch: probe, analyse the misses, write the batch's entries, then add the new results
     to the state under the batch id. A repeated batch overwrites its own output and is not
-    applied twice.
+    applied twice. ``root`` is the full path that the files' paths are relative to; trees
+    that share a state table need it.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         # metadata only, and written once: listing a tree again could give other rows
         listed = materialise(latest_of_batch(batch), "listed")
-        result = analyse_incremental(listed, state.read(), options, load_content)
+        result = analyse_incremental(listed, cache.of_root(state.read(), root), options, load_content)
         target = f"{path}/batch={batch_id}"
         result.entries.write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.schema(result.entries.schema).parquet(target)
-        state.upsert(stored_form(written.filter("NOT from_state")), f"{checkpoint}:{batch_id}")
+        state.upsert(cache.with_root(stored_form(written.filter("NOT from_state")), root),
+                     f"{checkpoint}:{batch_id}")
         state.compact_beyond(compact_beyond, f"{checkpoint}:{batch_id}:compact")
 
     return (

@@ -235,10 +235,12 @@ def test_flatten_a_written_tree(spark, run, tmp_path):
 
 @pytest.mark.parametrize("lines, reason, count", [
     (['{"a": 1}', '[{"b": 2}]'], None, 2),
-    (['{"a": 1}', "{}", "[]"], "mapping entry at index 1 is empty", 3),
-    (['[[{"a":1}], [3]]'], "entry at index 0[1][0] has unsupported type int", 1),
-    (["invalid export data"], "record at index 0 is not JSON", 1),
-    ([], "decoded payload is empty", 0),
+    (['{"a": 1}', "{}", "[]"], "record 1: no content", 3),
+    (['[{"a":1}, 3]'], "record 0: a bare value in a list", 1),
+    (['[{"a":1}, []]'], "record 0: no content in a list", 1),
+    (['3'], "record 0: a bare value", 1),
+    (["invalid export data"], "record 0: no JSON", 1),
+    ([], "no records", 0),
 ])
 def test_validation(spark, tmp_path, lines, reason, count):
     (tmp_path / "export").mkdir()
@@ -260,7 +262,7 @@ def test_validation_of_a_large_export(spark, tmp_path):
         (tmp_path / "export" / f"part-{part}.json").write_text(body)
     assert size > 100_000
     row = exports.validate_export(spark, str(tmp_path / "export")).first()
-    assert tuple(row) == (False, 1000, "mapping entry at index 517 is empty")
+    assert tuple(row) == (False, 1000, "record 517: no content")
 
 
 def test_record_rejection(spark):
@@ -276,8 +278,11 @@ def test_issues(spark, tmp_path):
     (tmp_path / "issues.json").write_text(json.dumps([
         {"number": 1, "title": "bug", "body": "b"},
         {"number": 2, "title": "pr", "body": "c", "pull_request": {"url": "u"}}]))
-    rows = open_issues(records.read_issues(spark, str(tmp_path / "issues.json"))).collect()
+    rows = open_issues(records.read_issue_arrays(spark, str(tmp_path / "issues.json"))).collect()
     assert [r["caption"] for r in rows] == ["#1 - bug"]
+    (tmp_path / "issues.jsonl").write_text("".join(
+        json.dumps({"number": n, "title": "t", "body": "b"}) + "\n" for n in range(3)))
+    assert records.read_issues(spark, str(tmp_path / "issues.jsonl")).count() == 3
 
 
 def test_run_and_log_exports(spark, tmp_path):

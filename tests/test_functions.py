@@ -177,6 +177,13 @@ def test_hash_has_sixteen_hex_digits(spark, monkeypatch, caplog):
     assert content.algorithm_used("xxh64") == "blake2b"
 
 
+def test_unknown_zones_fall_back(spark):
+    got = column_of(spark, [0], lambda c: times.iso_micros(c, "Mars/Olympus"), "bigint")
+    assert got == ["1970-01-01T00:00:00+00:00"]
+    got = column_of(spark, [0], lambda c: times.iso_micros(c, F.when(c == 0, "Mars/Olympus")), "bigint")
+    assert got == ["1970-01-01T00:00:00+00:00"]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "Europe/Berlin", "America/Phoenix"])
 def test_iso_times(spark, zone):
     from zoneinfo import ZoneInfo

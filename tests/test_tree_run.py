@@ -68,3 +68,31 @@ def test_run_without_summary(spark, tree, tmp_path):
                       ScanOptions(encoding="utf-8"), include_summary=False, by_levels=True)
     assert result.summary.first()["included_files"] == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_two_roots_share_a_state_table(spark, tmp_path):
+    import os
+    for name in ("r1", "r2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "README.md").write_text(name)
+        os.utime(tmp_path / name / "README.md", (1_700_000_000, 1_700_000_000))
+    state = cache_table(spark, new_work_path(spark, "test-roots"))
+    for _ in range(2):
+        for name in ("r1", "r2"):
+            run = run_tree(spark, str(tmp_path / name), new_work_path(spark, "test-out"), "jsonl", state=state)
+            assert [r["content"] for r in run.entries.collect()] == [name]
+    assert state.read().count() == 2
+
+
+def test_incremental_runs_keep_files_whose_stat_failed(spark, files):
+    from pyspark.sql import functions as F
+    from arborlake.plans.analysis import analyse, analyse_incremental
+    from arborlake.schema import CACHE
+    listed = files({"a.txt": b"a", "b.txt": b"b"}).withColumn(
+        "stat_error", F.when(F.col("path") == "b.txt", "denied")).withColumn(
+        "size", F.when(F.col("path") == "a.txt", F.col("size")))
+    full = {(r["path"], r["type"]) for r in analyse(listed, ScanOptions()).entries.collect()}
+    part = analyse_incremental(
+        listed.drop("content"), spark.createDataFrame([], CACHE), ScanOptions(),
+        lambda rows: rows.join(listed.select("path", "content"), "path")).entries
+    assert {(r["path"], r["type"]) for r in part.collect()} == full == {("a.txt", "text"), ("b.txt", "error")}
