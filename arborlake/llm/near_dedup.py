@@ -4,9 +4,9 @@
    set, ``BANDS`` band keys and a signature of ``CHECKS`` independent one-byte minima.
 2. Texts of equal sets form one class, so thousands of copies are one node from here on.
 3. Classes that share a band key are candidates. A bucket is not expanded into all its pairs: its
-   members are compared with its smallest member, verified links are contracted to components, and
-   only buckets that still span several components are compared across components, under a first
-   batch of signature bits and the bound on sizes in the join itself.
+   members are compared with the one that meets most others, verified links are contracted to components,
+   and members of buckets that still span several components are compared across components, in
+   blocks, under longer signatures and the bound on sizes; only likely pairs leave such a task.
 4. Signatures are compared in batches. After each batch the posterior of the similarity, from a
    uniform prior, bounds the chance that the pair is a link; below ``MISS`` it is pruned.
 5. Survivors are verified on their full shingle sets.
@@ -39,13 +39,14 @@ SHARE = 0.75
 ROWS = 4  # of a band
 BANDS = 36
 CHECKS = 128  # one-byte minima for verification
-BITS = 128  # their low bits, as two longs
+WIDER = 768  # further ones, for members of buckets that span components
+BLOCK = 1024  # members of a bucket that one task compares with as many others
 BATCH = 32
 MISS = 1e-7
 
 _random = np.random.default_rng(5)
-_FLIP = _random.integers(0, 2**32, BANDS * ROWS + CHECKS, dtype=np.uint32)
-_SPIN = _random.integers(0, 2**31, BANDS * ROWS + CHECKS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _random.integers(0, 2**32, BANDS * ROWS + CHECKS + WIDER, dtype=np.uint32)
+_SPIN = _random.integers(0, 2**31, BANDS * ROWS + CHECKS + WIDER, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FOLD = _random.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,36 +66,37 @@ def shingle_sets(texts: Texts) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Minima of the hash functions ``begin`` to ``end``."""
     x = shingles.astype(np.uint32)
-    low = np.full(len(_SPIN), 2**32 - 1, np.uint32)
+    flip, spin = _FLIP[begin:end], _SPIN[begin:end]
+    low = np.full(end - begin, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 512):
-        np.minimum(low, (((x[at:at + 512, None] ^ _FLIP) * _SPIN)).min(axis=0), out=low)
+        np.minimum(low, ((x[at:at + 512, None] ^ flip) * spin).min(axis=0), out=low)
     return low
 
 
+def one_byte(low: np.ndarray) -> bytes:
+    return (low >> np.uint32(8)).astype(np.uint8).tobytes()
+
+
 def _sketch(batches):
     for batch in batches:
         for part in parts(batch, size=1 << 22):
-            found: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "signature", "low", "high")}
+            found: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "signature")}
             for s in shingle_sets(Texts(part.column("text"), lower=True)):
-                m = minima(s)
+                m = minima(s, 0, BANDS * ROWS + CHECKS)
                 rows = m[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 keys = (rows * _FOLD).sum(axis=1) ^ (rows[:, 0] << np.uint64(32))
-                check = m[BANDS * ROWS:]
-                bits = np.packbits((check >> np.uint32(20) & np.uint32(1)).astype(np.uint8)).view(np.int64)
                 found["n"].append(len(s))
                 found["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 found["bands"].append(keys.view(np.int64).tolist())
-                found["signature"].append((check >> np.uint32(8)).astype(np.uint8).tobytes())
-                found["low"].append(int(bits[0]))
-                found["high"].append(int(bits[1]))
+                found["signature"].append(one_byte(m[BANDS * ROWS:]))
             yield pa.record_batch({
                 "doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(found["n"], pa.int64()),
                 "digest": pa.array(found["digest"], pa.binary()),
                 "bands": pa.array(found["bands"], pa.list_(pa.int64())),
-                "signature": pa.array(found["signature"], pa.binary()),
-                "low": pa.array(found["low"], pa.int64()), "high": pa.array(found["high"], pa.int64())})
+                "signature": pa.array(found["signature"], pa.binary())})
 
 
 def fewest_matches(n: int, share: float, miss: float) -> int:
@@ -128,6 +130,69 @@ def _prune(limits: list[tuple[int, int]]):
     return run
 
 
+def _widen(batches):
+    begin = BANDS * ROWS + CHECKS
+    for batch in batches:
+        for part in parts(batch, size=1 << 22):
+            sets = shingle_sets(Texts(part.column("text"), lower=True))
+            yield pa.record_batch({
+                "node": part.column("node"),
+                "wider": pa.array([one_byte(minima(s, begin, begin + WIDER)) for s in sets], pa.binary())})
+
+
+def _across(share: float):
+    """Likely pairs of different components in a bucket, or in two blocks of a large one.
+
+    A pair comes out of the first band that it shares only.
+    """
+    stops = [*range(BATCH, CHECKS + 1, BATCH), CHECKS + WIDER // 4, CHECKS + WIDER]
+    limits = [(n, fewest_matches(n, share, MISS)) for n in stops]
+    names = ("bucket", "one", "two", "block", "band", "node", "component", "n", "bands", "signature")
+
+    def compared(group: list[tuple]):
+        block, node, component, n = (np.array([g[k] for g in group]) for k in (3, 5, 6, 7))
+        bands = np.array([g[8] for g in group])
+        signature = np.frombuffer(b"".join(g[9] for g in group), np.uint8).reshape(len(group), -1)
+        one, two, band = group[0][1], group[0][2], group[0][4]
+        right = np.flatnonzero(block == two)
+        for i in np.flatnonzero(block == one).tolist():
+            other = right[right > i] if one == two else right
+            other = other[(component[other] != component[i]) & (n[other] >= n[i] * share)
+                          & (n[other] * share <= n[i])]
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
+            at, matches = 0, np.zeros(len(other), np.int64)
+            for to, fewest in limits:
+                matches += (signature[other, at:to] == signature[i, at:to]).sum(axis=1)
+                alive = matches >= fewest
+                other, matches, at = other[alive], matches[alive], to
+                if not len(other):
+                    break
+            for j in other.tolist():
+                yield min(node[i], node[j]), max(node[i], node[j])
+
+    def run(batches):
+        group: list[tuple] = []
+        found: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in names)):
+                if group and row[:3] != group[0][:3]:
+                    found += compared(group)
+                    group = []
+                group.append(row)
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        if group:
+            found += compared(group)
+        yield _pairs(found)
+    return run
+
+
+def _pairs(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array([int(x) for x, _ in found], pa.int64()),
+                            "b": pa.array([int(y) for _, y in found], pa.int64())})
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -141,65 +206,80 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: float, label: str) -> DataFrame:
-    """The pairs of ``a, b`` that are links: pruned by signatures, verified on full sets."""
+def _pruned(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("signature").alias(f"sig_{name}"))
 
+    limits = [(n, fewest_matches(n, share, MISS)) for n in range(BATCH, CHECKS + 1, BATCH)]
+    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b"),
+                     _prune(limits), "a LONG, b LONG")
+
+
+def _links(likely: DataFrame, texts: DataFrame, share: float, label: str) -> DataFrame:
+    """The pairs that are links by their full sets."""
     def text(name: str) -> DataFrame:
         return texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
 
-    limits = [(n, fewest_matches(n, share, MISS)) for n in range(BATCH, CHECKS + 1, BATCH)]
-    likely = materialise(arrow_map(
-        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b"),
-        _prune(limits), "a LONG, b LONG"), f"{label}-likely")
+    likely = materialise(likely, f"{label}-likely")
     full = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     return materialise(arrow_map(full, _verify(round(share * 100)), "a LONG, b LONG"), f"{label}-links")
 
 
+def _further(crowded: DataFrame, joined: DataFrame, nodes: DataFrame, texts: DataFrame,
+             share: float) -> DataFrame:
+    """Likely pairs across the components that a bucket still spans.
+
+    Its members are dealt in blocks; a task compares two blocks, so a bucket of any size is split.
+    """
+    placed = crowded.select("bucket", "band", "node").join(joined, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("bucket").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")
+    ).filter("_low <> _high").select("bucket", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
+    rest = materialise(placed.join(mixed, "bucket"), "mixed-buckets")
+    members = rest.select("node").distinct()
+    wider = arrow_map(texts.select(F.col("doc_id").alias("node"), "text").join(members, "node", "left_semi"),
+                      _widen, "node LONG, wider BINARY").groupBy("node").agg(F.any_value("wider").alias("wider"))
+    known = nodes.join(wider, "node").select(
+        "node", "n", "bands", F.concat("signature", "wider").alias("signature"))
+    block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    dealt = rest.join(known, "node").withColumn("block", block).withColumn(
+        "_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "bucket", F.least("block", "_with").alias("one"), F.greatest("block", "_with").alias("two"),
+        "block", "band", "node", "component", "n", "bands", "signature")
+    keys = ("bucket", "one", "two")
+    return arrow_map(dealt.repartition(*keys).sortWithinPartitions(*keys), _across(share), "a LONG, b LONG")
+
+
 def near_dedup(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sketched = materialise(arrow_map(
-        rows, _sketch, "doc_id LONG, n LONG, digest BINARY, bands ARRAY<LONG>, signature BINARY, "
-        "low LONG, high LONG"), "sketches")
+        rows, _sketch, "doc_id LONG, n LONG, digest BINARY, bands ARRAY<LONG>, signature BINARY"),
+        "sketches")
     # one node for each set: rows of a set that everybody shares are combined before the shuffle
     nodes = materialise(
         sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("node"),
-            *[F.any_value(c).alias(c) for c in ("n", "bands", "signature", "low", "high")]), "nodes")
+            *[F.any_value(c).alias(c) for c in ("n", "bands", "signature")]), "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("_band", "_key")).select(
-        "node", F.xxhash64("_band", "_key").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot <> _last").drop("_last")
-    crowded = materialise(members.join(buckets, "bucket"), "crowded-buckets")
+        "node", F.col("_band").alias("band"), F.xxhash64("_band", "_key").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = materialise(members.join(buckets, "bucket"), "buckets")
+    # the member that meets most others is likely the text that the others derive from
+    crowd = met.groupBy("node").agg(F.sum("size").alias("crowd"))
+    ranked = met.select("bucket", "node").join(crowd, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("crowd", -F.col("node")))["col2"].alias("_pivot"))
+    crowded = materialise(
+        met.join(pivots, "bucket").select("bucket", "band", "node", (-F.col("_pivot")).alias("pivot")),
+        "crowded-buckets")
     star = materialise(
-        crowded.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
+        crowded.filter("node <> pivot").select(
+            F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(),
         "star-pairs")
-    links = _links(star, nodes, rows, share, "star")
+    links = _links(_pruned(star, nodes, share), rows, share, "star")
     joined = components(links)
-    # buckets that still span several components
-    placed = crowded.select("bucket", "node").join(joined, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high")
-    rest = materialise(
-        placed.join(mixed.select("bucket"), "bucket", "left_semi")
-        .join(nodes.select("node", "n", "low", "high"), "node"), "mixed-buckets")
-    x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "low", "high")])
-            for s in "xy")
-    bits = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(
-        F.col("high_x").bitwiseXOR(F.col("high_y")))
-    # a low bit also agrees by chance; the bound is the same posterior over all bits
-    agreeing = fewest_matches(BITS, (1 + share) / 2, MISS)
-    across = x.join(
-        y, (x["bucket"] == y["bucket"])
-        & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-        & (F.col("n_x") >= F.col("n_y") * share) & (F.col("n_y") >= F.col("n_x") * share)
-        & (BITS - bits >= agreeing))
-    further = across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(
-        star, ["a", "b"], "left_anti")
-    more = _links(materialise(further, "further-pairs"), nodes, rows, share, "further")
+    more = _links(_further(crowded, joined, nodes, rows, share), rows, share, "further")
     final = components(links.union(more))
     classes = nodes.select("digest", "node").join(final, "node", "left").select(
         F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_component"))
