@@ -277,9 +277,12 @@ def near_dedup(docs: DataFrame, share: float = SHARE) -> DataFrame:
         crowded.filter("node <> pivot").select(
             F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(),
         "star-pairs")
-    links = _links(_pruned(star, nodes, share), rows, share, "star")
+    # the texts that any pair may need, shuffled once; a merge join at every size
+    suspects = materialise(rows.join(crowded.select(F.col("node").alias("doc_id")).distinct().hint("merge"),
+                                     "doc_id", "left_semi"), "suspects")
+    links = _links(_pruned(star, nodes, share), suspects, share, "star")
     joined = components(links)
-    more = _links(_further(crowded, joined, nodes, rows, share), rows, share, "further")
+    more = _links(_further(crowded, joined, nodes, suspects, share), suspects, share, "further")
     final = components(links.union(more))
     classes = nodes.select("digest", "node").join(final, "node", "left").select(
         F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_component"))
