@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from arborlake.llm.tables import arrow_map
 from arborlake.llm.text import Texts, parts, slices
 
-MEMO = 300_000  # distinct fragments that a task remembers
+MEMO = 100_000  # distinct fragments that a task remembers
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,7 +89,7 @@ def _encoder(shared, text_column: str):
         cut = forced_cuts(json.loads(shared.value))
         memo: dict[str, bytes] = {}
         for batch in batches:
-            for part in parts(batch, text_column, 1 << 22):
+            for part in parts(batch, text_column, 1 << 21):
                 texts = Texts(part.column(text_column))
                 starts, ends = fragments(texts, cut)
                 coded = slices(texts.data, starts, ends).dictionary_encode()
@@ -120,7 +120,7 @@ def _decoder(shared, text_column: str):
         length = np.array([len(t) for t in tokens], np.int64)
         letters, begin = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length
         for batch in batches:
-            for part in parts(batch, "ids"):
+            for part in parts(batch, "ids", 1 << 20):
                 coded = Texts(part.column("ids"))
                 ids = coded.data.view("<u4") if len(coded.data) else np.zeros(0, np.uint32)
                 raw = spread(letters, begin, length, ids).tobytes()
