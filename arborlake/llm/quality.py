@@ -33,6 +33,7 @@ FOLDS = 3
 EPOCHS = 6
 SEED = 11
 
+_DRAWS = 10**15  # grain of the share of labelled rows that is drawn
 _STATS = 12  # structure statistics, each binned twice
 _BINS = 32
 _PLACES = (1 << WORD_BITS) + (2 * _STATS + 2) * _BINS
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     share = min(1.0, sample / max(total, 1))
     # proven bound: about ``sample`` rows, whatever the number of labels
     drawn = F.broadcast(labelled.filter(
-        F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)))
+        F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(_DRAWS)) < int(share * _DRAWS)))
     rows = _inputs(docs).join(drawn, "doc_id").select("text", "n_chars", "label")
     made = arrow_map(rows, _featurise, "label INT, places BINARY, vals BINARY")
     found = arrow_map(made.repartition(1), _train, "model BINARY, bias DOUBLE").collect()
