@@ -95,18 +95,19 @@ def _guess_and_decode(raw: pd.Series, codec: pd.Series) -> pd.DataFrame:
 
 
 def encoding_on_jvm(raw: Column, cut: Column) -> Column:
-    """``ascii`` or ``utf_8`` where the encoding sample is one of them, else null."""
-    shortened = cut | (F.octet_length(raw) > ENCODING_SAMPLE_BYTES)
+    """``ascii`` or ``utf_8`` where all of ``raw`` is one of them, else null.
 
-    def decide(sampled: Column) -> Column:
-        one_byte_each = F.length(sampled.cast("string")) == F.octet_length(sampled)
+    Where ``cut``, the last character may be incomplete.
+    """
+    def decide(data: Column) -> Column:
+        one_byte_each = F.length(data.cast("string")) == F.octet_length(data)
         return (
-            F.when(_is_utf8(sampled) & one_byte_each, F.lit("ascii"))
-            .when(_is_utf8(sampled), F.lit("utf_8"))
-            .when(shortened & _utf8_but_for_its_end(sampled), F.lit("utf_8"))
+            F.when(_is_utf8(data) & one_byte_each, F.lit("ascii"))
+            .when(_is_utf8(data), F.lit("utf_8"))
+            .when(cut & _utf8_but_for_its_end(data), F.lit("utf_8"))
         )
 
-    return let(F.substring(raw, 1, ENCODING_SAMPLE_BYTES), decide)
+    return let(raw, decide)
 
 
 def with_decoded(

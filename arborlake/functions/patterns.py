@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 import logging
 import re
+import warnings
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 log = logging.getLogger(__name__)
 
@@ -69,23 +70,169 @@ def matches_glob(name: Column, glob: str) -> Column:
     return name.like(escaped.replace("*", "%").replace("?", "_"))
 
 
-def java_regex(pattern: str) -> str | None:
-    """The Python pattern for the JVM, or None (logged) when it is not a valid expression."""
+class Untranslatable(ValueError):
+    """A valid Python expression that the JVM's engine has no equal for."""
+
+
+# what the Python classes hold, as members of a Java class
+_DIGIT, _WORD = r"\p{Nd}", r"\p{L}\p{N}_"
+_MEMBERS = {"d": _DIGIT, "w": _WORD, "s": r"\t-\r\x1c-\x20\x85\p{Z}"}
+_ASCII_MEMBERS = {"d": "0-9", "w": "a-zA-Z0-9_", "s": r"\t-\r\x20"}
+_REPEAT = re.compile(r"\{(?!\})(\d*)(?:(,)(\d*))?\}")
+_FLAGS = re.compile(r"\(\?([aiLmsux]*)(?:-([imsx]+))?([:)])")
+
+
+class _Translation:
+    """One pass over a Python expression, written out for ``java.util.regex``."""
+
+    def __init__(self, pattern: str):
+        compiled = _compiled(pattern)
+        self.pattern, self.pos = pattern, 0
+        self.numbers = compiled.groupindex
+        self.groups = compiled.groups
+        self.members = _ASCII_MEMBERS if compiled.flags & re.ASCII else _MEMBERS
+        if compiled.flags & re.VERBOSE:
+            raise Untranslatable("verbose expressions")
+
+    def text(self) -> str:
+        out = []
+        while self.pos < len(self.pattern):
+            out.append(self._next())
+        # (?d): only a line feed ends a line, for "." and "$" alike
+        return "(?d)" + "".join(out)
+
+    def _taken(self, count: int) -> str:
+        found = self.pattern[self.pos:self.pos + count]
+        self.pos += count
+        return found
+
+    def _next(self) -> str:
+        rest = self.pattern[self.pos:]
+        if rest[0] == "\\":
+            return self._escape(inside=False)
+        if rest[0] == "[":
+            return self._set()
+        if rest.startswith("(?"):
+            return self._group(rest)
+        if rest[0] == "{":
+            repeat = _REPEAT.match(rest)
+            if repeat is None:
+                self.pos += 1
+                return r"\{"
+            self.pos += repeat.end()
+            least, comma, most = repeat.groups()
+            return "{" + (least or "0") + (comma or "") + (most or "") + "}"
+        return self._taken(1)
+
+    def _group(self, rest: str) -> str:
+        if rest.startswith("(?P<"):
+            self.pos += rest.index(">") + 1
+            return "("
+        if rest.startswith("(?P="):
+            end = rest.index(")")
+            self.pos += end + 1
+            return rf"(?:\{self.numbers[rest[4:end]]})"
+        if rest.startswith("(?#"):
+            self.pos += rest.index(")") + 1
+            return ""
+        if rest.startswith("(?("):
+            raise Untranslatable("conditional groups")
+        flags = _FLAGS.match(rest)
+        if flags is None:
+            return self._taken(3)  # a look-around or an atomic group
+        self.pos += flags.end()
+        on, off, close = flags.groups()
+        if "x" in on or ("a" in on or "u" in on) and close == ":":
+            raise Untranslatable(f"flags {on}")
+        on = "".join({"i": "iu", "m": "m", "s": "s"}.get(f, "") for f in on)
+        return "(?" + on + (f"-{off}" if off else "") + close if on or off or close == ":" else ""
+
+    def _set(self) -> str:
+        self.pos += 1
+        out = "["
+        if self.pattern[self.pos] == "^":
+            out += self._taken(1)
+        first = True
+        while first or self.pattern[self.pos] != "]":
+            first = False
+            char = self.pattern[self.pos]
+            if char == "\\":
+                out += self._escape(inside=True)
+            else:
+                out += "\\" + self._taken(1) if char in "[]&^" else self._taken(1)
+        return out + self._taken(1)
+
+    def _escape(self, inside: bool) -> str:
+        letter = self.pattern[self.pos + 1]
+        self.pos += 2
+        if letter.lower() in self.members:
+            members = self.members[letter.lower()]
+            if letter.isupper():
+                return f"[^{members}]"
+            return members if inside else f"[{members}]"
+        if letter == "b" and inside:
+            return r"\x08"
+        if letter in "bB":
+            word = f"[{self.members['w']}]"
+            here, there = ("!", "=") if letter == "b" else ("=", "!")
+            return f"(?:(?<={word})(?{here}{word})|(?<!{word})(?{there}{word}))"
+        if letter == "Z":
+            return r"\z"
+        if letter == "v":
+            return r"\x0b"
+        if letter == "U":
+            return rf"\x{{{self._taken(8)}}}"
+        if letter.isdigit():
+            return self._number(letter, inside)
+        return "\\" + letter
+
+    def _number(self, digit: str, inside: bool) -> str:
+        rest = self.pattern[self.pos:]
+        octal = re.match("[0-7]{0,2}" if digit == "0" or inside else "[0-7]{2}", rest)
+        if octal and digit in "01234567" and (digit == "0" or inside or octal.end() == 2):
+            self.pos += octal.end()
+            return rf"\x{{{int(digit + octal[0], 8):x}}}"
+        if rest[:1].isdigit():
+            digit += self._taken(1)
+        return rf"(?:\{digit})"
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)
+        return re.compile(pattern)
+
+
+@functools.lru_cache(maxsize=1024)
+def translated(pattern: str) -> str | None:
+    """The Python expression for the JVM, or None (logged) where it is invalid or has no equal."""
     try:
-        re.compile(pattern)
-    except re.error as problem:
-        log.error("ignoring invalid regular expression %r: %s", pattern, problem)
+        return _Translation(pattern).text()
+    except (re.error, Untranslatable) as problem:
+        log.error("ignoring regular expression %r: %s", pattern, problem)
         return None
-    translated = re.sub(r"\(\?P<\w+>", "(", pattern)
-    return translated.replace(r"\Z", r"\z")
+
+
+@functools.lru_cache(maxsize=1024)
+def java_regex(pattern: str) -> str | None:
+    """``translated``, tried on the JVM's engine so that no job fails on it later."""
+    found = translated(pattern)
+    spark = SparkSession.getActiveSession()
+    if found is not None and spark is not None:
+        try:
+            spark.sql("SELECT '' RLIKE :pattern", args={"pattern": found}).collect()
+        except Exception as problem:  # the engine's own error class is not exposed
+            log.error("ignoring regular expression %r: %s", pattern, str(problem).split("\n")[0])
+            return None
+    return found
 
 
 def matches_regex(name: Column, pattern: str, *, anchored: bool = True) -> Column:
     """True where the expression matches, at the start of the text when ``anchored``."""
-    translated = java_regex(pattern)
-    if translated is None:
+    found = java_regex(pattern)
+    if found is None:
         return F.lit(False)
-    return name.rlike(f"^(?:{translated})" if anchored else translated)
+    return name.rlike(f"^(?:{found})" if anchored else found)
 
 
 def matches_any(name: Column, patterns: Iterable[str]) -> Column:

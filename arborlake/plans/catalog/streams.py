@@ -30,14 +30,12 @@ def stream_entry_sink(spark, sf_dir):
     return stream_entries.committed_entries(spark, f"{work}/out")
 
 
-@query("stream_summary", """SELECT count(*) AS total_files, CAST(0 AS BIGINT) AS excluded_files,
-    count(*) AS included_files, 0.0::DOUBLE AS excluded_percentage, CAST(0 AS BIGINT) AS failed_files,
-    false AS stopped_early, count(*) AS processed_files, 'md5' AS hash_algorithm FROM entries_v""")
+@query("stream_summary", "SELECT * FROM summary_v")
 def stream_summary(spark, sf_dir):
     work = new_work_path(spark, "stream-summary")
     files = views.as_files(_stream(spark, sf_dir, "documents"))
     stream_entries.write_entries(
-        stream_entries.entry_stream(files, OPTIONS), f"{work}/out", f"{work}/checkpoint"
+        stream_entries.marked_stream(files, OPTIONS), f"{work}/out", f"{work}/checkpoint"
     ).awaitTermination()
     return stream_entries.committed_summary(spark, f"{work}/out", hash_algorithm="md5")
 

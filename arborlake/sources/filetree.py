@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, InputPartition,
 )
 
+from arborlake.functions.patterns import translated
 from arborlake.options import ScanOptions
 from arborlake.schema import FILES
 from arborlake.session import materialise
@@ -60,10 +61,9 @@ class _Walker:
         self.rules = []
         for rule in json.loads(options.get("excludepatterns", "[]")):
             expression = rule[6:] if rule.startswith("regex:") else fnmatch.translate(rule)
-            try:
+            # what the column rules cannot express is ignored here as well
+            if not rule.startswith("regex:") or translated(expression) is not None:
                 self.rules.append(re.compile(expression))
-            except re.error as problem:
-                log.error("ignoring invalid regular expression %r: %s", rule, problem)
 
     def _pruned(self, name: str) -> bool:
         return name in self.folders or any(rule.match(name) for rule in self.rules)

@@ -27,6 +27,21 @@ def entry_stream(files: DataFrame, options: ScanOptions) -> DataFrame:
     return analysis.entries(included, options)
 
 
+def marked_stream(files: DataFrame, options: ScanOptions) -> DataFrame:
+    """``entry_stream`` plus a row for each file that a name rule leaves out.
+
+    Such a row has its path and ``name_excluded`` only; a summary counts it.
+    """
+    rows = analysis.traversed(files, options)
+    for column in ("text", "content"):
+        if column in rows.columns:
+            rows = rows.withColumn(column, F.when(~F.col("name_excluded"), F.col(column)))
+    marked = analysis.entries(rows, options, keep=("name_excluded",))
+    named = ("path", "parent", "filename", "name_excluded")
+    return marked.withColumns({
+        c: F.when(~F.col("name_excluded"), F.col(c)) for c in marked.columns if c not in named})
+
+
 def write_entries(
     entries: DataFrame, path: str, checkpoint: str, *, fmt: str = "json", trigger: dict | None = None
 ) -> StreamingQuery:
@@ -39,20 +54,27 @@ def write_entries(
     )
 
 
+def _committed(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    schema = f"{ENTRIES}, name_excluded BOOLEAN"
+    return spark.read.schema(schema).format(fmt).load(path).withColumn(
+        "name_excluded", F.coalesce("name_excluded", F.lit(False)))
+
+
 def committed_entries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """What a streaming sink has committed so far."""
-    return spark.read.schema(ENTRIES).format(fmt).load(path)
+    return _committed(spark, path, fmt).filter(~F.col("name_excluded")).drop("name_excluded")
 
 
 def committed_summary(
     spark: SparkSession, path: str, *, fmt: str = "json", stopped_early: bool = False,
     hash_algorithm: str | None = None,
 ) -> DataFrame:
-    """Summary after the last entry, over the committed ones. Name-excluded files never reach
-    the sink, so ``excluded_files`` is 0 here; see ``progress`` for live counts of both."""
-    rows = committed_entries(spark, path, fmt).withColumn("name_excluded", F.lit(False))
+    """Summary after the last entry, over the committed rows.
+
+    Excluded files are counted where the sink holds a ``marked_stream``.
+    """
     return summary.run_summary(
-        rows, stopped_early=stopped_early, hash_algorithm=hash_algorithm)
+        _committed(spark, path, fmt), stopped_early=stopped_early, hash_algorithm=hash_algorithm)
 
 
 def stop_and_summarise(

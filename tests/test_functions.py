@@ -4,6 +4,7 @@ import datetime
 import fnmatch
 import pathlib
 import re
+import warnings
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -47,6 +48,40 @@ def test_glob_regex_equals_fnmatch(glob):
         assert bool(re.match("(?s)" + translated, name)) == fnmatch.fnmatchcase(name, glob)
 
 
+REGEXES = [
+    r"\d\.txt", r"\w+\.py", r"(?P<q>a+)-(?P=q)", r"x[[]y", r"a[&&]b", r"[]x]+y", r"[^\W\d]+-",
+    r"\ba", r".*a\b", r"x{,2}y", r"a{z}", r"(?i)\u00c9", r".\.txt", r"a$", r"[\b]", r"(a)(-)\1", r"\101",
+    r"\S+\Z", r"(?#note)a", r"(?:a|x)[\w&]y", r"(?a)\w+\.py", r"(?i:A)-", r"[a^]b", r"(?=x)x",
+]
+RULE_NAMES = ["3.txt", "\u0663.txt", "\u00e9.py", "e.py", "a-a", "aa-a", "x[y", "a&b", "]xy", "ab-", "a1-",
+         "a.x", "aa", "ba a", "xxy", "y", "xxxy", "a{z}", "\r.txt", "\n.txt", "a\n", "a\r", "\x08", "A-",
+         "x y", "xwy", "x\u00a0", "^b", "x&y", "\u00e9"]
+
+
+@pytest.mark.parametrize("pattern", REGEXES)
+def test_regex_rules_match_as_python_does(spark, pattern):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        rule = re.compile(pattern)
+    got = column_of(spark, RULE_NAMES, lambda c: patterns.matches_regex(c, pattern))
+    assert got == [rule.match(name) is not None for name in RULE_NAMES]
+
+
+@pytest.mark.parametrize("pattern", ["(a)?(?(1)b|c)", "(?x) a b", "(["])
+def test_rules_without_an_equal_are_logged_and_match_nothing(spark, pattern, caplog):
+    patterns.translated.cache_clear()
+    patterns.java_regex.cache_clear()
+    assert column_of(spark, ["ab", "c"], lambda c: patterns.matches_regex(c, pattern)) == [False, False]
+    assert "ignoring regular expression" in caplog.text
+
+
+def test_encoding_is_judged_on_the_whole_text(spark):
+    texts = [b"a" * 600_000 + "\u00e9".encode("latin-1"), b"a" * 600_000 + "\u00e9".encode(), b"a" * 600_000]
+    df = spark.createDataFrame([(t,) for t in texts], "raw binary")
+    got = [r[0] for r in df.select(content.encoding_on_jvm(F.col("raw"), F.lit(False))).collect()]
+    assert got == [None, "utf_8", "ascii"]
+
+
 def test_regex_rules_are_anchored_at_the_start_and_bad_ones_ignored(spark):
     names = ["abc", "xabc", "ab"]
     assert column_of(spark, names, lambda c: patterns.matches_any(c, ["regex:ab|zz"])) == [

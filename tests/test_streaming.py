@@ -76,6 +76,16 @@ def test_results_arrive_batch_by_batch_and_stop_keeps_them(spark, parts, work):
     assert row["stopped_early"] and row["included_files"] == sum(counts)
 
 
+def test_the_summary_of_a_stream_counts_what_name_rules_leave_out(spark, parts, work):
+    options = ScanOptions(detect_charset=False, hash_algorithm="md5", exclude_patterns=("*1*",))
+    finish(streams.write_entries(
+        streams.marked_stream(parts(), options), f"{work}/out", f"{work}/cp"))
+    got = streams.committed_summary(spark, f"{work}/out", hash_algorithm="md5").first()
+    want = analyse(views.files(spark, SF), options)
+    assert got.asDict() == want.summary().first().asDict() and got["excluded_files"] > 0
+    assert keyed(streams.committed_entries(spark, f"{work}/out")) == keyed(want.entries)
+
+
 def test_a_failing_callback_does_not_stop_the_run(spark, parts, work, caplog):
     seen = []
 
