@@ -41,10 +41,10 @@ _PLANNED_PER_PARTITION = 10  # directories the planner lists at most, per wanted
 
 @dataclass
 class _Share(InputPartition):
-    """Directories for one task: walked down to the leaves or listed for their own files."""
+    """Directories for one task: walked down to the leaves, and listed for their own files only."""
 
-    directories: tuple[str, ...]
-    recursive: bool
+    walked: tuple[str, ...]
+    listed: tuple[str, ...]
     split: int
     splits: int
     after_us: int | None = None
@@ -68,43 +68,55 @@ class _Walker:
     def _pruned(self, name: str) -> bool:
         return name in self.folders or any(rule.match(name) for rule in self.rules)
 
-    def listing(self, directory: str) -> tuple[list[str], list[os.DirEntry]]:
-        """Directories to enter and file entries; an unreadable directory gives neither."""
-        directories, files = [], []
+    def listing(self, directory: str) -> Iterator[tuple[bool, os.DirEntry]]:
+        """Directories to enter (true) and files, one by one, so that a very full directory is
+        never held; an unreadable directory gives neither."""
         try:
             with os.scandir(directory) as found:
                 for entry in found:
                     if entry.is_dir():
                         enter = self.follow or not entry.is_symlink()
                         if enter and not self._pruned(entry.name):
-                            directories.append(entry.path)
+                            yield True, entry
                     elif entry.is_file():
-                        files.append(entry)
+                        yield False, entry
         except OSError as problem:
             log.warning("skipping directory %s: %s", directory, problem)
-        return directories, files
 
     def rows(self, share: _Share) -> Iterator[tuple]:
-        stack = list(share.directories)
-        seen = set()
-        while stack:
-            directory = stack.pop()
-            real = os.path.realpath(directory)
-            if self.follow:
-                if real in seen:
-                    continue
-                seen.add(real)
-            below, files = self.listing(directory)
-            if share.recursive:
-                stack.extend(below)
-            parent = os.path.relpath(directory, self.root)
-            parent = "" if parent == "." else parent.replace(os.sep, "/")
-            for entry in files:
-                if share.splits > 1 and zlib.crc32(os.fsencode(entry.name)) % share.splits != share.split:
-                    continue
-                row = self._row(entry, parent, real, share)
-                if row is not None:
+        for directory in share.listed:
+            for is_dir, row in self.level(directory, share):
+                if not is_dir:
                     yield row
+        for top in share.walked:
+            stack, seen = [top], set()
+            while stack:
+                directory = stack.pop()
+                if self.follow:
+                    real = os.path.realpath(directory)
+                    if real in seen:
+                        continue
+                    seen.add(real)
+                for is_dir, found in self.level(directory, share):
+                    if is_dir:
+                        stack.append(found)
+                    else:
+                        yield found
+
+    def level(self, directory: str, share: _Share) -> Iterator[tuple]:
+        """Paths of the directories below (with true) and rows of the files of the share."""
+        real = os.path.realpath(directory)
+        parent = os.path.relpath(directory, self.root)
+        parent = "" if parent == "." else parent.replace(os.sep, "/")
+        for is_dir, entry in self.listing(directory):
+            if is_dir:
+                yield True, entry.path
+                continue
+            if share.splits > 1 and zlib.crc32(os.fsencode(entry.name)) % share.splits != share.split:
+                continue
+            row = self._row(entry, parent, real, share)
+            if row is not None:
+                yield False, row
 
     def _row(self, entry: os.DirEntry, parent: str, real: str, share: _Share) -> tuple | None:
         path = f"{parent}/{entry.name}" if parent else entry.name
@@ -127,7 +139,8 @@ class _Walker:
 def _plan(walker: _Walker, options: dict, **window) -> list[_Share]:
     """Widen from the root until there are enough directories to hand out.
 
-    The planner lists a bounded number of directories; everything below is listed in tasks.
+    The planner lists a bounded number of directories; everything below is listed in tasks, of
+    which there are at most ``partitions`` (or ``splits``, if that is more) however wide the tree.
     """
     wanted = int(options.get("partitions", 64))
     splits = int(options.get("splits", 1))
@@ -141,12 +154,12 @@ def _plan(walker: _Walker, options: dict, **window) -> list[_Share]:
             continue
         entered.add(real)
         listed.append(directory)
-        frontier.extend(walker.listing(directory)[0])
-    bundles = [(tuple(listed[i::wanted]), False) for i in range(min(wanted, len(listed)))]
-    bundles += [((directory,), True) for directory in frontier]
+        frontier.extend(entry.path for is_dir, entry in walker.listing(directory) if is_dir)
+    walked = list(frontier)
+    bundles = max(1, min(wanted // splits, max(len(walked), len(listed))))
     return [
-        _Share(directories, recursive, split, splits, **window)
-        for directories, recursive in bundles
+        _Share(tuple(walked[i::bundles]), tuple(listed[i::bundles]), split, splits, **window)
+        for i in range(bundles)
         for split in range(splits)
     ]
 
@@ -261,16 +274,12 @@ def _level_lister(options: dict):
         walker = _Walker(options)
         names = [column.split(" ")[0] for column in LEVEL_SCHEMA.split(", ")]
         rows = []
+        whole = _Share((), (), 0, 1)
         for batch in batches:
             for directory in batch["directory"]:
-                below, _ = walker.listing(directory)
-                rows += [
-                    (None, None, None, None, None, None, None, None, path,
-                     os.path.realpath(path), True) for path in below
-                ]
-                share = _Share((directory,), False, 0, 1)
-                for row in walker.rows(share):
-                    rows.append((*row, False))
+                for is_dir, found in walker.level(directory, whole):
+                    rows.append((None,) * 8 + (found, os.path.realpath(found), True) if is_dir
+                                else (*found, False))
                     if len(rows) >= _ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=names, dtype="object")
                         rows = []

@@ -155,3 +155,14 @@ def test_stream_sees_new_files_once(spark, tree, tmp_path):
     assert first == sorted(EXPECTED)
     (tree / "pkg" / "new.py").write_text("new")
     assert once() == sorted([*EXPECTED, "pkg/new.py"])
+
+
+@pytest.mark.parametrize("splits", [1, 2])
+def test_wide_root_gives_few_tasks(spark, tmp_path, splits):
+    for i in range(300):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.txt").write_text(str(i))
+    options = ScanOptions(excluded_folders=())
+    files = filetree.scan(spark, str(tmp_path), options, partitions=4, splits=splits)
+    assert files.rdd.getNumPartitions() <= 4
+    assert files.count() == 300 and files.select("path").distinct().count() == 300
