@@ -117,7 +117,8 @@ def evict(
 ) -> DataFrame:
     """Keep the newest rows by mtime once the table is over its limit.
 
-    The cut is by global row number, so no task ever holds the evicted or the kept rows whole.
+    The cut is by global row number over the keys alone, so no task ever holds the evicted or the
+    kept rows whole, and payloads move once, for the rows that stay.
     ``size_bytes`` may give the size on disk; the default is the payload size.
     """
     row_count, payload = accounting(cache).first()
@@ -125,5 +126,6 @@ def evict(
     keep = rows_to_keep(row_count, measured, limit_bytes)
     if keep == row_count:
         return cache
-    ranked = numbered(cache, ["mtime_us", "path"], name="_age_rank")
-    return ranked.filter(F.col("_age_rank") > row_count - keep).drop("_age_rank")
+    ranked = numbered(cache.select("mtime_us", "path"), ["mtime_us", "path"], name="_age_rank")
+    newest = ranked.filter(F.col("_age_rank") > row_count - keep).select("path")
+    return cache.join(newest, "path", "left_semi")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborlake.options import CHUNK_ENTRIES
 from arborlake.session import materialise
 
+_GROUP_LIMIT = 1000  # ranks up to which Spark reduces a window before its shuffle
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a partition below this
 
 
@@ -71,8 +72,11 @@ def last_n(
     """Newest ``n`` rows per key (a bounded buffer that drops its oldest rows).
 
     Two rounds: within (key, salt), then within the key over at most ``n * salts`` rows. The
-    salt comes from the row itself, so a hot key spreads over tasks and the result is exact.
+    salt comes from the row itself, so a hot key spreads over tasks and the result is exact. Beyond
+    the ranks that Spark cuts off before a shuffle, rows are numbered by range instead.
     """
+    if n > _GROUP_LIMIT:
+        return numbered(df, newest_first, [key], "_rank").filter(F.col("_rank") <= n).drop("_rank")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     near = Window.partitionBy(key, "_salt").orderBy(*newest_first)
     final = Window.partitionBy(key).orderBy(*newest_first)

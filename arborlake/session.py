@@ -44,8 +44,12 @@ def work_dir(spark: SparkSession) -> str:
     return _own_work_dir()
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/arborlake/{spark.sparkContext.applicationId}"
+
+
 def new_work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/arborlake/{label}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -57,3 +61,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system and path objects, for folders in any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly in ``path``; none if it is not there."""
+    store, place = _hadoop(spark, path)
+    if not store.exists(place):
+        return []
+    return [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()]
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    store, place = _hadoop(spark, path)
+    return store.delete(place, True)
+
+
+def clear_work(spark: SparkSession) -> bool:
+    """Delete all intermediates of this application, once their results are written elsewhere."""
+    return delete_folder(spark, _application_dir(spark))

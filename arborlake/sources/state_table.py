@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborlake.operators.cache import last_wins
+from arborlake.session import delete_folder, folders
 
 _COMMITS = "version BIGINT, kind STRING, batch STRING"
 
@@ -89,6 +90,19 @@ class StateTable:
             return False
         return self.replace(self.read(), batch)
 
+    def vacuum(self) -> int:
+        """Delete the versions that the last snapshot replaced, and say how many.
+
+        Frames read from the table before that snapshot can no longer be computed.
+        """
+        live = self._live_versions()
+        data = f"{self.path}/data"
+        old = [f"{data}/{name}" for name in folders(self.spark, data)
+               if live and name.startswith("version=") and int(name[len("version="):]) < live[0]]
+        for path in old:
+            delete_folder(self.spark, path)
+        return len(old)
+
     def bytes_on_disk(self) -> int:
         """Bytes of the live versions, from the listing alone."""
         paths = [f"{self.path}/data/version={v}" for v in self._live_versions()]

@@ -41,12 +41,14 @@ def rolling_buffer(
     """Keep the last ``n`` rows per logger in ``state``.
 
     Each batch is merged with the buffer by the salted two-round selection, so a logger with a
-    third of all rows is not handled by one task, as keyed streaming state would do.
+    third of all rows is not handled by one task, as keyed streaming state would do. The snapshot
+    that a batch replaces is deleted.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         held = state.read()
         merged = held.unionByName(batch.select(*held.columns))
         state.replace(buffered(merged, n), f"{checkpoint}:{batch_id}")
+        state.vacuum()
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)

@@ -221,3 +221,21 @@ def test_stored_form_is_json(spark, files):
     entries = analyse(files({"a.txt": b"x"}), OPTIONS).entries.withColumn("mtime_us", F.lit(1))
     row = stored_form(entries).first()
     assert json.loads(row["file_info"])["content"] == "x" and row["path"] == "a.txt"
+
+
+def test_vacuum_deletes_replaced_versions(spark, tmp_path):
+    state = StateTable(spark, str(tmp_path / "t"), "k BIGINT, v BIGINT", "k")
+    for i in range(3):
+        state.upsert(spark.createDataFrame([(1, i), (10 + i, i)], state.schema), f"b{i}")
+    assert state.vacuum() == 0
+    before = sorted(tuple(r) for r in state.read().collect())
+    state.compact("c")
+    assert state.vacuum() == 3 and sorted(tuple(r) for r in state.read().collect()) == before
+    assert [p.name for p in (tmp_path / "t" / "data").iterdir() if p.is_dir()] == ["version=4"]
+
+
+def test_eviction_moves_keys_only(spark):
+    columns = "path STRING, file_hash STRING, file_info STRING, size BIGINT, mtime_us BIGINT"
+    rows = [(f"p{i:03}", "h", "x" * 100, 100, i // 2) for i in range(100)]
+    kept = cache.evict(spark.createDataFrame(rows, columns), limit_bytes=5000)
+    assert sorted(r["path"] for r in kept.collect()) == [f"p{i:03}" for i in range(63, 100)]
