@@ -20,6 +20,7 @@ except ImportError:  # pragma: no cover - depends on the image
 log = logging.getLogger(__name__)
 # fixed values: hints that ask for detection
 _UTF8_NAMES = ("utf-8", "utf_8", "ascii")
+_FALLBACKS = {"utf-8": "UTF-8", "latin_1": "ISO-8859-1"}
 _AUTO_HINTS = ("", "auto", "automatic", "auto-detect", "autodetect", "detect")
 
 
@@ -111,13 +112,17 @@ def encoding_on_jvm(raw: Column, cut: Column) -> Column:
 
 
 def with_decoded(
-    df: DataFrame, raw: str, *, hint: str | None = None, cut: Column | None = None
+    df: DataFrame, raw: str, *, hint: str | None = None, cut: Column | None = None,
+    fallback: str | None = None,
 ) -> DataFrame:
     """Add ``_encoding`` and ``_decoded`` (U+FFFD for what cannot be decoded).
 
     UTF-8 and ASCII stay on the JVM. Only other bytes go to Python, in one Arrow pass that both
-    guesses and decodes; with a UTF-8 hint there is no such pass in the plan.
+    guesses and decodes. There is no such pass in the plan with a UTF-8 hint, or with a
+    ``fallback`` (``"utf-8"`` or ``"latin_1"``) that other bytes are read as instead of guessing.
     """
+    if fallback is not None and fallback not in _FALLBACKS:
+        raise ValueError(f"fallback must be one of {sorted(_FALLBACKS)}, not {fallback!r}")
     source = F.col(raw)
     if hint in _UTF8_NAMES:
         return df.withColumns({
@@ -125,6 +130,12 @@ def with_decoded(
     if hint is None:
         cut = F.lit(False) if cut is None else cut
         df = df.withColumn("_easy", encoding_on_jvm(source, cut))
+        if fallback is not None:
+            other = decode_utf8(source) if fallback == "utf-8" else F.decode(source, _FALLBACKS[fallback])
+            return df.withColumns({
+                "_encoding": F.when(source.isNotNull(), F.coalesce("_easy", F.lit(fallback))),
+                "_decoded": F.when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(other),
+            }).drop("_easy")
     else:
         df = df.withColumn("_easy", F.lit(None).cast("string"))
     other = F.when(F.col("_easy").isNull(), source)

@@ -101,7 +101,7 @@ def entries(
     rows = rows.withColumn("_text", F.when(is_text, fc.preview(F.col("content"), options.text_limit)))
     rows = fc.with_decoded(
         rows, "_text", hint=fc.encoding_hint(options.encoding),
-        cut=F.col("size") > options.text_limit,
+        cut=F.col("size") > options.text_limit, fallback=options.fallback_encoding,
     )
     raw_binary = F.when(is_bin, fc.preview(F.col("content"), options.binary_limit))
     if not options.hash_algorithm:

@@ -31,7 +31,9 @@ class ScanOptions:
     """What to leave out, how much of a file to read and how to show its times.
 
     ``excluded_files`` holds exact names: an entry such as ``*.tmp`` matches only a file of
-    that very name. Globs and ``regex:`` rules belong into ``exclude_patterns``.
+    that very name. Globs and ``regex:`` rules belong into ``exclude_patterns``. Texts that are not UTF-8
+    are read as ``fallback_encoding`` (``"utf-8"`` with replacements, or ``"latin_1"``), which keeps
+    Python out of the plan; without one their codec is guessed.
     """
 
     excluded_folders: tuple[str, ...] = DEFAULT_EXCLUDED_FOLDERS
@@ -42,6 +44,7 @@ class ScanOptions:
     include_binary: bool = False
     follow_symlinks: bool = False
     encoding: str | None = None
+    fallback_encoding: str | None = None
     timezone: str = "UTC"
     text_preview_bytes: int = TEXT_PREVIEW_BYTES
     binary_preview_bytes: int = BINARY_PREVIEW_BYTES

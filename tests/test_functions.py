@@ -304,3 +304,14 @@ def test_filter_preview_order_and_case(spark):
 def test_rows_to_keep():
     assert cache.rows_to_keep(100, 900, 1000) == 100
     assert cache.rows_to_keep(100, 2000, 1000) == 37
+
+
+def test_fallback_encoding_stays_on_the_jvm(spark):
+    df = spark.createDataFrame([(1, b"caf\xe9"), (2, "é".encode()), (3, b"a"), (4, None)], "id INT, raw BINARY")
+    for fallback, text in (("latin_1", "café"), ("utf-8", "caf�")):
+        found = content.with_decoded(df, "raw", fallback=fallback)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = [(r["_encoding"], r["_decoded"]) for r in found.orderBy("id").collect()]
+        assert rows == [(fallback, text), ("utf_8", "é"), ("ascii", "a"), (None, None)]
+    with pytest.raises(ValueError):
+        content.with_decoded(df, "raw", fallback="koi8")
