@@ -9,7 +9,7 @@ from arborlake.operators import analysis, filters, repos, summary, tree
 from arborlake.options import ScanOptions
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import OPTIONS, query, sql_array, sql_iso, sql_list
+from arborlake.plans.catalog.registry import OPTIONS, SMALL, WHOLE, query, sql_array, sql_iso, sql_list
 from arborlake.sources import records
 
 # ---- the run as a whole --------------------------------------------------------------------
@@ -17,9 +17,58 @@ from arborlake.sources import records
 
 @query("analyse_files", "SELECT * FROM entries_v")
 def analyse_files(spark, sf_dir):
+    return analyse(views.files(spark, sf_dir), WHOLE).entries
+
+
+@query("analyse_files_limited", "SELECT * FROM limited_entries_v")
+def analyse_files_limited(spark, sf_dir):
     return analyse(views.files(spark, sf_dir), OPTIONS).entries
 
 
+@query("faulty_entries", f"""SELECT path, type, CASE WHEN type = 'excluded' THEN 'file_size' END AS reason,
+    CASE WHEN type = 'text' THEN CASE WHEN octet_length(encode(left(text, 1000))) =
+        length(left(text, 1000)) THEN 'ascii' ELSE 'utf_8' END
+      WHEN type = 'binary' THEN 'base64' END AS encoding,
+    CASE type WHEN 'text' THEN left(text, 200) WHEN 'binary' THEN to_base64((encode(text))[1:500])
+      WHEN 'error' THEN 'Failed to get file stats: not allowed' END AS content,
+    CASE type WHEN 'text' THEN least(size, 1000) WHEN 'binary' THEN least(size, 500) END AS preview_bytes,
+    CASE WHEN (type = 'text' AND size > 1000) OR (type = 'binary' AND size > 500) THEN true END AS truncated,
+    CASE WHEN type <> 'error' THEN size END AS size,
+    CASE WHEN type IN ('text', 'binary') THEN {sql_iso(f'(mtime_us - {views.HOUR_US})')} END AS created,
+    CASE WHEN type IN ('text', 'binary') THEN md5(text) END AS hash,
+    CASE WHEN type = 'error' THEN 'PermissionError' END AS exception_type,
+    CASE WHEN type = 'error' THEN 'not allowed' END AS exception_message
+  FROM faulty_v""")
+def faulty_entries(spark, sf_dir):
+    """Error, binary, cut and excluded entries; of a text its first 200 characters are compared."""
+    found = analyse(views.faulty_files(spark, sf_dir), SMALL).entries
+    return found.select(
+        "path", "type", "reason", "encoding",
+        F.when(F.col("type") == "text", F.substring("content", 1, 200)).otherwise(F.col("content")).alias("content"),
+        "preview_bytes", "truncated", "size", "created", "hash", "exception_type", "exception_message")
+
+
+@query("failed_files", """SELECT path AS file, 'Failed to get file stats: not allowed' AS error
+  FROM faulty_v WHERE failed""")
+def failed_files(spark, sf_dir):
+    return analyse(views.faulty_files(spark, sf_dir), SMALL).failures()
+
+
+@query("failed_summary", """SELECT count(*) AS total_files, CAST(0 AS BIGINT) AS excluded_files,
+    count(*) AS included_files, 0.0::DOUBLE AS excluded_percentage, count(*) FILTER (failed) AS failed_files,
+    false AS stopped_early, count(*) AS processed_files,
+    'md5' AS hash_algorithm FROM faulty_v""")
+def failed_summary(spark, sf_dir):
+    return analyse(views.faulty_files(spark, sf_dir), SMALL).summary()
+
+
+@query("faulty_tree", """SELECT path, type AS kind FROM faulty_v""")
+def faulty_tree(spark, sf_dir):
+    """File nodes of the hierarchy, failed and binary ones among them."""
+    nodes = tree.nodes(analyse(views.faulty_files(spark, sf_dir), SMALL).entries)
+    return nodes.filter("kind <> 'directory'").select("path", "kind")
+
+
 @query("entry_types", """SELECT type, reason, count(*) AS files FROM tagged_v
   WHERE NOT name_excluded GROUP BY type, reason""")
 def entry_types(spark, sf_dir):
@@ -494,7 +543,7 @@ def thousands_percent(spark, sf_dir):
     CASE WHEN type = 'text' THEN concat('encoding: ', encoding, '\\nmodified: ', modified,
       '\\npermissions: ', permissions) ELSE '' END AS tooltip FROM entries_v""".replace("\\\\", "\\"))
 def node_label_tooltip(spark, sf_dir):
-    entries = analyse(views.files(spark, sf_dir), OPTIONS).entries
+    entries = analyse(views.files(spark, sf_dir), WHOLE).entries
     return entries.select(
         "path", display.node_label(F.col("filename"), F.col("size")).alias("label"),
         display.node_tooltip(F.col("encoding"), F.col("created"), F.col("modified"),
@@ -510,7 +559,7 @@ def node_label_tooltip(spark, sf_dir):
     CASE kind WHEN 'excluded' THEN 'filled,dashed' ELSE 'filled' END AS style
   FROM (SELECT path, 'directory' AS kind FROM dirs_v UNION ALL SELECT path, type FROM entries_v)""")
 def node_style(spark, sf_dir):
-    rows = tree.nodes(analyse(views.files(spark, sf_dir), OPTIONS).entries)
+    rows = tree.nodes(analyse(views.files(spark, sf_dir), WHOLE).entries)
     kind = F.col("kind")
     return rows.select("path", *[
         display.node_style(kind, a).alias(a) for a in ("fillcolor", "color", "shape", "style")])
@@ -582,7 +631,7 @@ def sexp_atom(spark, sf_dir):
     '  :reason ' || reason) AS properties
   FROM entries_v""")
 def sexp_properties(spark, sf_dir):
-    entries = analyse(views.files(spark, sf_dir), OPTIONS).entries
+    entries = analyse(views.files(spark, sf_dir), WHOLE).entries
     names = ("reason", "preview_bytes", "modified", "permissions", "encoding", "size", "type")
     columns = {n: (F.col(n), "bigint" if n in ("size", "preview_bytes") else "string")
                for n in names}

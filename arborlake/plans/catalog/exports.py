@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import tree
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import OPTIONS, query
+from arborlake.plans.catalog.registry import WHOLE, query
 from arborlake.session import new_work_path
 from arborlake.sinks import documents, runs as run_sinks
 from arborlake.sources import exports
@@ -16,7 +16,7 @@ LAST = tree.LAST
 
 
 def _run(spark, sf_dir):
-    return analyse(views.files(spark, sf_dir), OPTIONS)
+    return analyse(views.files(spark, sf_dir), WHOLE)
 
 
 def _keyed(lines):
@@ -139,7 +139,7 @@ def xml_tree(spark, sf_dir):
     ': ', value, '", shape=note, color="#D3D3D3"];')
     FROM (SELECT unnest([{', '.join("'" + n + "'" for n, _ in _SUMMARY_VALUES)}]) AS name,
       unnest([{', '.join(f'CAST({c} AS VARCHAR)' for _, c in _SUMMARY_VALUES)}]) AS value
-      FROM summary_v)""")
+      FROM all_summary_v)""")
 def dot_graph(spark, sf_dir):
     run = _run(spark, sf_dir)
     return _keyed(documents.dot_graph(run.entries, run.summary()))

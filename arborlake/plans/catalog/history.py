@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import analysis, cache, logs, ordering, repos, runs, sets, summary, tree
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import OPTIONS, query
+from arborlake.plans.catalog.registry import OPTIONS, WHOLE, query
 
 # ---- summaries -----------------------------------------------------------------------------
 
@@ -128,19 +128,19 @@ def summary_overview(spark, sf_dir):
   UNION ALL SELECT path, parent, filename, CAST(len(string_split(path, '/')) AS BIGINT), type
   FROM entries_v""")
 def tree_nodes(spark, sf_dir):
-    return tree.nodes(analyse(views.files(spark, sf_dir), OPTIONS).entries)
+    return tree.nodes(analyse(views.files(spark, sf_dir), WHOLE).entries)
 
 
 @query("tree_edges", """SELECT parent AS src, path AS dst FROM dirs_v WHERE parent <> ''
   UNION ALL SELECT parent, path FROM entries_v WHERE parent <> ''""")
 def tree_edges(spark, sf_dir):
-    return tree.edges(analyse(views.files(spark, sf_dir), OPTIONS).entries)
+    return tree.edges(analyse(views.files(spark, sf_dir), WHOLE).entries)
 
 
 @query("sorted_children", """SELECT parent, name, 'directory' AS kind FROM dirs_v
   UNION ALL SELECT parent, filename, type FROM entries_v""")
 def sorted_children(spark, sf_dir):
-    return tree.children(analyse(views.files(spark, sf_dir), OPTIONS).entries)
+    return tree.children(analyse(views.files(spark, sf_dir), WHOLE).entries)
 
 
 # ---- run history ---------------------------------------------------------------------------

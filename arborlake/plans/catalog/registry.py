@@ -23,9 +23,22 @@ OPTIONS = ScanOptions(
     exclude_patterns=("*.tmp", r"regex:f\d+5\.md"),
     max_file_size=20_000,
     detect_charset=False,
+    fallback_encoding="utf-8",
     hash_algorithm="md5",
 )
 
+# The whole table: no rule leaves out a file and none is too large. Exports, trees, state and streams use it.
+WHOLE = ScanOptions(
+    excluded_folders=(), excluded_files=(), exclude_patterns=(), detect_charset=False,
+    fallback_encoding="utf-8", hash_algorithm="md5",
+)
+# Small limits, and binary files are read: every branch of an entry occurs.
+SMALL = ScanOptions(
+    excluded_folders=(), excluded_files=(), exclude_patterns=(), include_binary=True,
+    max_file_size=20_000, text_preview_bytes=1000, binary_preview_bytes=500, detect_charset=False,
+    fallback_encoding="utf-8", hash_algorithm="md5",
+)
+
 _SUFFIX = r"lower(regexp_extract(filename, '(?s)^.+(\.[^.]+)$', 1))"
 
 
@@ -88,18 +101,22 @@ _REACHED = f"""reached_v AS (
     AND NOT list_bool_or(list_transform(string_split(parent, '/'),
       lambda x: x LIKE '%.tmp' OR regexp_matches(x, '^(?:f\\d+5\\.md)'))))"""
 
-_TAGGED = f"""tagged_v AS (
+
+def _tagged(name: str, files: str, options: ScanOptions) -> str:
+    return f"""{name} AS (
   SELECT r.*, d.is_binary, {_SUFFIX.replace('filename', 'r.filename')} AS ext,
-    CASE WHEN size > {OPTIONS.max_file_size} THEN 'excluded'
+    CASE WHEN size > {options.max_file_size} THEN 'excluded'
       WHEN d.is_binary OR {_SUFFIX.replace('filename', 'r.filename')}
-        IN {sql_list(OPTIONS.image_extensions)} THEN 'excluded'
+        IN {sql_list(options.image_extensions)} THEN 'excluded'
       ELSE 'text' END AS type,
-    CASE WHEN size > {OPTIONS.max_file_size} THEN 'file_size'
+    CASE WHEN size > {options.max_file_size} THEN 'file_size'
       WHEN d.is_binary OR {_SUFFIX.replace('filename', 'r.filename')}
-        IN {sql_list(OPTIONS.image_extensions)} THEN 'binary_or_image' END AS reason
-  FROM reached_v r JOIN decisions_v d USING (doc_id))"""
+        IN {sql_list(options.image_extensions)} THEN 'binary_or_image' END AS reason
+  FROM {files} r JOIN decisions_v d USING (doc_id))"""
+
 
-_ENTRIES = f"""entries_v AS (
+def _entries(name: str, rows: str) -> str:
+    return f"""{name} AS (
   SELECT path, parent, filename, type, reason,
     CASE WHEN type = 'text' THEN CASE WHEN octet_length(encode(text)) = length(text)
       THEN 'ascii' ELSE 'utf_8' END END AS encoding,
@@ -113,7 +130,21 @@ _ENTRIES = f"""entries_v AS (
     CASE WHEN type = 'text' THEN 'UTC' END AS timezone,
     CASE WHEN type = 'text' THEN md5(text) END AS hash,
     CAST(NULL AS VARCHAR) AS exception_type, CAST(NULL AS VARCHAR) AS exception_message
-  FROM tagged_v WHERE NOT name_excluded)"""
+  FROM {rows})"""
+
+
+_TAGGED = _tagged("tagged_v", "reached_v", OPTIONS)
+_ALL_TAGGED = _tagged("all_tagged_v", "files_v", WHOLE)
+_ENTRIES = _entries("entries_v", "all_tagged_v")
+_LIMITED = _entries("limited_entries_v", "tagged_v WHERE NOT name_excluded")
+
+# toxic documents stand for files whose stat failed
+_FAULTY = f"""faulty_v AS (
+  SELECT f.*, t.doc_id IS NOT NULL AS failed,
+    CASE WHEN t.doc_id IS NOT NULL THEN 'error' WHEN f.size > {SMALL.max_file_size} THEN 'excluded'
+      WHEN d.is_binary THEN 'binary' ELSE 'text' END AS type
+  FROM files_v f JOIN decisions_v d ON d.doc_id = f.doc_id
+    LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t ON t.doc_id = f.doc_id)"""
 
 _DIRS = """dirs_v AS (
   SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END
@@ -124,21 +155,28 @@ _DIRS = """dirs_v AS (
       lambda i: array_to_string(parts[1:i], '/'))) AS path
     FROM (SELECT DISTINCT string_split(parent, '/') AS parts FROM entries_v WHERE parent <> '')))"""
 
-_SUMMARY = """summary_v AS (
+
+def _summary(name: str, rows: str, excluded: str) -> str:
+    return f"""{name} AS (
   SELECT *, total_files - excluded_files AS included_files,
     CASE WHEN total_files = 0 THEN 0.0
       ELSE CAST(excluded_files AS DOUBLE) / total_files * 100 END AS excluded_percentage,
     CAST(0 AS BIGINT) AS failed_files, false AS stopped_early,
     total_files - excluded_files AS processed_files, 'md5' AS hash_algorithm
-  FROM (SELECT count(*) AS total_files, count(*) FILTER (name_excluded) AS excluded_files
-    FROM reached_v))"""
+  FROM (SELECT count(*) AS total_files, count(*) FILTER ({excluded}) AS excluded_files
+    FROM {rows}))"""
+
+
+_SUMMARY = _summary("summary_v", "reached_v", "name_excluded")
+_ALL_SUMMARY = _summary("all_summary_v", "files_v", "false")
 
 VIEWS = {
     text.split(" AS ", 1)[0]: text
     for text in (
         views.FILES_SQL, views.CACHE_SQL, views.RUNS_SQL, views.LOGS_SQL, views.PAGES_SQL,
-        views.URLS_SQL, views.REPO_FILES_SQL, _SAMPLES, _DECISIONS, _REACHED, _TAGGED, _ENTRIES,
-        _DIRS, _SUMMARY,
+        views.URLS_SQL, views.REPO_FILES_SQL, _SAMPLES, _DECISIONS, _REACHED, _TAGGED, _ALL_TAGGED,
+        _ENTRIES, _LIMITED, _FAULTY,
+        _DIRS, _SUMMARY, _ALL_SUMMARY,
     )
 }
 

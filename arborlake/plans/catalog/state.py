@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import analysis, cache, filters, ordering
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import OPTIONS, query
+from arborlake.plans.catalog.registry import WHOLE, query
 
 
 def _metadata(spark, sf_dir):
@@ -70,8 +70,8 @@ def exclusion_list_anti_join(spark, sf_dir):
   FROM entries_v JOIN (SELECT path, mtime_us FROM files_v) USING (path) WHERE type = 'text'""")
 def last_wins_upsert(spark, sf_dir):
     """The results of a new run replace the stored rows of the same path."""
-    included = analysis.traversed(views.files(spark, sf_dir), OPTIONS).filter(~F.col("name_excluded"))
-    fresh = cache.persistable(analysis.entries(included, OPTIONS, keep=["mtime_us"])).select(
+    included = analysis.traversed(views.files(spark, sf_dir), WHOLE).filter(~F.col("name_excluded"))
+    fresh = cache.persistable(analysis.entries(included, WHOLE, keep=["mtime_us"])).select(
         "path", F.col("hash").alias("file_hash"),
         F.to_json(F.struct("type", "size")).alias("file_info"), "size", "mtime_us")
     return cache.upsert(views.cache(spark, sf_dir), fresh)
@@ -87,7 +87,7 @@ def last_wins_by_version(spark, sf_dir):
 
 @query("persistable_results", """SELECT path, hash FROM entries_v WHERE type = 'text'""")
 def persistable_results(spark, sf_dir):
-    entries = analyse(views.files(spark, sf_dir), OPTIONS).entries
+    entries = analyse(views.files(spark, sf_dir), WHOLE).entries
     return cache.persistable(entries).select("path", "hash")
 
 

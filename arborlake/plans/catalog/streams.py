@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators import analysis
 from arborlake.plans import views
-from arborlake.plans.catalog.registry import OPTIONS, query
+from arborlake.plans.catalog.registry import OPTIONS, WHOLE, query
 from arborlake.schema import CACHE, LOGS
 from arborlake.session import new_work_path
 from arborlake.sources.state_table import StateTable
@@ -25,7 +25,7 @@ def stream_entry_sink(spark, sf_dir):
     work = new_work_path(spark, "stream-entries")
     files = views.as_files(_stream(spark, sf_dir, "documents"))
     stream_entries.write_entries(
-        stream_entries.entry_stream(files, OPTIONS), f"{work}/out", f"{work}/checkpoint"
+        stream_entries.entry_stream(files, WHOLE), f"{work}/out", f"{work}/checkpoint"
     ).awaitTermination()
     return stream_entries.committed_entries(spark, f"{work}/out")
 
@@ -45,8 +45,8 @@ def stream_summary(spark, sf_dir):
 def stream_progress(spark, sf_dir):
     work = new_work_path(spark, "stream-progress")
     files = views.as_files(_stream(spark, sf_dir, "documents"))
-    included = analysis.traversed(files, OPTIONS).filter(~F.col("name_excluded"))
-    rows = stream_entries.progress(analysis.tagged(included, OPTIONS), "source")
+    included = analysis.traversed(files, WHOLE).filter(~F.col("name_excluded"))
+    rows = stream_entries.progress(analysis.tagged(included, WHOLE), "source")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{work}/out/batch={batch_id}")
@@ -97,6 +97,6 @@ def stream_reanalysis(spark, sf_dir):
     for turn in ("first", "second"):
         files = views.as_files(_stream(spark, sf_dir, "documents")).drop("text", "content")
         stream_entries.reanalyse(
-            files, state, OPTIONS, load, f"{work}/{turn}", f"{work}/checkpoint-{turn}"
+            files, state, WHOLE, load, f"{work}/{turn}", f"{work}/checkpoint-{turn}"
         ).awaitTermination()
     return spark.read.parquet(f"{work}/second").select("path", "type", "hash")

@@ -52,6 +52,18 @@ def as_files(docs: DataFrame) -> DataFrame:
     ).withColumn("path", F.concat_ws("/", "parent", "filename"))
 
 
+def faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files`` with times of creation, and without stat values for the toxic documents."""
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    found = files(spark, sf_dir).withColumn("created_us", F.col("mtime_us") - HOUR_US).join(
+        toxic.withColumn("_failed", F.lit(True)), "doc_id", "left")
+    lost = F.col("_failed").isNotNull()
+    return found.withColumns({
+        **{n: F.when(~lost, F.col(n)) for n in ("size", "mtime_us", "created_us", "mode", "content")},
+        "stat_error": F.when(lost, F.lit("PermissionError: not allowed")),
+    }).drop("_failed")
+
+
 FILES_SQL = f"""files_v AS (
   SELECT *, concat_ws('/', parent, filename) AS path FROM (
     SELECT doc_id, source, lang, text,

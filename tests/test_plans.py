@@ -77,3 +77,8 @@ def test_no_cross_joins_and_no_gathering(spark, name):
         below = match.group(1)
         allowed = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "Sort")
         assert any(a in below for a in allowed), below
+
+
+def test_catalogue_run_has_no_python_stage(spark):
+    plan = plan_of(QUERIES["analyse_files"](spark, SF))
+    assert "Python" not in plan and "Exchange" not in plan
