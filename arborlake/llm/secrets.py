@@ -9,8 +9,9 @@ by class of encoding and length: it rejects randomness at a stated false-discove
 candidates of a class, and what it leaves, mixed in letters and digits, is reported. The step
 needs counts by binned p-value only, so no task ranks a class.
 
-Defined results: a null text counts as empty and has no spans; rows are independent of each
-other but for the counts by class; extra columns are ignored.
+Defined results: a null text counts as empty and has no spans; a run with fewer than two symbols of
+its alphabet, such as a ruler of ``=``, is not tested, counted or reported; rows are independent of
+each other but for the counts by class; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +77,10 @@ def _encoding(value: Column) -> Column:
 
 
 def _p_value(symbols: Column, size: int) -> Column:
-    """Bonferroni-combined p-value of the three tests; ``symbols`` are alphabet places."""
+    """Bonferroni-combined p-value of the three tests; ``symbols`` are alphabet places.
+
+    Null for fewer than two symbols, which no test can judge.
+    """
     n = F.size(symbols).cast("double")
 
     def battery(symbols: Column) -> Column:
@@ -99,12 +103,13 @@ def _p_value(symbols: Column, size: int) -> Column:
         serial = 2 * _upper_tail(F.abs(product) / (variance * F.sqrt(n - 1)))
         return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
 
-    return battery(symbols)
+    return F.when(F.size(symbols) > 1, battery(symbols))
 
 
 def _places(text: Column, alphabet: str) -> Column:
-    return F.filter(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1),
-                    lambda x: x >= 0)
+    # an empty text splits into one empty string, which instr would find in front
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.filter(F.transform(letters, lambda c: F.instr(F.lit(alphabet), c) - 1), lambda x: x >= 0)
 
 
 def _candidates(text: Column) -> Column:
@@ -121,7 +126,8 @@ def _candidates(text: Column) -> Column:
         return F.struct(
             token["start"].alias("start"), token["end"].alias("end"),
             F.concat_ws(":", encoding, length.cast("string")).alias("class"),
-            F.least(F.lit(BINS), F.floor(-F.log(F.greatest(p, F.lit(1e-12))) * 10)).cast("int").alias("bin"),
+            F.when(p.isNotNull(), F.least(F.lit(BINS), F.floor(-F.log(F.greatest(p, F.lit(1e-12))) * 10)))
+            .cast("int").alias("bin"),
             mixed.alias("mixed"))
 
     return F.transform(found(text, CANDIDATE), tested)
@@ -143,7 +149,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def limits(scanned: DataFrame, rate: float) -> dict[str, int]:
     """Smallest bin of -ln(p) that the step rejects, by class; bins and classes are few."""
-    counts = (scanned.select(F.explode("tested").alias("t"))
+    counts = (scanned.select(F.explode("tested").alias("t")).filter("t.bin IS NOT NULL")
               .groupBy(F.col("t.class").alias("class"), F.col("t.bin").alias("bin")).count())
     by_class: dict[str, list] = {}
     for row in counts.collect():  # at most BINS + 1 rows for each of some dozens of classes

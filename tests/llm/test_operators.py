@@ -146,6 +146,14 @@ def test_secret_scan(docs, rows):
     assert got == sorted((i, brute.base_secrets(t)[3]) for i, t in rows)
 
 
+def test_secret_scan_leaves_rulers_alone(spark):
+    texts = ["=" * 20, "a" + "=" * 19, "A" + "=" * 19, "Title\n" + "=" * 40 + "\nx", "-" * 20, "7" + "=" * 30,
+             "ab" + "=" * 18, "key q7Rk2ZpX9vLm4TnB8sWd1YfC6hJg and " + "=" * 20]
+    alone = _sorted(secret_scan(_docs(spark, [(7, texts[7][:37])])).select("doc_id", listed("spans")))
+    got = _sorted(secret_scan(_docs(spark, list(enumerate(texts)))).select("doc_id", listed("spans")))
+    assert got == [(i, "") for i in range(7)] + alone and alone[0][1]
+
+
 def test_sharding(docs, rows):
     hashed = {r.doc_id: r.h % 2 ** 64 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
     got = shard(docs, 5).collect()
