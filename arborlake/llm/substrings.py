@@ -4,15 +4,17 @@
    anchor. Equal windows have equal anchors, so only windows whose anchor occurs at two places can
    recur. Anchors are counted over the whole corpus, combined in each task before the shuffle.
 2. Each block of documents looks up which of its anchors recur, and cuts out the passages around
-   them. Equal passages of a block travel once. A passage goes to the shard of its anchor; passages
+   them. Equal passages of a block travel once, with the number of their places; the places stay
+   with the block. A passage goes to the shard of its anchor; passages
    of an anchor with more than ``HOT`` places are dealt by whole windows instead, so that no shard
    gathers a phrase that very many documents share.
 3. A shard confirms recurring windows word by word, compiles the confirmed stretches into
-   Aho-Corasick automata of bounded size, and streams its passages through them; every hit is
-   a span of its document.
-4. Spans go back to the blocks, which remove the covered words.
+   Aho-Corasick automata of bounded size, and streams its passages through them.
+4. The spans of a passage go to the blocks that hold it, which place them in their documents and
+   remove the covered words. So no task sees more of a passage's places than those of one block.
 
-Hashes only choose what to compare; the comparison is on words.
+Hashes only choose what to compare; the comparison is on words. Between shard and block a passage
+is named by a 16-byte digest of its words.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; rows that
 repeat identifier and text are separate places, as any other copies; extra columns are ignored.
@@ -20,6 +22,7 @@ repeat identifier and text are separate places, as any other copies; extra colum
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -37,8 +40,9 @@ HOT = 20_000
 SHARD_WORDS = 300_000  # of the passages that one automaton serves
 
 _PASSAGES = pa.schema([
-    ("shard", pa.int64()), ("passage", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
-    ("rows", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
+    ("block", pa.int32()), ("shard", pa.int64()), ("key", pa.binary()), ("passage", pa.binary()),
+    ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
+_CONFIRMED = pa.schema([("key", pa.binary()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
 
@@ -100,6 +104,10 @@ def _ask(window: int, phrase: int):
     return run
 
 
+def _key(passage: bytes) -> bytes:
+    return hashlib.blake2b(passage, digest_size=16).digest()
+
+
 def _cut_out(window: int, phrase: int):
     def run(texts: pa.Table, facts: pa.Table) -> pa.Table:
         known = facts.column("anchor").to_numpy().view(np.uint64)
@@ -134,8 +142,9 @@ def _cut_out(window: int, phrase: int):
                     lists = found.setdefault((k, b" ".join(raw[b:e].split())), ([], [], []))
                     for held, value in zip(lists, (doc_ids[o], rows[o], s)):
                         held.append(value)
-        columns = [[k for k, _ in found], [p for _, p in found], *(
-            [lists[i] for lists in found.values()] for i in range(3))]
+        block = texts.column("block")[0].as_py() if found else None
+        columns = [[block] * len(found), [k for k, _ in found], [_key(p) for _, p in found],
+                   [p for _, p in found], *([lists[i] for lists in found.values()] for i in range(3))]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PASSAGES)], schema=_PASSAGES)
     return run
 
@@ -178,33 +187,54 @@ def recurring_spans(passages: list[list[int]], times: list[int], window: int) ->
 
 
 def _locate(window: int, shard_words: int):
-    def spans_of(group: list[tuple]):
+    """Confirmed spans of each distinct passage; rows of a passage only add to its number of places."""
+    def spans_of(group: dict[bytes, int]):
         numbers: dict[bytes, int] = {}
-        passages = [[numbers.setdefault(w, len(numbers)) for w in g[1].split(b" ")] for g in group]
-        columns: list[list] = [[], [], [], []]
-        for g, spans in zip(group, recurring_spans(passages, [len(g[2]) for g in group], window)):
-            for doc, row, start in zip(*g[2:]) if spans else ():
-                for begin, end in spans:
-                    for column, value in zip(columns, (doc, row, start + begin, start + end)):
-                        column.append(value)
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SPANS)], schema=_SPANS)
+        passages = [[numbers.setdefault(w, len(numbers)) for w in p.split(b" ")] for p in group]
+        found = [(_key(p), spans) for p, spans in zip(
+            group, recurring_spans(passages, list(group.values()), window)) if spans]
+        columns = [[k for k, _ in found], *([[s[i] for s in spans] for _, spans in found] for i in range(2))]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _CONFIRMED)], schema=_CONFIRMED)
 
     def run(batches):
-        group: list[tuple] = []
+        group: dict[bytes, int] = {}
         held, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(f.name).to_pylist() for f in _PASSAGES)):
-                if row[0] != last and held > shard_words:
+            for shard, passage, n in zip(*(batch.column(k).to_pylist() for k in ("shard", "passage", "n"))):
+                if shard != last and held > shard_words:
                     yield spans_of(group)
-                    group, held = [], 0
-                last = row[0]
-                group.append(row)
-                held += row[1].count(b" ") + 1
+                    group, held = {}, 0
+                last = shard
+                if passage not in group:
+                    group[passage] = 0
+                    held += passage.count(b" ") + 1
+                group[passage] += n
         if group:
             yield spans_of(group)
     return run
 
 
+def _place(passages: pa.Table, facts: pa.Table) -> pa.Table:
+    """Spans of a block's documents: each place of a passage with each of the passage's spans."""
+    known = {k: i for i, k in enumerate(facts.column("key").to_pylist())}
+    fact = np.array([known.get(k, -1) for k in passages.column("key").to_pylist()], np.int64)
+    passages, fact = passages.filter(pa.array(fact >= 0, pa.bool_())), fact[fact >= 0]
+    if not len(fact):
+        return _SPANS.empty_table()
+    doc_ids, rows, starts = (pa.concat_arrays(passages.column(k).chunks) for k in ("doc_ids", "rows", "starts"))
+    begins, ends = (pa.concat_arrays(facts.column(k).chunks) for k in ("begins", "ends"))
+    fact = np.repeat(fact, starts.value_lengths().to_numpy())  # of each place
+    times = begins.value_lengths().to_numpy()
+    first = (np.cumsum(times) - times)[fact]
+    times = times[fact]
+    place = np.repeat(np.arange(len(fact)), times)
+    span = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times) + first[place]
+    start = starts.flatten().to_numpy()[place]
+    return pa.Table.from_arrays(
+        [doc_ids.flatten().take(pa.array(place)), rows.flatten().take(pa.array(place)),
+         *(pa.array(start + x.flatten().to_numpy()[span], pa.int32()) for x in (begins, ends))], schema=_SPANS)
+
+
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                    ("kept_text", pa.string())])
 
@@ -234,10 +264,15 @@ def spans(blocks: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: in
     asked = arrow_map(blocks.select("text", "block"), _ask(window, phrase), "anchor LONG, block INT")
     facts = asked.join(recurring.select("anchor", (F.col("n") > hot).alias("hot")), "anchor").select(
         "block", "anchor", "hot").distinct()
-    passages = with_facts(blocks, facts, _cut_out(window, phrase), (
-        "shard LONG, passage BINARY, doc_ids ARRAY<LONG>, rows ARRAY<LONG>, starts ARRAY<INT>"))
-    dealt = passages.repartition("shard").sortWithinPartitions("shard")
-    return arrow_map(dealt, _locate(window, shard_words), "doc_id LONG, row LONG, begin INT, end INT")
+    passages = materialise(with_facts(blocks, facts, _cut_out(window, phrase), (
+        "block INT, shard LONG, key BINARY, passage BINARY, doc_ids ARRAY<LONG>, rows ARRAY<LONG>, "
+        "starts ARRAY<INT>")), "passages")
+    dealt = passages.select("shard", "passage", F.size("starts").cast("long").alias("n")).repartition(
+        "shard").sortWithinPartitions("shard")
+    confirmed = arrow_map(dealt, _locate(window, shard_words), "key BINARY, begins ARRAY<INT>, ends ARRAY<INT>")
+    wanted = passages.select(*[F.col(c).alias(c) for c in ("block", "key")]).join(confirmed, "key")
+    return with_facts(passages.drop("shard", "passage"), wanted, _place,
+                      "doc_id LONG, row LONG, begin INT, end INT")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT,

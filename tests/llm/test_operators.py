@@ -134,6 +134,27 @@ def test_substring_dedup(docs, rows):
         assert got == brute.repeats(rows)
 
 
+def test_a_shard_gets_the_number_of_places_only(monkeypatch):
+    seen = []
+    real = substrings.recurring_spans
+    monkeypatch.setattr(substrings, "recurring_spans", lambda p, times, w: seen.append(times) or real(p, times, w))
+    words = [b"w%d" % i for i in range(40)]
+    batches = [pa.record_batch({"shard": [7] * 2, "passage": [b" ".join(words), b" ".join(words[5:])],
+                                "n": [1000, 1]}) for _ in range(50)]
+    got = [r for b in substrings._locate(35, 50)(batches) for r in b.to_pylist()]
+    assert seen == [[50_000, 50]]
+    assert [(r["begins"], r["ends"]) for r in got] == [([0], [40]), ([0], [35])]
+    places = pa.table({
+        "key": pa.array([b"other", got[0]["key"]], pa.binary()), "doc_ids": [[5], [None, 9]], "rows": [[50], [60, 90]],
+        "starts": pa.array([[0], [3, 100]], pa.list_(pa.int32()))})
+    facts = pa.table({"key": pa.array([got[0]["key"]], pa.binary()),
+                      "begins": pa.array([[0, 60]], pa.list_(pa.int32())),
+                      "ends": pa.array([[40, 95]], pa.list_(pa.int32()))})
+    assert [tuple(r.values()) for r in substrings._place(places, facts).to_pylist()] == [
+        (None, 60, 3, 43), (None, 60, 63, 98), (9, 90, 100, 140), (9, 90, 160, 195)]
+    assert substrings._place(places, facts.slice(0, 0)).num_rows == 0
+
+
 def test_decontamination(docs, items, rows):
     pairs = [(r.item_id, r.text) for r in items.distinct().collect()]
     got = _sorted(decontaminate(docs, items).select("doc_id", "item_id", "n_shingles", "n_shared"))
