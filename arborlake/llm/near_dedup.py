@@ -80,6 +80,10 @@ def one_byte(low: np.ndarray) -> bytes:
     return (low >> np.uint32(8)).astype(np.uint8).tobytes()
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketch(batches):
     for batch in batches:
         for part in parts(batch, size=1 << 22):
@@ -89,7 +93,7 @@ def _sketch(batches):
                 rows = m[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 keys = (rows * _FOLD).sum(axis=1) ^ (rows[:, 0] << np.uint64(32))
                 found["n"].append(len(s))
-                found["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                found["digest"].append(_digest(s))
                 found["bands"].append(keys.view(np.int64).tolist())
                 found["signature"].append(one_byte(m[BANDS * ROWS:]))
             yield pa.record_batch({
@@ -136,7 +140,7 @@ def _widen(batches):
         for part in parts(batch, size=1 << 22):
             sets = shingle_sets(Texts(part.column("text"), lower=True))
             yield pa.record_batch({
-                "node": part.column("node"),
+                "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                 "wider": pa.array([one_byte(minima(s, begin, begin + WIDER)) for s in sets], pa.binary())})
 
 
@@ -226,21 +230,22 @@ def _links(likely: DataFrame, texts: DataFrame, share: float, label: str) -> Dat
 
 
 def _further(crowded: DataFrame, joined: DataFrame, nodes: DataFrame, texts: DataFrame,
-             share: float) -> DataFrame:
+             share: float, block_size: int = BLOCK) -> DataFrame:
     """Likely pairs across the components that a bucket still spans.
 
     Its members are dealt in blocks; a task compares two blocks, so a bucket of any size is split.
+    An identifier with several texts is compared under the signature of each.
     """
     placed = crowded.select("bucket", "band", "node").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")
-    ).filter("_low <> _high").select("bucket", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
+    ).filter("_low <> _high").select("bucket", F.ceil(F.col("_size") / block_size).cast("int").alias("_blocks"))
     rest = materialise(placed.join(mixed, "bucket"), "mixed-buckets")
     members = rest.select("node").distinct()
     wider = arrow_map(texts.select(F.col("doc_id").alias("node"), "text").join(members, "node", "left_semi"),
-                      _widen, "node LONG, wider BINARY").groupBy("node").agg(F.any_value("wider").alias("wider"))
-    known = nodes.join(wider, "node").select(
+                      _widen, "digest BINARY, wider BINARY").groupBy("digest").agg(F.any_value("wider").alias("wider"))
+    known = nodes.join(wider, "digest").select(
         "node", "n", "bands", F.concat("signature", "wider").alias("signature"))
     block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     dealt = rest.join(known, "node").withColumn("block", block).withColumn(

@@ -17,7 +17,8 @@ from arborlake.llm import bpe, substrings, token_counts  # noqa: E402
 from arborlake.llm.components import components  # noqa: E402
 from arborlake.llm.decontaminate import decontaminate  # noqa: E402
 from arborlake.llm.exact_dedup import Trie, exact_dedup  # noqa: E402
-from arborlake.llm.near_dedup import fewest_matches, near_dedup  # noqa: E402
+from arborlake.llm.near_dedup import _further, _sketch, fewest_matches, near_dedup  # noqa: E402
+from arborlake.llm.tables import arrow_map  # noqa: E402
 from arborlake.llm.ppm import lm_scores  # noqa: E402
 from arborlake.llm.quality import quality_scores  # noqa: E402
 from arborlake.llm.queries import tokenizer_path  # noqa: E402
@@ -121,6 +122,21 @@ def test_pruning_keeps_the_chosen_miss_probability():
     assert fewest_matches(896, 0.75, 1e-7) > 0.66 * 896
 
 
+@pytest.mark.parametrize("block_size", [1024, 2])
+def test_each_text_of_an_identifier_meets_a_mixed_bucket(spark, block_size):
+    rnd = random.Random(4)
+    first, second = ([f"{side}{rnd.randint(0, 9999)}" for _ in range(200)] for side in "ab")
+    rows = [(1, first), (1, second)] + [(i, [*w[:-1], f"end{i}"]) for i, w in
+                                        [(2, first), (3, second), (4, first), (5, second)]]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id LONG, text STRING")
+    nodes = arrow_map(texts, _sketch, "doc_id LONG, n LONG, digest BINARY, bands ARRAY<LONG>, signature BINARY"
+                      ).withColumnRenamed("doc_id", "node").withColumn("bands", F.array_repeat(F.lit(0).cast("long"), 36))
+    crowded = spark.createDataFrame([(8, 0, i) for i in range(1, 6)], "bucket LONG, band INT, node LONG")
+    joined = spark.createDataFrame([], "node LONG, component LONG")
+    found = {tuple(r) for r in _further(crowded, joined, nodes, texts, 0.75, block_size).collect()}
+    assert found == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 4), (3, 5)}
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "a LONG, b LONG")).collect())
