@@ -110,3 +110,36 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arborlake.llm.ppm import lm_scores
     return lm_scores(documents(spark, sf_dir))
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.token_files import token_checksums, write_token_files
+    from arborlake.session import new_work_path
+    path = new_work_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), path, end_id=2)
+    return token_checksums(spark, path)
+
+
+def _trie_sql() -> str:
+    from arborlake.llm.prefix_trie import ORACLE as sql
+    return sql
+
+
+@query("op12_prefix_trie", _trie_sql())
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt, with_ends_hash
+    return with_ends_hash(prefix_trie(rebuilt(ordered_turns(table(spark, sf_dir, "conversations")))))
+
+
+def _negatives_sql() -> str:
+    from arborlake.llm.hard_negatives import ORACLE as sql
+    return sql
+
+
+@query("op13_hard_negatives", _negatives_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arborlake.llm.hard_negatives import hard_negatives, quantised
+    rows = quantised(table(spark, sf_dir, "embeddings")).withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
