@@ -220,7 +220,11 @@ def java_regex(pattern: str) -> str | None:
     spark = SparkSession.getActiveSession()
     if found is not None and spark is not None:
         try:
-            spark.sql("SELECT '' RLIKE :pattern", args={"pattern": found}).collect()
+            engine = getattr(spark, "_jvm", None)
+            if engine is not None:  # no query is needed where the JVM is at hand
+                engine.java.util.regex.Pattern.compile(found)
+            else:
+                spark.sql("SELECT '' RLIKE :pattern", args={"pattern": found}).collect()
         except Exception as problem:  # the engine's own error class is not exposed
             log.error("ignoring regular expression %r: %s", pattern, str(problem).split("\n")[0])
             return None
@@ -235,8 +239,63 @@ def matches_regex(name: Column, pattern: str, *, anchored: bool = True) -> Colum
     return name.rlike(f"^(?:{found})" if anchored else found)
 
 
+FEW = 16  # rules that are tested one by one, so that simple ones reach the scan as filters
+
+
+def _simple(glob: str) -> tuple[str, str] | None:
+    """How a glob compares with a fixed text, if it does: whole, at the end or at the start."""
+    fixed = glob.strip("*")
+    if any(c in fixed for c in "*?["):
+        return None
+    if glob == fixed:
+        return "whole", fixed
+    if not glob.endswith("*"):
+        return "end", fixed
+    return ("start", fixed) if not glob.startswith("*") else None
+
+
+def _one_test(name: Column, patterns: list[str]) -> Column:
+    """All rules at once: a set look-up for each length of fixed texts, one alternation for the rest.
+
+    The number of expressions depends on the lengths that occur, not on the number of rules.
+    Expressions that refer to their own groups stand alone, as an alternation would renumber them.
+    """
+    whole: set[str] = set()
+    ends: dict[tuple[str, int], set[str]] = {}
+    rest, alone = [], []
+    for rule in patterns:
+        if rule.startswith(REGEX_PREFIX):
+            body = rule[len(REGEX_PREFIX):]
+            found = java_regex(body)
+            if found is None:
+                continue
+            if re.search(r"\\[1-9]|\(\?P", body):
+                alone.append(f"^(?:{found})")
+            else:
+                rest.append(found)
+            continue
+        simple = _simple(rule)
+        if simple is None:
+            rest.append(glob_to_regex(rule))
+        elif simple[0] == "whole":
+            whole.add(simple[1])
+        else:
+            ends.setdefault((simple[0], len(simple[1])), set()).add(simple[1])
+    tests = [name.isin(*sorted(whole))] if whole else []
+    for (side, length), texts in sorted(ends.items()):
+        part = F.right(name, F.lit(length)) if side == "end" else F.left(name, F.lit(length))
+        tests.append(part.isin(*sorted(texts)))
+    if rest:
+        tests.append(name.rlike("^(?:" + "|".join(f"(?:{r})" for r in rest) + ")"))
+    tests += [name.rlike(r) for r in alone]
+    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def matches_any(name: Column, patterns: Iterable[str]) -> Column:
     """True when at least one glob or ``regex:`` rule matches the name."""
+    patterns = list(patterns)
+    if len(patterns) > FEW:
+        return _one_test(name, patterns)
     tests = [
         matches_regex(name, p[len(REGEX_PREFIX):]) if p.startswith(REGEX_PREFIX)
         else matches_glob(name, p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlake.functions.jsontext import strict_json
-from arborlake.operators.ordering import numbered
+from arborlake.operators.ordering import newest_rows
 from arborlake.options import CACHE_KEEP_SHARE, CACHE_LIMIT_MIB, MIB
 
 STAT_KEYS = ("path", "size", "mtime_us")
@@ -117,8 +117,8 @@ def evict(
 ) -> DataFrame:
     """Keep the newest rows by mtime once the table is over its limit.
 
-    The cut is by global row number over the keys alone, so no task ever holds the evicted or the
-    kept rows whole, and payloads move once, for the rows that stay.
+    The cut is found in the keys alone, by a quantile sketch and the order of the few rows around it
+    (``ordering.newest_rows``), and payloads move once, for the rows that stay.
     ``size_bytes`` may give the size on disk; the default is the payload size.
     """
     row_count, payload = accounting(cache).first()
@@ -126,6 +126,5 @@ def evict(
     keep = rows_to_keep(row_count, measured, limit_bytes)
     if keep == row_count:
         return cache
-    ranked = numbered(cache.select("mtime_us", "path"), ["mtime_us", "path"], name="_age_rank")
-    newest = ranked.filter(F.col("_age_rank") > row_count - keep).select("path")
+    newest = newest_rows(cache.select("mtime_us", "path"), keep).select("path")
     return cache.join(newest, "path", "left_semi")

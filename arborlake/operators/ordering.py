@@ -57,6 +57,29 @@ def numbered(
     )
 
 
+def running_sums(
+    df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column]
+) -> DataFrame:
+    """Add columns with the sum of an expression over all earlier rows in ``order``, the row itself left out.
+
+    Rows are range-partitioned and written once, as in ``numbered``; what comes before a partition is
+    a sum over one row a partition, and only rows of one partition are summed in one task.
+    """
+    sort_by = _columns(order)
+    stored = materialise(
+        df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_local", F.monotonically_increasing_id())
+        .withColumns({f"_v_{name}": F.coalesce(value, F.lit(0)) for name, value in sums.items()}), "ordered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]).select(
+        "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    rows = stored.withColumns({
+        f"_s_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
+    return rows.join(F.broadcast(totals), "_part").select(  # one row a partition of ``stored``
+        *df.columns, *[(F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
 def chunk_index(
     df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = (),
     chunk: int = CHUNK_ENTRIES,
@@ -119,6 +142,33 @@ def navigation(matches: DataFrame, key: str, order: Sequence[str | Column]) -> D
     )
 
 
+_SKETCH = 10_000  # accuracy of the quantile sketch: ranks are off by one in so many rows at most
+
+
+def newest_rows(df: DataFrame, n: int, by: str = "mtime_us", key: str = "path") -> DataFrame:
+    """The ``n`` rows with the greatest ``(by, key)``, without sorting the table.
+
+    A quantile sketch, merged over all tasks, gives a range of ``by`` that holds the cut. Counts on
+    both sides of it are exact; only rows inside the range are ordered. Should the counts show that
+    the sketch was off, the range is opened on that side. ``df`` is read three times.
+    """
+    total, null = df.agg(F.count(F.lit(1)), F.count_if(F.col(by).isNull())).first()
+    if n >= total or n <= 0:
+        return df if n >= total else df.limit(0)
+    from_below = 1 - min(1.0, n / max(1, total - null))
+    shares = [max(0.0, from_below - 2 / _SKETCH), min(1.0, from_below + 2 / _SKETCH)]
+    low, high = df.agg(F.percentile_approx(by, shares, _SKETCH)).first()[0] or (None, None)
+    if low is None:
+        low = high = 0  # only nulls, which lie below everything
+    value = F.col(by)
+    above, reached = df.agg(F.count_if(value > high), F.count_if(value >= low)).first()
+    over = F.lit(False) if above > n else F.coalesce(value > high, F.lit(False))
+    under = F.lit(False) if reached < n else F.coalesce(value < low, F.lit(True))
+    above = 0 if above > n else above
+    inside = numbered(df.filter(~over & ~under), [F.desc_nulls_last(by), F.desc(key)], name="_newest")
+    return df.filter(over).unionByName(inside.filter(F.col("_newest") <= n - above).drop("_newest"))
+
+
 def oldest_rows(df: DataFrame, k: int) -> DataFrame:
     """The ``k`` oldest rows by mtime for a report; ties go by path."""
     return df.orderBy("mtime_us", "path").limit(k)

@@ -139,8 +139,15 @@ def buffer_counter(rows: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def overview(summary: DataFrame, repository: str | None = None) -> DataFrame:
-    """Summary rows as display text: ``position, label, text``."""
+FAILED_FILE = "Failed file"
+
+
+def overview(summary: DataFrame, repository: str | None = None,
+             failures: DataFrame | None = None) -> DataFrame:
+    """Summary rows as display text: ``position, label, text``.
+
+    Below them, a row for each failed file with its error on a second line, at the last position.
+    """
     def text(name: str) -> Column:
         return display.thousands(F.col(name))
 
@@ -161,4 +168,10 @@ def overview(summary: DataFrame, repository: str | None = None) -> DataFrame:
                  value.alias("text"))
         for i, (label, value) in enumerate(rows, start=1)
     ])
-    return summary.select(F.inline(cells))
+    shown = summary.select(F.inline(cells))
+    if failures is None:
+        return shown
+    return shown.unionByName(failures.select(
+        F.lit(len(rows) + 1).cast("long").alias("position"), F.lit(FAILED_FILE).alias("label"),
+        F.concat(F.coalesce("file", F.lit("Unknown file")), F.lit("\n  "),
+                 F.coalesce("error", F.lit("Unknown error"))).alias("text")))

@@ -158,6 +158,9 @@ def tree_lines(
     return result
 
 
-def in_order(lines: DataFrame) -> DataFrame:
+def in_order(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Lines of a document in order: one range-partitioned sort, any number of part files."""
-    return lines.orderBy("key", "rank").select("line")
+    order = ("key", "rank")
+    ordered = lines.orderBy(*order) if parts is None else lines.repartitionByRange(
+        parts, *order).sortWithinPartitions(*order)
+    return ordered.select("line")

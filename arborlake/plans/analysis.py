@@ -12,6 +12,7 @@ from arborlake.functions.content import algorithm_used, content_hash
 from arborlake.operators import analysis, cache, summary
 from arborlake.options import ScanOptions
 from arborlake.schema import ENTRIES, ENTRY_COLUMNS
+from arborlake.sources.cache_table import RootedCache
 
 
 class Analysis:
@@ -77,13 +78,14 @@ def _hashed(files: DataFrame, options: ScanOptions) -> DataFrame:
 
 def analyse_incremental(
     files: DataFrame,
-    stored: DataFrame,
+    stored: DataFrame | RootedCache,
     options: ScanOptions,
     load_content: Callable[[DataFrame], DataFrame],
 ) -> Incremental:
     """Reuse stored results of unchanged files and read only the others.
 
-    ``files`` is metadata only. ``load_content`` adds ``content`` to the rows it is given (see
+    ``files`` is metadata only; ``stored`` is a table of ``CACHE`` rows or the state of a tree
+    (``CacheTable.below``), which is probed by its key index. ``load_content`` adds ``content`` to the rows it is given (see
     ``sources.content``); it gets the misses alone, so unchanged files are never opened. With
     ``cache_validate="hash"`` every file within the size limit is read, as its hash is compared.
     """
@@ -91,13 +93,17 @@ def analyse_incremental(
     # a file without a size is no smaller one: its stat failed, and it has nothing to read
     unread = F.coalesce(analysis.size_excluded(F.col("size"), options), F.lit(False)) | F.col("stat_error").isNotNull()
     in_size = reached.filter(~unread)
+    if isinstance(stored, DataFrame):
+        find, miss = functools.partial(cache.hits, cache=stored), functools.partial(cache.misses, cache=stored)
+    else:
+        find, miss = stored.hits, stored.misses
     if options.cache_validate == "hash":
         in_size = _hashed(load_content(in_size), options)
-        hits = cache.hits(in_size.drop("content", "digest", "read_error"), stored, "hash")
-        fresh = cache.misses(in_size, stored, "hash").drop("file_hash")
+        hits = find(in_size.drop("content", "digest", "read_error"), validate="hash")
+        fresh = miss(in_size, validate="hash").drop("file_hash")
     else:
-        hits = cache.hits(in_size, stored, options.cache_validate)
-        fresh = load_content(cache.misses(in_size, stored, options.cache_validate))
+        hits = find(in_size, validate=options.cache_validate)
+        fresh = load_content(miss(in_size, validate=options.cache_validate))
     parsed = F.from_json("file_info", ENTRIES)
     reused = hits.withColumn("_info", parsed).select(
         *[n if n in ("path", "parent", "filename") else F.col("file_hash").alias("hash") if n == "hash"

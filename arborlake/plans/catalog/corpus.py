@@ -29,7 +29,11 @@ def analyse_files_limited(spark, sf_dir):
     CASE WHEN type = 'text' THEN CASE WHEN octet_length(encode(left(text, 1000))) =
         length(left(text, 1000)) THEN 'ascii' ELSE 'utf_8' END
       WHEN type = 'binary' THEN 'base64' END AS encoding,
-    CASE type WHEN 'text' THEN left(text, 200) WHEN 'binary' THEN to_base64((encode(text))[1:500])
+    CASE type WHEN 'text' THEN decode(unhex(substr(h, 1, 2 * CASE
+        WHEN substr(h, 2001, 1) NOT IN ('8', '9', 'A', 'B') THEN 1000
+        WHEN substr(h, 1999, 1) NOT IN ('8', '9', 'A', 'B') THEN 999
+        WHEN substr(h, 1997, 1) NOT IN ('8', '9', 'A', 'B') THEN 998 ELSE 997 END)))
+        || CASE WHEN substr(h, 2001, 1) IN ('8', '9', 'A', 'B') THEN chr(65533) ELSE '' END WHEN 'binary' THEN to_base64((encode(text))[1:500])
       WHEN 'error' THEN 'Failed to get file stats: not allowed' END AS content,
     CASE type WHEN 'text' THEN least(size, 1000) WHEN 'binary' THEN least(size, 500) END AS preview_bytes,
     CASE WHEN (type = 'text' AND size > 1000) OR (type = 'binary' AND size > 500) THEN true END AS truncated,
@@ -38,14 +42,13 @@ def analyse_files_limited(spark, sf_dir):
     CASE WHEN type IN ('text', 'binary') THEN md5(text) END AS hash,
     CASE WHEN type = 'error' THEN 'PermissionError' END AS exception_type,
     CASE WHEN type = 'error' THEN 'not allowed' END AS exception_message
-  FROM faulty_v""")
+  FROM (SELECT *, hex(encode(text)) AS h FROM faulty_v)""")
 def faulty_entries(spark, sf_dir):
-    """Error, binary, cut and excluded entries; of a text its first 200 characters are compared."""
+    """Error, binary, cut and excluded entries with their whole previews."""
     found = analyse(views.faulty_files(spark, sf_dir), SMALL).entries
     return found.select(
-        "path", "type", "reason", "encoding",
-        F.when(F.col("type") == "text", F.substring("content", 1, 200)).otherwise(F.col("content")).alias("content"),
-        "preview_bytes", "truncated", "size", "created", "hash", "exception_type", "exception_message")
+        "path", "type", "reason", "encoding", "content", "preview_bytes", "truncated", "size", "created",
+        "hash", "exception_type", "exception_message")
 
 
 @query("failed_files", """SELECT path AS file, 'Failed to get file stats: not allowed' AS error
@@ -62,11 +65,12 @@ def failed_summary(spark, sf_dir):
     return analyse(views.faulty_files(spark, sf_dir), SMALL).summary()
 
 
-@query("faulty_tree", """SELECT path, type AS kind FROM faulty_v""")
+@query("faulty_tree", """SELECT path, parent, filename AS name,
+    CAST(len(string_split(path, '/')) AS BIGINT) AS depth, type AS kind FROM faulty_v
+  UNION ALL SELECT path, parent, name, depth, 'directory' FROM dirs_v""")
 def faulty_tree(spark, sf_dir):
-    """File nodes of the hierarchy, failed and binary ones among them."""
-    nodes = tree.nodes(analyse(views.faulty_files(spark, sf_dir), SMALL).entries)
-    return nodes.filter("kind <> 'directory'").select("path", "kind")
+    """The hierarchy with failed, binary and excluded files."""
+    return tree.nodes(analyse(views.faulty_files(spark, sf_dir), SMALL).entries)
 
 
 @query("entry_types", """SELECT type, reason, count(*) AS files FROM tagged_v
@@ -125,6 +129,22 @@ def exclude_glob(spark, sf_dir):
     return files.filter(~patterns.matches_any(F.col("filename"), globs)).select("path")
 
 
+_MANY = (
+    *(f"f{7 * i}.txt" for i in range(1500)), *(f"*{11 * i}.md" for i in range(1500)),
+    *(f"f{13 * i}.p*" for i in range(1500)), *(rf"regex:f{17 * i}\.(json|dat)$" for i in range(500)))
+
+
+@query("exclude_many_rules", r"""SELECT path FROM files_v WHERE NOT (
+  filename IN (SELECT concat('f', 7 * i, '.txt') FROM range(1500) t(i))
+  OR list_bool_or(list_transform(range(1500), lambda i: ends_with(filename, concat(11 * i, '.md'))))
+  OR list_bool_or(list_transform(range(1500), lambda i: starts_with(filename, concat('f', 13 * i, '.p'))))
+  OR filename IN (SELECT concat('f', 17 * i, s) FROM range(500) t(i), (VALUES ('.json'), ('.dat')) v(s)))""")
+def exclude_many_rules(spark, sf_dir):
+    """5,000 rules of all kinds in one test."""
+    files = views.files(spark, sf_dir).select("path", "filename")
+    return files.filter(~patterns.matches_any(F.col("filename"), _MANY)).select("path")
+
+
 @query("exclude_regex", r"""SELECT path FROM files_v
   WHERE NOT regexp_matches(filename, '^(?:f\d*7\.(json|dat))')""")
 def exclude_regex(spark, sf_dir):

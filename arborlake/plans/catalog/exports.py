@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from arborlake.operators import tree
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import WHOLE, query
-from arborlake.session import new_work_path
+from arborlake.functions.paths import path_parts
+from arborlake.plans.catalog.registry import ORACLE, SMALL, WHOLE, query
+from arborlake.schema import ENTRY_COLUMNS
+from arborlake.session import materialise, new_work_path
 from arborlake.sinks import documents, runs as run_sinks
-from arborlake.sources import exports
+from arborlake.sources import exports, nested, wellformed
 
 LAST = tree.LAST
 
@@ -265,3 +267,83 @@ def flatten_structure(spark, sf_dir):
     nested = views.files(spark, sf_dir).select(F.parse_json(text).alias("structure"))
     flat = exports.flatten_structure(nested)
     return flat.select("path", F.variant_get("info", "$.size", "bigint").alias("size"))
+
+
+PARTS = 8  # part files of the documents that are read back
+_READ_BACK = [c for c in ENTRY_COLUMNS if c != "hash"]  # the nested document holds no hash
+
+
+@query("nested_round_trip", f"SELECT {', '.join(_READ_BACK)} FROM entries_v")
+def nested_round_trip(spark, sf_dir):
+    """The nested JSON document of all entries, written in several parts and read back as rows."""
+    path = new_work_path(spark, "nested")
+    run = _run(spark, sf_dir)
+    documents.write("json", materialise(run.entries, "entries"), path, summary=run.summary(), parts=PARTS)
+    return nested.read_nested_export(spark, path).entries.select(_READ_BACK)
+
+
+@query("nested_summary", """SELECT 'failed' AS part, path AS name,
+    'Failed to get file stats: not allowed' AS value FROM faulty_v WHERE failed
+  UNION ALL SELECT 'summary', unnest(['total_files', 'excluded_files', 'included_files',
+      'excluded_percentage', 'stopped_early', 'processed_files', 'hash_algorithm']),
+    unnest([CAST(count(*) AS VARCHAR), '0', CAST(count(*) AS VARCHAR), '0.0', 'false',
+      CAST(count(*) AS VARCHAR), '"md5"']) FROM faulty_v""")
+def nested_summary(spark, sf_dir):
+    """Summary and failed files of a nested JSON document, read back."""
+    path = new_work_path(spark, "nested-summary")
+    run = analyse(views.faulty_files(spark, sf_dir), SMALL)
+    documents.write("json", materialise(run.entries, "entries"), path, summary=run.summary(),
+                    failures=run.failures(), parts=PARTS)
+    found = nested.read_nested_export(spark, path)
+    return found.failures.select(
+        F.lit("failed").alias("part"), F.col("file").alias("name"), F.col("error").alias("value")
+    ).unionByName(found.summary.select(F.lit("summary").alias("part"), "name", "value"))
+
+
+_DOCUMENTS = {"json": documents.json_tree, "xml": documents.xml_tree, "yaml": documents.yaml_tree}
+# a line of each document, counted over the physical lines of all its parts
+_NUMBERED = ", ".join(f"""{fmt}_lines AS (
+  SELECT '{fmt}' AS format, sort_key, rank, length(line) - length(replace(line, chr(10), '')) + 1 AS own,
+    sum(length(line) - length(replace(line, chr(10), '')) + 1)
+      OVER (ORDER BY string_split(sort_key, '/'), rank) AS upto
+  FROM ({ORACLE[f'{fmt}_tree']}))""" for fmt in _DOCUMENTS)
+_ALL_LINES = " UNION ALL ".join(f"SELECT * FROM {fmt}_lines" for fmt in _DOCUMENTS)
+
+
+def _validated(spark, sf_dir, plant):
+    entries = materialise(_run(spark, sf_dir).entries, "entries")
+    last = entries.agg(F.max("path")).first()[0]
+    found = None
+    for fmt, build in _DOCUMENTS.items():
+        path = new_work_path(spark, f"document-{fmt}")
+        lines = build(entries)
+        own = (F.array_join("key", "/") == F.lit(last)) & (F.col("rank") == 1)
+        documents.write_lines(lines.withColumn("line", F.when(own, plant[fmt](F.col("line"))).otherwise(
+            F.col("line"))) if plant else lines, path, PARTS)
+        one = wellformed.validate_nested(spark, path, fmt).withColumn("format", F.lit(fmt))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("export_wellformed", f"""WITH {_NUMBERED} SELECT format, true AS is_valid,
+    CAST(max(upto) AS BIGINT) AS lines, CAST(NULL AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS reason
+  FROM ({_ALL_LINES}) GROUP BY format""")
+def export_wellformed(spark, sf_dir):
+    """JSON, XML and YAML documents of all entries, in several parts, found well-formed."""
+    return _validated(spark, sf_dir, None)
+
+
+@query("export_faults", f"""WITH {_NUMBERED} SELECT format, false AS is_valid,
+    CAST(max(upto) AS BIGINT) AS lines,
+    CAST(max(CASE WHEN sort_key = (SELECT max(path) FROM entries_v) AND rank = 1
+      THEN CASE format WHEN 'xml' THEN upto - 1 ELSE upto - own END END) AS BIGINT) AS line,
+    CASE format WHEN 'json' THEN '] closes {{' WHEN 'xml' THEN '</fil> closes <file>'
+      ELSE 'unreadable text' END AS reason
+  FROM ({_ALL_LINES}) GROUP BY format""")
+def export_faults(spark, sf_dir):
+    """The same documents with a fault in the last file's lines: it is found, and in its line."""
+    return _validated(spark, sf_dir, {
+        "json": lambda line: F.concat(line, F.lit("]")),
+        "xml": lambda line: F.regexp_replace(line, "</file>$", "</fil>"),
+        "yaml": lambda line: F.replace(line, F.lit('":\n'), F.lit(":\n")),
+    })

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import analysis, cache, logs, ordering, repos, runs, sets, summary, tree
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.plans.catalog.registry import OPTIONS, WHOLE, query
+from arborlake.plans.catalog.registry import OPTIONS, SMALL, WHOLE, query
 
 # ---- summaries -----------------------------------------------------------------------------
 
@@ -121,6 +121,20 @@ def summary_overview(spark, sf_dir):
     return summary.overview(run.summary(), "documents")
 
 
+@query("summary_failures", """WITH t AS (SELECT count(*) AS n, count(*) FILTER (failed) AS failed FROM faulty_v)
+  SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8])::BIGINT AS position,
+    unnest(['Repository', 'Total files', 'Processed files', 'Excluded files', 'Excluded',
+      'Failed files', 'Hash algorithm', 'Status']) AS label,
+    unnest(['documents', format('{:,}', n), format('{:,}', n), '0', '0.0%', CAST(failed AS VARCHAR), 'md5',
+      'Completed']) AS text FROM t
+  UNION ALL SELECT 9, 'Failed file', concat(path, chr(10), '  Failed to get file stats: not allowed')
+  FROM faulty_v WHERE failed""")
+def summary_failures(spark, sf_dir):
+    """The overview of a run with failed files, each of them a row below it."""
+    run = analyse(views.faulty_files(spark, sf_dir), SMALL)
+    return summary.overview(run.summary(), "documents", run.failures())
+
+
 # ---- tree ----------------------------------------------------------------------------------
 
 

@@ -195,6 +195,8 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not used:
         return sql
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     return "WITH " + ",\n".join(VIEWS[name] for name in used) + "\n" + sql
 
 

@@ -8,6 +8,8 @@ from arborlake.operators import analysis, cache, filters, ordering
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
 from arborlake.plans.catalog.registry import WHOLE, query
+from arborlake.session import new_work_path
+from arborlake.sources.cache_table import CacheTable
 
 
 def _metadata(spark, sf_dir):
@@ -114,3 +116,70 @@ def oldest_k(spark, sf_dir):
 def corrupt_payloads(spark, sf_dir):
     """Stored rows that count as misses."""
     return cache.unreadable(views.cache(spark, sf_dir)).select("path", "file_info")
+
+
+_AGAIN = '{"again":1}'
+_STATE = f"""(SELECT '/a' AS root, path, file_hash, size, mtime_us,
+    CASE WHEN size % 2 = 0 THEN '{_AGAIN}' ELSE file_info END AS file_info FROM cache_v
+  UNION ALL SELECT '/b', path, file_hash, size, mtime_us + {views.HOUR_US}, file_info FROM cache_v)"""
+
+
+def _state(spark, sf_dir):
+    """Two trees with equal relative paths in one table; part of the first is written twice."""
+    state = CacheTable(spark, new_work_path(spark, "state"), buckets=8)
+    rows = views.cache(spark, sf_dir)
+    state.below("/a").upsert(rows, "a")
+    state.below("/b").upsert(rows.withColumn("mtime_us", F.col("mtime_us") + views.HOUR_US), "b")
+    state.below("/a").upsert(
+        rows.filter("size % 2 = 0").withColumn("file_info", F.lit(_AGAIN)), "a again")
+    return state
+
+
+def _of_both_roots(probe):
+    first, second = (probe(root).withColumn("root", F.lit(root)) for root in ("/a", "/b"))
+    return first.unionByName(second)
+
+
+@query("state_hits", f"""SELECT root, path, file_hash, file_info FROM {_STATE}
+  JOIN files_v USING (path, size, mtime_us) WHERE json_valid(file_info)""")
+def state_hits(spark, sf_dir):
+    state, files = _state(spark, sf_dir), _metadata(spark, sf_dir)
+    return _of_both_roots(lambda root: state.below(root).hits(files)).select(
+        "root", "path", "file_hash", "file_info")
+
+
+@query("state_misses", f"""SELECT root, path, size, mtime_us
+  FROM (SELECT * FROM files_v, (VALUES ('/a'), ('/b')) r(root)) ANTI JOIN (SELECT * FROM {_STATE} WHERE json_valid(file_info)) USING (root, path, size, mtime_us)""")
+def state_misses(spark, sf_dir):
+    state, files = _state(spark, sf_dir), _metadata(spark, sf_dir)
+    return _of_both_roots(lambda root: state.below(root).misses(files))
+
+
+@query("state_hits_by_hash", f"""SELECT root, s.path, s.file_info FROM {_STATE} s JOIN files_v f
+  ON s.path = f.path AND s.size = f.size AND s.mtime_us = f.mtime_us AND s.file_hash = md5(f.text)
+  WHERE json_valid(s.file_info)""")
+def state_hits_by_hash(spark, sf_dir):
+    now = views.files(spark, sf_dir).select(
+        "path", "size", "mtime_us", F.md5("content").alias("file_hash"))
+    state = _state(spark, sf_dir)
+    return _of_both_roots(lambda root: state.below(root).hits(now, "hash")).select("root", "path", "file_info")
+
+
+@query("state_rows", f"""SELECT concat(root, '/', path) AS path, file_hash, file_info, size, mtime_us
+  FROM {_STATE}""")
+def state_rows(spark, sf_dir):
+    """The newest row of every path over three writes."""
+    return _state(spark, sf_dir).read()
+
+
+@query("state_upkeep", f"""WITH s AS (
+    SELECT concat(root, '/', path) AS path, mtime_us, octet_length(encode(file_info)) AS bytes FROM {_STATE}
+    WHERE root = '/b' OR path IN (SELECT path FROM files_v)),
+  t AS (SELECT count(*) AS n, sum(bytes) AS b FROM s)
+  SELECT path, mtime_us FROM s QUALIFY row_number() OVER (ORDER BY mtime_us DESC, path DESC) <=
+    (SELECT CASE WHEN b <= 20000 THEN n ELSE CAST(floor(n * (20000 * 0.75) / b) AS BIGINT) END FROM t)""")
+def state_upkeep(spark, sf_dir):
+    """What stays after the orphans of one tree are dropped and the state is cut to its limit."""
+    state = _state(spark, sf_dir)
+    state.upkeep(_metadata(spark, sf_dir), "/a", "upkeep", limit_bytes=20_000, writes=1)
+    return state.read().select("path", "mtime_us")

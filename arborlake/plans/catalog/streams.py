@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from arborlake.operators import analysis
 from arborlake.plans import views
 from arborlake.plans.catalog.registry import OPTIONS, WHOLE, query
-from arborlake.schema import CACHE, LOGS
+from arborlake.schema import LOGS
 from arborlake.session import new_work_path
+from arborlake.sources import listing
+from arborlake.sources.cache_table import CacheTable
 from arborlake.sources.state_table import StateTable
 from arborlake.streaming import entries as stream_entries, logs as stream_logs
 
@@ -88,7 +90,7 @@ def stream_log_buffer(spark, sf_dir):
 def stream_reanalysis(spark, sf_dir):
     """Two passes over the same files: the second finds every read file in the state."""
     work = new_work_path(spark, "stream-reanalysis")
-    state = StateTable(spark, f"{work}/state", CACHE, "path")
+    state = CacheTable(spark, f"{work}/state", buckets=8)
     texts = views.files(spark, sf_dir).select("path", "content")
 
     def load(files):
@@ -100,3 +102,83 @@ def stream_reanalysis(spark, sf_dir):
             files, state, WHOLE, load, f"{work}/{turn}", f"{work}/checkpoint-{turn}"
         ).awaitTermination()
     return spark.read.parquet(f"{work}/second").select("path", "type", "hash")
+
+
+_MAX_FILES, _MAX_BYTES = 150, 150_000
+# chunks are cut where the number or the bytes of the files before pass a multiple of their limit
+_CHUNKS = f"""(SELECT *, dense_rank() OVER (ORDER BY r, b) - 1 AS chunk FROM (
+  SELECT *, floor((row_number() OVER w - 1) / {_MAX_FILES}) AS r,
+    floor(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {_MAX_BYTES}) AS b
+  FROM files_v WINDOW w AS (ORDER BY mtime_us, path)))"""
+
+
+@query("stream_bounded", f"""SELECT chunk, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes,
+    CAST(1 AS BIGINT) AS batches FROM {_CHUNKS} GROUP BY chunk""")
+def stream_bounded(spark, sf_dir):
+    """A written listing streamed chunk by chunk: what each batch was given."""
+    work = new_work_path(spark, "stream-bounded")
+    files = views.files(spark, sf_dir).select("path", "size", "mtime_us")
+    listing.write_chunks(files, f"{work}/listing", _MAX_FILES, _MAX_BYTES)
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{work}/out/run={batch_id}")
+
+    rows = listing.chunk_stream(spark, f"{work}/listing", "path STRING, size LONG, mtime_us LONG, chunk LONG")
+    rows.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(
+        availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{work}/out").groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),
+        F.count_distinct("batch").alias("batches"))
+
+
+_ESTIMATE = "CASE WHEN chunk % 3 = 1 THEN 10 ELSE (chunk + 2) * 60 END"
+
+
+@query("stream_live_progress", f"""WITH c AS (SELECT lang, chunk, mtime_us, {_ESTIMATE} AS estimate FROM {_CHUNKS}),
+  b AS (SELECT lang, chunk, count(*) AS n, max(estimate) AS estimate, min(mtime_us) AS first,
+    max(mtime_us) AS last FROM c GROUP BY lang, chunk),
+  p AS (SELECT lang, chunk, CAST(sum(n) OVER w AS BIGINT) AS processed, max(estimate) OVER w AS estimate,
+    (max(last) OVER w - min(first) OVER w) / 1000000.0::DOUBLE AS elapsed
+    FROM b WINDOW w AS (PARTITION BY lang ORDER BY chunk)),
+  t AS (SELECT *, CAST(greatest(estimate, processed) AS BIGINT) AS total,
+    CASE WHEN elapsed > 0 THEN processed / elapsed ELSE 0.0 END AS rate FROM p)
+  SELECT lang, processed, CAST(0 AS BIGINT) AS failed, total AS estimated_total_files,
+    rate AS files_per_second, total - processed AS remaining_files,
+    CASE WHEN rate > 0 THEN (total - processed) / rate END AS estimated_remaining,
+    CAST(floor(processed::DOUBLE / total * 100) AS BIGINT) AS percent FROM t""")
+def stream_live_progress(spark, sf_dir):
+    """What every batch of a run reports: one row for each run that the batch changed."""
+    work = new_work_path(spark, "stream-progress")
+    files = views.files(spark, sf_dir).select("path", "size", "mtime_us", "lang")
+    listing.write_chunks(files, f"{work}/listing", _MAX_FILES, _MAX_BYTES)
+    rows = listing.chunk_stream(
+        spark, f"{work}/listing", "path STRING, size LONG, mtime_us LONG, lang STRING, chunk LONG")
+    progress = stream_entries.live_progress(
+        rows.withColumn("type", F.lit("text")), "lang", at=F.col("mtime_us") / 1_000_000, estimate=F.expr(_ESTIMATE))
+
+    def report(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{work}/reports/batch={batch_id}")
+
+    progress.writeStream.outputMode("update").option("checkpointLocation", f"{work}/checkpoint").trigger(
+        availableNow=True).foreachBatch(report).start().awaitTermination()
+    return spark.read.schema(progress.schema).parquet(f"{work}/reports/*")
+
+
+@query("stopped_stream", f"""SELECT count(*) AS total_files,
+    count(*) FILTER (name_excluded) AS excluded_files,
+    count(*) FILTER (NOT name_excluded) AS included_files,
+    CAST(count(*) FILTER (name_excluded) AS DOUBLE) / count(*) * 100 AS excluded_percentage,
+    CAST(0 AS BIGINT) AS failed_files, true AS stopped_early,
+    count(*) FILTER (NOT name_excluded) AS processed_files, 'md5' AS hash_algorithm
+  FROM reached_v SEMI JOIN (SELECT doc_id FROM {_CHUNKS} WHERE chunk < 3) USING (doc_id)""")
+def stopped_stream(spark, sf_dir):
+    """A run over bounded batches that is stopped before its fourth: the summary of what was written."""
+    work = new_work_path(spark, "stream-stopped")
+    files = views.files(spark, sf_dir)
+    listing.write_chunks(files, f"{work}/listing", _MAX_FILES, _MAX_BYTES)
+    rows = listing.chunk_stream(spark, f"{work}/listing", files.withColumn("chunk", F.lit(0).cast("long")).schema)
+    marked = stream_entries.marked_stream(rows.drop("chunk"), OPTIONS)
+    stopped = stream_entries.write_until(
+        marked, f"{work}/out", f"{work}/checkpoint", lambda batch: batch >= 3, fmt="parquet")
+    return stream_entries.committed_summary(
+        spark, f"{work}/out", fmt="parquet", stopped_early=stopped, hash_algorithm="md5")

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from arborlake import sinks
 from arborlake.functions.content import algorithm_used
 from arborlake.operators import analysis, summary
-from arborlake.operators.cache import of_root, with_root
 from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
-from arborlake.schema import CACHE, ENTRY_COLUMNS, RUNS
+from arborlake.schema import ENTRY_COLUMNS, RUNS
 from arborlake.session import materialise
 from arborlake.sources import content, filetree
+from arborlake.sources.cache_table import CacheTable
 from arborlake.sources.state_table import StateTable
 
 
@@ -34,8 +34,8 @@ class TreeRun:
     failures: DataFrame
 
 
-def cache_table(spark: SparkSession, path: str) -> StateTable:
-    return StateTable(spark, path, CACHE, "path")
+def cache_table(spark: SparkSession, path: str, **options) -> CacheTable:
+    return CacheTable(spark, path, **options)
 
 
 def history_table(spark: SparkSession, path: str) -> StateTable:
@@ -50,12 +50,14 @@ def run_tree(
     options: ScanOptions | None = None,
     *,
     include_summary: bool = True,
-    state: StateTable | None = None,
+    state: CacheTable | None = None,
     history: StateTable | None = None,
     preset: str | None = None,
     name: str | None = None,
     scan_options: dict | None = None,
     by_levels: bool = False,
+    upkeep: dict | None = None,
+    drop_orphans: bool = False,
     **sink_options,
 ) -> TreeRun:
     """Analyse the files below ``root`` and write them to ``target`` as ``fmt``.
@@ -63,7 +65,8 @@ def run_tree(
     The listing and the entries are each written once in the shared folder, so no file is
     listed or read twice although summary, export, state and history all use them. With a
     ``state`` unchanged files are not opened; with a ``history`` the run is recorded.
-    ``by_levels`` lists very uneven trees level by level (see ``filetree.scan_levels``).
+    The state is then kept in bounds (``CacheTable.upkeep``, whose limits ``upkeep`` may give), and
+    ``drop_orphans`` also forgets files that are gone. ``by_levels`` lists very uneven trees level by level (see ``filetree.scan_levels``).
     """
     options = options or ScanOptions()
     started = time.monotonic()
@@ -81,7 +84,7 @@ def run_tree(
         ).withColumn("from_state", F.lit(False))
     else:
         made = analyse_incremental(
-            listed, of_root(state.read(), home), options, lambda files: content.with_content(files, options)
+            listed, state.below(home), options, lambda files: content.with_content(files, options)
         ).entries
     kept = materialise(made, "entries")
     entries = kept.select(*ENTRY_COLUMNS)
@@ -98,7 +101,8 @@ def run_tree(
         **({"summary": totals, "failures": failures} if include_summary else {}), **sink_options)
 
     if state is not None:
-        state.upsert(with_root(stored_form(kept.filter("NOT from_state")), home), identifier)
+        state.below(home).upsert(stored_form(kept.filter("NOT from_state")), identifier)
+        state.upkeep(listed if drop_orphans else None, home, identifier, **(upkeep or {}))
     if history is not None:
         row = totals.select(
             F.lit(identifier).alias("identifier"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +47,30 @@ def work_dir(spark: SparkSession) -> str:
     return _own_work_dir()
 
 
+_scratch: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
+
+
 def _application_dir(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/arborlake/{spark.sparkContext.applicationId}"
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:
-    return f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}{_scratch.get()}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates made inside are deleted at the end.
+
+    What is to stay has to be written elsewhere inside, to a path that was made before.
+    """
+    mark = _scratch.set(f"{_scratch.get()}/scratch-{uuid.uuid4().hex}")
+    folder = _application_dir(spark) + _scratch.get()
+    try:
+        yield
+    finally:
+        _scratch.reset(mark)
+        delete_folder(spark, folder)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -77,6 +98,18 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()]
 
 
+def stamp_in_order(spark: SparkSession, paths: list[str]) -> None:
+    """Give the files of each folder a later modification time than those of the folder before.
+
+    A file stream takes files in that order. Stores that keep no such times are left as they are.
+    """
+    now = time.time_ns() // 1_000_000 - len(paths)
+    for number, path in enumerate(paths):
+        store, place = _hadoop(spark, path)
+        for status in store.listStatus(place):
+            store.setTimes(status.getPath(), now + number, -1)
+
+
 def delete_folder(spark: SparkSession, path: str) -> bool:
     store, place = _hadoop(spark, path)
     return store.delete(place, True)

@@ -360,9 +360,9 @@ def sexp_tree(entries: DataFrame, summary: DataFrame | None = None,
 
 # ---- writing -------------------------------------------------------------------------------
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Part files that read in name order as one document."""
-    tree.in_order(lines).write.text(path)
+def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """Part files (about ``parts``, if given) that read in name order as one document."""
+    tree.in_order(lines, parts).write.text(path)
 
 
 def write_parquet(entries: DataFrame, path: str) -> None:
@@ -375,8 +375,8 @@ def write_graph_tables(entries: DataFrame, path: str) -> None:
 
 
 def _text_sink(build):
-    def sink(entries, summary, failures, path, **options):
-        write_lines(build(entries, summary, failures, **options), path)
+    def sink(entries, summary, failures, path, *, parts=None, **options):
+        write_lines(build(entries, summary, failures, **options), path, parts)
     return sink
 
 

@@ -4,7 +4,7 @@ Spark's own file listing leaves out names that start with ``_`` or ``.``; this s
 The root must be mounted on every executor. Only metadata is read here; see ``content``.
 
 Options: ``path``; ``excludedFolders`` and ``excludePatterns`` (JSON lists, pruned before they
-are entered); ``followSymlinks``; ``partitions`` (directories to plan for) and ``splits``
+are entered); ``changedAfterUs`` and ``changedUntilUs`` (inode change times); ``followSymlinks``; ``partitions`` (directories to plan for) and ``splits``
 (tasks that share the stat calls of the same directories, for directories with very many files).
 """
 
@@ -169,7 +169,10 @@ class FileTreeReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return _plan(_Walker(self.options), self.options)
+        until = self.options.get("changeduntilus")
+        window = {} if until is None else {
+            "after_us": int(self.options.get("changedafterus", -1)), "until_us": int(until)}
+        return _plan(_Walker(self.options), self.options, **window)
 
     def read(self, partition):
         return _Walker(self.options).rows(partition)
@@ -180,7 +183,8 @@ class FileTreeStreamReader(DataSourceStreamReader):
 
     A batch covers the times up to ``settleSeconds`` (default 2) before now, so that a file still
     being written is left to a later batch. ``maxWindowSeconds`` bounds the time a batch spans
-    while the query runs; the first batch after a start takes everything up to now.
+    while the query runs; the first batch after a start takes everything up to now. For batches of
+    bounded size, whatever the tree holds, see ``sources.listing``.
     Time always moves on, so every trigger lists the tree once, also when nothing changed: run it
     with ``availableNow`` or a ``processingTime`` that suits the size of the tree.
     """

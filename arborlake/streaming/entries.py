@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arborlake.operators import analysis, cache, summary
@@ -13,7 +14,7 @@ from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
 from arborlake.schema import ENTRIES
 from arborlake.session import materialise
-from arborlake.sources.state_table import StateTable
+from arborlake.sources.cache_table import CacheTable
 
 log = logging.getLogger(__name__)
 
@@ -85,6 +86,37 @@ def stop_and_summarise(
     return committed_summary(spark, path, stopped_early=True, **options)
 
 
+class StopRequested(Exception):
+    """Raised inside a batch when a run is to end before it."""
+
+
+def write_until(
+    entries: DataFrame, path: str, checkpoint: str, stop: Callable[[int], bool], *,
+    fmt: str = "json", trigger: dict | None = None,
+) -> bool:
+    """Write batch by batch until ``stop`` (asked with the number of each next batch) says so.
+
+    True when the run ended early. The batches before stay; a later call with the same checkpoint goes
+    on with the batch that was not written. ``committed_summary`` sums up what is there.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        if stop(batch_id):
+            raise StopRequested(f"before batch {batch_id}")
+        batch.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+
+    query = (
+        entries.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or AVAILABLE_NOW)).foreachBatch(keep).start()
+    )
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as problem:
+        if StopRequested.__name__ in str(problem):
+            return True
+        raise
+    return False
+
+
 def progress(entries: DataFrame, run: str) -> DataFrame:
     """Running counts per run; written in update mode they are the live progress."""
     failed = F.col("type") == "error"
@@ -92,6 +124,27 @@ def progress(entries: DataFrame, run: str) -> DataFrame:
         F.count_if(~failed).alias("processed"), F.count_if(failed).alias("failed"))
 
 
+def live_progress(entries: DataFrame, run: str, *, at: Column, estimate: Column) -> DataFrame:
+    """Counts, rate and remaining time of each run, as of its last batch.
+
+    ``at`` is the time of a row in seconds and ``estimate`` the number of files expected when it was
+    made; the estimate that is shown only grows, and is never below what was delivered. All of it is
+    one streaming aggregation of sums, minima and maxima, so a run of any size is combined before it is
+    shuffled, and the state holds one row a run.
+    """
+    failed = F.col("type") == "error"
+    counts = entries.groupBy(run).agg(
+        F.count_if(~failed).alias("processed"), F.count_if(failed).alias("failed"),
+        F.max(estimate).alias("_estimate"), (F.max(at) - F.min(at)).alias("elapsed"))
+    done = F.col("processed") + F.col("failed")
+    total = F.greatest(F.col("_estimate"), done).cast("long")
+    speed = summary.throughput(done, total, F.col("elapsed"))
+    return counts.select(
+        run, "processed", "failed", total.alias("estimated_total_files"),
+        *[column.alias(name) for name, column in speed.items()],
+        summary.progress_percent(done, total).alias("percent"))
+
+
 def status(progress_rows: DataFrame, handle: Callable[[DataFrame, int], None],
            checkpoint: str) -> StreamingQuery:
     """At most one status per half second, each with the counts that changed."""
@@ -116,7 +169,7 @@ def guarded(callback: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 
 def reanalyse(
     files: DataFrame,
-    state: StateTable,
+    state: CacheTable,
     options: ScanOptions,
     load_content: Callable[[DataFrame], DataFrame],
     path: str,
@@ -136,12 +189,11 @@ def reanalyse(
     def run(batch: DataFrame, batch_id: int) -> None:
         # metadata only, and written once: listing a tree again could give other rows
         listed = materialise(latest_of_batch(batch), "listed")
-        result = analyse_incremental(listed, cache.of_root(state.read(), root), options, load_content)
+        result = analyse_incremental(listed, state.below(root), options, load_content)
         target = f"{path}/batch={batch_id}"
         result.entries.write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.schema(result.entries.schema).parquet(target)
-        state.upsert(cache.with_root(stored_form(written.filter("NOT from_state")), root),
-                     f"{checkpoint}:{batch_id}")
+        state.below(root).upsert(stored_form(written.filter("NOT from_state")), f"{checkpoint}:{batch_id}")
         state.compact_beyond(compact_beyond, f"{checkpoint}:{batch_id}:compact")
 
     return (

@@ -3,6 +3,7 @@
 import datetime
 import fnmatch
 import pathlib
+import random
 import re
 import warnings
 
@@ -91,6 +92,42 @@ def test_regex_rules_are_anchored_at_the_start_and_bad_ones_ignored(spark):
     assert column_of(spark, names, lambda c: patterns.matches_any(c, [])) == [False] * 3
 
 
+def test_many_rules_equal_each_rule(spark):
+    """5,000 rules: the result of fnmatch and re, and as many expressions as for 50."""
+    rnd = random.Random(8)
+    letters = "abAB1.*?[]-\n é"
+
+    def text(n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    rules = ["*", ""] + [rnd.choice(["", "*"]) + text(rnd.randint(1, 4)) + rnd.choice(["", "*"]) for _ in range(4000)]
+    rules += [f"regex:{e}" for e in (r"(a)b\1", r"(?P<x>b)(?P=x)", "([", "(?i)ab|zz", r"\d+$", "a|b.")]
+    rules += [f"regex:{re.escape(text(3))}{rnd.choice(['', '$', '.*'])}" for _ in range(1000)]
+    names = [text(rnd.randint(0, 6)) for _ in range(300)] + ["abab", "aba", "bb", "ABx", ""]
+
+    def matches(name, rule):
+        if not rule.startswith("regex:"):
+            return fnmatch.fnmatchcase(name, rule)
+        try:
+            return re.match(rule[6:], name) is not None
+        except re.error:
+            return False
+
+    for chosen in (rules[2:], rules, rules[2:30], rules[1:2] + rules[-900:]):
+        got = column_of(spark, names, lambda c: patterns.matches_any(c, chosen))
+        assert got == [any(matches(n, r) for r in chosen) for n in names]
+
+    def expressions(chosen):
+        plan = spark.range(1).select(F.lit("x").alias("n")).filter(
+            patterns.matches_any(F.col("n"), chosen))._jdf.queryExecution().analyzed().toString()
+        return len(re.findall(r" IN \(|RLIKE|INSET", plan))
+
+    def made(n):
+        return [f"name{i:05d}" for i in range(n)] + [f"*.x{i:05d}" for i in range(n)] + [f"y{i:05d}*" for i in range(n)]
+
+    assert expressions(made(20)) == expressions(made(1700)) == 3
+
+
 def test_paths(spark):
     assert column_of(spark, ["a/b/c", "c", "a/b"], paths.ancestors) == [["a", "a/b"], [], ["a"]]
     assert column_of(spark, ["/r/x", "/r/a\\b/x", "/s/x", "/r2/x"],

@@ -117,6 +117,30 @@ def test_eviction_keeps_the_newest_share(spark):
     assert cache.evict(stored, limit_bytes=10_000) is stored
 
 
+@pytest.mark.parametrize("times", [
+    lambda i: i, lambda i: i // 2000, lambda i: 7, lambda i: None if i % 3 else i, lambda i: None])
+def test_newest_rows_equal_brute_force(spark, monkeypatch, times):
+    rows = [(f"p{i * 7919 % 5000:04d}", times(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "path STRING, mtime_us BIGINT").repartition(7)
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    sorted_rows = []
+    real = ordering.numbered
+    monkeypatch.setattr(ordering, "numbered", lambda frame, *a, **k: sorted_rows.append(
+        frame.count()) or real(frame, *a, **k))
+    for n in (0, 1, 1234, 4999, 5000, 9999):
+        got = {r["path"] for r in ordering.newest_rows(df, n).collect()}
+        assert got == {r[0] for r in ordered[max(0, 5000 - n):]}, n
+    if times(4000) == 4000:
+        assert max(sorted_rows) <= 10  # of 5000 distinct times
+
+
+def test_newest_rows_survive_a_wrong_sketch(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id AS mtime_us", "CAST(id AS STRING) AS path")
+    for wrong in ([0, 1], [998, 999], [2000, 3000], [-9, -5]):
+        monkeypatch.setattr(F, "percentile_approx", lambda *a: F.array(*map(F.lit, wrong)))
+        assert sorted(r["mtime_us"] for r in ordering.newest_rows(df, 300).collect()) == list(range(700, 1000))
+
+
 def skewed(spark, n=5000):
     """One key holds more than a third of the rows; times repeat."""
     rng = random.Random(7)

@@ -3,15 +3,17 @@
 import logging
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrameWriter, functions as F
 
 from arborlake.operators import analysis
 from arborlake.options import ScanOptions
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
-from arborlake.schema import CACHE, LOGS
+from arborlake.schema import LOGS
 from arborlake.session import new_work_path
-from arborlake.sources import content, filetree
+from arborlake.sources import content, filetree, listing
+from arborlake.sources.cache_table import CacheTable
 from arborlake.sources.state_table import StateTable
 from arborlake.streaming import entries as streams, logs as stream_logs
 
@@ -118,7 +120,7 @@ def test_status_reports_growing_counts(spark, parts, work):
 def test_reanalysis_reuses_state(spark, work, tmp_path):
     for name in ("a.txt", "b.txt", "c.py"):
         (tmp_path / name).write_text(f"content of {name}")
-    state = StateTable(spark, f"{work}/state", CACHE, "path")
+    state = CacheTable(spark, f"{work}/state", buckets=4)
     loaded = []
 
     def load(files):
@@ -139,6 +141,66 @@ def test_reanalysis_reuses_state(spark, work, tmp_path):
     assert state.read().count() == 3
 
 
+@pytest.mark.parametrize("place", ["output", "rows", "commit"])
+def test_reanalysis_recovers_inside_a_batch(spark, work, tmp_path, monkeypatch, place):
+    """A run that dies behind the output, the state's rows or their commit ends like an undisturbed one."""
+    for i in range(7):
+        (tmp_path / f"f{i}.txt").write_text(f"content of {i}")
+    (tmp_path / "pic.png").write_bytes(b"\x89PNG")
+    listing.extend(spark, str(tmp_path), OPTIONS, f"{work}/listing", max_files=3, settle_seconds=0)
+
+    def run(turn, state):
+        finish(streams.reanalyse(
+            listing.stream(spark, f"{work}/listing"), state, OPTIONS,
+            lambda files: content.with_content(files, OPTIONS), f"{work}/{turn}", f"{work}/cp-{turn}"))
+
+    def result(turn, state):
+        rows = spark.read.parquet(f"{work}/{turn}").select("path", "type", "content", "hash", "batch")
+        return sorted(map(tuple, rows.collect())), sorted(map(tuple, state.read().collect()))
+
+    plain, disturbed = (CacheTable(spark, f"{work}/state-{n}", buckets=2) for n in ("plain", "disturbed"))
+    run("plain", plain)
+    calls = []
+
+    def dying(real, before):
+        def call(self, *args, **kwargs):
+            calls.append(1)
+            if len(calls) == 2 and before:
+                raise RuntimeError("killed")
+            out = real(self, *args, **kwargs)
+            if len(calls) == 2 and not before:
+                raise RuntimeError("killed")
+            return out
+        return call
+
+    with monkeypatch.context() as patch:
+        owner, name, before = {
+            "output": (CacheTable, "upsert", True), "rows": (DataFrameWriter, "insertInto", False),
+            "commit": (CacheTable, "upsert", False)}[place]
+        patch.setattr(owner, name, dying(getattr(owner, name), before))
+        with pytest.raises(StreamingQueryException):
+            run("disturbed", disturbed)
+    assert len(spark.read.parquet(f"{work}/disturbed").select("batch").distinct().collect()) == 2
+    run("disturbed", disturbed)
+    assert result("disturbed", disturbed) == result("plain", plain)
+    assert len(result("plain", plain)[0]) == 8
+
+
+def test_a_stopped_run_goes_on(spark, parts, work):
+    def run(stop):
+        return streams.write_until(
+            streams.marked_stream(parts(), OPTIONS), f"{work}/out", f"{work}/cp", stop, fmt="parquet")
+
+    def total():
+        return streams.committed_summary(spark, f"{work}/out", fmt="parquet").first()["total_files"]
+
+    assert run(lambda batch: batch >= 2) is True
+    part = total()
+    assert run(lambda batch: True) is True and total() == part
+    assert run(lambda batch: False) is False
+    assert 0 < part < total() == analyse(views.files(spark, SF), OPTIONS).summary().first()["total_files"]
+
+
 def test_log_routing_delivers_once(spark, work):
     stream = views.log_columns(spark.readStream.schema(
         views.table(spark, SF, "events").schema).parquet(f"{SF}/events*.parquet"))

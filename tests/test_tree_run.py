@@ -26,7 +26,7 @@ def tree(tmp_path):
 
 def test_two_runs_with_state_and_history(spark, tree, tmp_path, monkeypatch):
     work = new_work_path(spark, "test-run")
-    state, history = cache_table(spark, f"{work}/cache"), history_table(spark, f"{work}/runs")
+    state, history = cache_table(spark, f"{work}/cache", buckets=4), history_table(spark, f"{work}/runs")
     first = run_tree(spark, str(tree), str(tmp_path / "one"), "json", state=state, history=history)
     document = json.loads("".join(
         open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{tmp_path}/one/part-*"))))
@@ -63,6 +63,16 @@ def test_two_runs_with_state_and_history(spark, tree, tmp_path, monkeypatch):
     assert list(export["configuration"]) == sorted(export["configuration"])
 
 
+def test_upkeep_is_part_of_a_run(spark, tree, tmp_path):
+    state = cache_table(spark, new_work_path(spark, "test-upkeep"), buckets=4)
+    run_tree(spark, str(tree), str(tmp_path / "one"), "jsonl", state=state)
+    (tree / "README.md").unlink()
+    run_tree(spark, str(tree), str(tmp_path / "two"), "jsonl", state=state, drop_orphans=True)
+    assert {r["path"].rsplit("/", 1)[1] for r in state.read().collect()} == {"a.py", "b.py"}
+    run_tree(spark, str(tree), str(tmp_path / "three"), "jsonl", state=state, upkeep={"limit_bytes": 1})
+    assert state.read().count() == 0
+
+
 def test_run_without_summary(spark, tree, tmp_path):
     result = run_tree(spark, str(tree), str(tmp_path / "out"), "parquet",
                       ScanOptions(encoding="utf-8"), include_summary=False, by_levels=True)
@@ -76,7 +86,7 @@ def test_two_roots_share_a_state_table(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "README.md").write_text(name)
         os.utime(tmp_path / name / "README.md", (1_700_000_000, 1_700_000_000))
-    state = cache_table(spark, new_work_path(spark, "test-roots"))
+    state = cache_table(spark, new_work_path(spark, "test-roots"), buckets=4)
     for _ in range(2):
         for name in ("r1", "r2"):
             run = run_tree(spark, str(tmp_path / name), new_work_path(spark, "test-out"), "jsonl", state=state)
