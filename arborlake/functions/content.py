@@ -111,13 +111,106 @@ def encoding_on_jvm(raw: Column, cut: Column) -> Column:
     return let(raw, decide)
 
 
+_SAMPLE = 1024  # bytes that tell whether a text without a mark has wide units
+# fixed values: byte-order marks
+_MARKS = (("FFFE0000", "utf_32", "utf_32_le"), ("0000FEFF", "utf_32", "utf_32_be"),
+          ("FFFE", "utf_16", "utf_16_le"), ("FEFF", "utf_16", "utf_16_be"))
+_UNIT = {"utf_16_le": 2, "utf_16_be": 2, "utf_32_le": 4, "utf_32_be": 4}
+# all units of a text, as hexadecimal digits: pairs of surrogates, or anything but half of one
+_VALID_UNITS = {
+    "utf_16_be": r"D[89AB]..D[CDEF]..|(?!D[89A-F])....",
+    "utf_16_le": r"..D[89AB]..D[CDEF]|..(?!D[89A-F])..",
+    "utf_32_be": r"0000(?!D[89A-F])....|00(?:0[1-9A-F]|10)....",
+    "utf_32_le": r"..(?!D[89A-F])..0000|....(?:0[1-9A-F]|10)00",
+}
+_HIGH_SURROGATE = {"utf_16_be": "^D[89AB]", "utf_16_le": "^..D[89AB]"}
+
+
+def _order_without_mark(raw: Column) -> Column:
+    """Width and byte order of a text without a mark, as far as its zero bytes show it.
+
+    Of UTF-16 at least half of the units have a zero byte on one side only, as in Latin scripts and in
+    texts with many blanks; of UTF-32 all have one at the upper end, and at least half have two.
+    """
+    def of(digits: Column) -> Column:
+        def units(width: int) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.floor(F.length(digits) / width).cast("int") - 1),
+                lambda i: F.substr(digits, i * width + 1, F.lit(width)))
+
+        def share(width: int, test) -> Column:
+            return F.size(F.filter(units(width), test)) / F.floor(F.length(digits) / width)
+
+        def one_side(unit: Column, zero: Column, other: Column) -> Column:
+            return (F.substr(unit, zero, F.lit(2)) == "00") & (F.substr(unit, other, F.lit(2)) != "00")
+
+        first, second = F.lit(1), F.lit(3)
+        wide = (F.length(digits) >= 8) & (F.length(digits) % 8 == 0)
+        return (
+            F.when(wide & (share(8, lambda u: u.rlike(r"^(?!0{8})....(?:0.|10)00")) == 1)
+                   & (share(8, lambda u: F.endswith(u, F.lit("0000"))) >= 0.5), "utf_32_le")
+            .when(wide & (share(8, lambda u: u.rlike(r"^(?!0{8})00(?:0.|10)")) == 1)
+                  & (share(8, lambda u: F.startswith(u, F.lit("0000"))) >= 0.5), "utf_32_be")
+            .when((F.length(digits) >= 4) & (share(4, lambda u: one_side(u, second, first)) >= 0.5), "utf_16_le")
+            .when((F.length(digits) >= 4) & (share(4, lambda u: one_side(u, first, second)) >= 0.5), "utf_16_be"))
+
+    sample = F.substring(raw, 1, _SAMPLE)
+    return F.when(F.contains(sample, F.lit(b"\x00")), let(F.hex(sample), of))
+
+
+def wide_encoding(raw: Column, cut: Column) -> Column:
+    """``name, encoding, text`` where ``raw`` is UTF-16 or UTF-32, else null; all on the JVM.
+
+    ``name`` is ``utf_16`` or ``utf_32`` behind a byte-order mark, which the text does not keep, and has
+    the order at its end where zero bytes tell it. Every unit is judged. Only where ``cut`` may the
+    last character be incomplete; U+FFFD stands for it then.
+    """
+    head = F.hex(F.substring(raw, 1, 4))
+    marked = F.lit(None).cast("struct<name:string,encoding:string,skip:int>")
+    for digits, name, order in reversed(_MARKS):
+        found = F.struct(F.lit(name).alias("name"), F.lit(order).alias("encoding"),
+                         F.lit(len(digits) // 2).alias("skip"))
+        marked = F.when(F.startswith(head, F.lit(digits)), found).otherwise(marked)
+
+    def judged(kind: Column) -> Column:
+        body = F.substring(raw, kind["skip"] + 1, F.octet_length(raw))
+        return let(body, lambda data: _judged(kind, data, cut))
+
+    guess = _order_without_mark(raw)
+    unmarked = F.when(F.lit(True), let(guess, lambda order: F.when(order.isNotNull(), F.struct(
+        order.alias("name"), order.alias("encoding"), F.lit(0).alias("skip")))))
+    return let(F.coalesce(marked, unmarked), lambda kind: F.when(kind.isNotNull(), judged(kind)))
+
+
+def _judged(kind: Column, data: Column, cut: Column) -> Column:
+    out = F.lit(None).cast("struct<name:string,encoding:string,text:string>")
+    for encoding, width in _UNIT.items():
+        size = F.octet_length(data)
+        whole = size - size % width
+        if encoding in _HIGH_SURROGATE:
+            last = F.hex(F.substring(data, whole - 1, F.lit(2)))
+            whole = whole - F.when(cut & (whole >= 2) & last.rlike(_HIGH_SURROGATE[encoding]), 2).otherwise(0)
+        kept = F.substring(data, F.lit(1), whole)
+        valid = (F.regexp_replace(F.hex(kept), _VALID_UNITS[encoding], "") == "") & (cut | (whole == size))
+        charset = encoding.upper().replace("_", "-").replace("-LE", "LE").replace("-BE", "BE")
+        if width == 4:  # one charset, which reads the order from the mark
+            text = F.decode(F.concat(F.lit(bytes.fromhex("FFFE0000" if encoding.endswith("le") else "0000FEFF")),
+                                     kept), "UTF-32")
+        else:
+            text = F.decode(kept, charset)
+        text = F.concat(text, F.when(whole < size, "\ufffd").otherwise(""))
+        out = F.when(kind["encoding"] == encoding, F.when(valid, F.struct(
+            kind["name"].alias("name"), kind["encoding"].alias("encoding"), text.alias("text")))).otherwise(out)
+    return out
+
+
 def with_decoded(
     df: DataFrame, raw: str, *, hint: str | None = None, cut: Column | None = None,
     fallback: str | None = None,
 ) -> DataFrame:
     """Add ``_encoding`` and ``_decoded`` (U+FFFD for what cannot be decoded).
 
-    UTF-8 and ASCII stay on the JVM. Only other bytes go to Python, in one Arrow pass that both
+    UTF-8, ASCII, UTF-16 and UTF-32 stay on the JVM. Only other bytes go to Python, in one Arrow pass that both
     guesses and decodes. There is no such pass in the plan with a UTF-8 hint, or with a
     ``fallback`` (``"utf-8"`` or ``"latin_1"``) that other bytes are read as instead of guessing.
     """
@@ -129,22 +222,25 @@ def with_decoded(
             "_encoding": F.when(source.isNotNull(), F.lit(hint)), "_decoded": decode_utf8(source)})
     if hint is None:
         cut = F.lit(False) if cut is None else cut
-        df = df.withColumn("_easy", encoding_on_jvm(source, cut))
+        df = df.withColumn("_wide", wide_encoding(source, cut))
+        df = df.withColumn("_easy", F.when(F.col("_wide").isNull(), encoding_on_jvm(source, cut)))
         if fallback is not None:
             other = decode_utf8(source) if fallback == "utf-8" else F.decode(source, _FALLBACKS[fallback])
             return df.withColumns({
-                "_encoding": F.when(source.isNotNull(), F.coalesce("_easy", F.lit(fallback))),
-                "_decoded": F.when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(other),
-            }).drop("_easy")
+                "_encoding": F.when(source.isNotNull(), F.coalesce("_wide.name", "_easy", F.lit(fallback))),
+                "_decoded": F.when(F.col("_wide").isNotNull(), F.col("_wide.text"))
+                .when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(other),
+            }).drop("_easy", "_wide")
     else:
-        df = df.withColumn("_easy", F.lit(None).cast("string"))
-    other = F.when(F.col("_easy").isNull(), source)
+        df = df.withColumn("_easy", F.lit(None).cast("string")).withColumn(
+            "_wide", F.lit(None).cast("struct<name:string,encoding:string,text:string>"))
+    other = F.when(F.col("_easy").isNull() & F.col("_wide").isNull(), source)
     df = df.withColumn("_guess", _guess_and_decode(other, F.lit(hint).cast("string")))
     return df.withColumns({
-        "_encoding": F.coalesce("_easy", "_guess.encoding"),
-        "_decoded": F.when(F.col("_easy").isNotNull(), decode_utf8(source))
-        .otherwise(F.col("_guess.text")),
-    }).drop("_easy", "_guess")
+        "_encoding": F.coalesce("_wide.name", "_easy", "_guess.encoding"),
+        "_decoded": F.when(F.col("_wide").isNotNull(), F.col("_wide.text"))
+        .when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(F.col("_guess.text")),
+    }).drop("_easy", "_guess", "_wide")
 
 
 def decode_utf8(raw: Column) -> Column:

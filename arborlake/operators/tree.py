@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from arborlake.functions import display
 from arborlake.functions.paths import ancestors, base_name, parent_path, path_parts
+from arborlake.session import materialise
 
 LAST = chr(0x10FFFF)  # sorts after every name
 
@@ -110,18 +111,29 @@ def _line(key: Column, rank: int, line: Column) -> list[Column]:
     ]
 
 
-def fixed_lines(spark, key: list[str], lines: tuple[str, ...], start: int = 0) -> DataFrame:
-    rows = [(key, start + i, line) for i, line in enumerate(lines)]
-    return spark.createDataFrame(rows, "key ARRAY<STRING>, rank INT, line STRING")
+def fixed_lines(spark, *blocks: tuple[list[str], tuple[str, ...]]) -> DataFrame:
+    """Lines that stand in every document, as (key, lines); no Python is needed for them."""
+    rows = [
+        F.struct(F.array(*map(F.lit, key)).cast("array<string>").alias("key"), F.lit(rank).alias("rank"),
+                 F.lit(line).alias("line"))
+        for key, lines in blocks for rank, line in enumerate(lines)
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+
+
+def _named_nodes(entries: DataFrame) -> DataFrame:
+    """``path, parent, name, is_dir`` of all nodes, from names alone and written once."""
+    files = entries.select("path", "parent", F.col("filename").alias("name"), F.lit(False).alias("is_dir"))
+    dirs = directories(entries).select("path", "parent", "name", F.lit(True).alias("is_dir"))
+    return materialise(dirs.unionByName(files), "tree-nodes")
 
 
-def _separators(entries: DataFrame, style: LineStyle) -> DataFrame:
+def _separators(named: DataFrame, style: LineStyle) -> DataFrame:
     """A separator line before every child but the first of its directory.
 
     The first child is a minimum per directory (combined on the map side) and is then found by
     its full path, which is unique: no directory is gathered and no content is shuffled.
     """
-    named = nodes(entries).select("path", "parent", "name")
     first = named.groupBy("parent").agg(F.min("name").alias("name"))
     later = named.join(first, ["parent", "name"], "left_anti")
     return later.select(*_line(path_parts(F.col("path")), 0, F.lit(style.separator)))
@@ -135,21 +147,19 @@ def tree_lines(
     Keys: the components of a node; those plus LAST to close a directory; [LAST] for the end
     of the structure; ``summary_lines`` bring keys that start with [LAST, ...].
     """
-    spark = entries.sparkSession
-    dirs = directories(entries)
+    named = _named_nodes(entries)
     key = path_parts(F.col("path"))
+    depth = F.size(key)
+    ends = [F.struct(*_line(key, 1, style.open_dir(F.col("name"), depth)))]
+    if style.close_dir is not None:
+        ends.append(F.struct(*_line(F.array_append(key, F.lit(LAST)), 2, style.close_dir(depth))))
     parts = [
-        fixed_lines(spark, [], style.header),
-        fixed_lines(spark, [LAST], style.between),
-        fixed_lines(spark, [LAST, LAST], style.footer),
-        dirs.select(*_line(key, 1, style.open_dir(F.col("name"), F.col("depth")))),
-        entries.select(*_line(key, 1, style.leaf(F.col("filename"), F.size(key)))),
+        fixed_lines(entries.sparkSession, ([], style.header), ([LAST], style.between), ([LAST, LAST], style.footer)),
+        named.filter("is_dir").select(F.inline(F.array(*ends))),
+        entries.select(*_line(key, 1, style.leaf(F.col("filename"), depth))),
     ]
-    if style.close_dir is not None:
-        end = F.array_append(key, F.lit(LAST))
-        parts.append(dirs.select(*_line(end, 2, style.close_dir(F.col("depth")))))
     if style.separator is not None:
-        parts.append(_separators(entries, style))
+        parts.append(_separators(named, style))
     if summary_lines is not None:
         parts.append(summary_lines)
     result = parts[0]

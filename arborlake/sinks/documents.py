@@ -11,7 +11,7 @@ from arborlake.operators.tree import LineStyle
 from arborlake.schema import INFO_FIELDS
 from arborlake.sinks import summary_rows as sr
 
-# fixed values: default colours of the plain DOT export, preamble of the styled one
+# fixed values: default colours, preamble and summary block of the plain DOT export, preamble of the styled one
 DIR_COLOUR, FILE_COLOUR, SUMMARY_COLOUR = "#FFA500", "#90EE90", "#D3D3D3"
 DOT_CONTENT_CHARACTERS, DOT_DETAILED_CHARACTERS = 1024, 900_000
 DOT_DETAILS = (
@@ -19,6 +19,8 @@ DOT_DETAILS = (
     ("Permissions: ", "permissions", ""), ("Hash: ", "hash", ""),
 )
 NOT_AVAILABLE = "N/A"
+DOT_PREAMBLE = ("digraph RepositoryStructure {", '    node [shape=box, style=filled, color="#ADD8E6"];')
+DOT_CLUSTER = ("    subgraph cluster_summary {", '        label="Summary";', "        color=lightgrey;")
 DOT_STYLED_PREAMBLE = (
     "digraph Repository {",
     '  graph [rankdir="LR", splines="ortho", ranksep="1.5", nodesep="0.8", pad="0.5", '
@@ -96,9 +98,8 @@ def json_array(entries: DataFrame, summary: DataFrame | None = None,
     commas = entries.select("path").join(first, "path", "left_anti")
     spark = entries.sparkSession
     parts = [
-        tree.fixed_lines(spark, [], ('{"structure": [',)),
-        tree.fixed_lines(spark, [tree.LAST], ("]",)),
-        tree.fixed_lines(spark, [tree.LAST, tree.LAST], ("}",)),
+        tree.fixed_lines(spark, ([], ('{"structure": [',)), ([tree.LAST], ("]",)),
+                         ([tree.LAST, tree.LAST], ("}",))),
         entries.select(*sr.line(key, 1, F.to_json(F.struct(
             "parent", "filename", "path", _info_struct().alias("info"))))),
         commas.select(*sr.line(key, 0, F.lit(","))),
@@ -261,11 +262,10 @@ def dot_graph(entries: DataFrame, summary: DataFrame | None = None,
         F.col("dst").alias("sort"),
         F.concat(F.lit("    "), escape.dot_quoted(F.col("src")), F.lit(" -> "),
                  escape.dot_quoted(F.col("dst")), F.lit(";")).alias("line"))
-    lines = tree.fixed_lines(spark, ["1"], (
-        "digraph RepositoryStructure {",
-        '    node [shape=box, style=filled, color="#ADD8E6"];',
-        f"    rankdir={rankdir};",
-    ))
+    blocks = [(["1"], (*DOT_PREAMBLE, f"    rankdir={rankdir};")), (["7"], ("}",))]
+    if summary is not None:
+        blocks += [(["4"], DOT_CLUSTER), (["6"], ("    }",))]
+    lines = tree.fixed_lines(spark, *blocks)
     for block, part in (("2", dirs.unionByName(files)), ("3", edges)):
         lines = lines.unionByName(_numbered_block(part, block, F.col("sort")))
     if summary is not None:
@@ -275,11 +275,8 @@ def dot_graph(entries: DataFrame, summary: DataFrame | None = None,
             F.concat(F.lit('        "summary_'), escape.dot_id(F.col("name")), F.lit('" [label="'),
                      escape.dot_label(text),
                      F.lit(f'", shape=note, color="{summary_color}"];')).alias("line"))
-        lines = lines.unionByName(tree.fixed_lines(spark, ["4"], (
-            "    subgraph cluster_summary {", '        label="Summary";',
-            "        color=lightgrey;"))).unionByName(rows).unionByName(
-            tree.fixed_lines(spark, ["6"], ("    }",)))
-    return lines.unionByName(tree.fixed_lines(spark, ["7"], ("}",)))
+        lines = lines.unionByName(rows)
+    return lines
 
 
 def styled_dot(entries: DataFrame) -> DataFrame:
@@ -301,10 +298,9 @@ def styled_dot(entries: DataFrame) -> DataFrame:
         F.concat(F.lit("  "), escape.dot_quoted(F.col("src")), F.lit(" -> "),
                  escape.dot_quoted(F.col("dst")), F.lit(";")).alias("line"))
     return (
-        tree.fixed_lines(spark, ["1"], DOT_STYLED_PREAMBLE)
+        tree.fixed_lines(spark, (["1"], DOT_STYLED_PREAMBLE), (["3"], ("}",)))
         .unionByName(_numbered_block(nodes, "2", F.col("sort"), 0))
         .unionByName(_numbered_block(edges, "2", F.col("sort"), 1))
-        .unionByName(tree.fixed_lines(spark, ["3"], ("}",)))
     )
 
 

@@ -352,3 +352,47 @@ def test_fallback_encoding_stays_on_the_jvm(spark):
         assert rows == [(fallback, text), ("utf_8", "é"), ("ascii", "a"), (None, None)]
     with pytest.raises(ValueError):
         content.with_decoded(df, "raw", fallback="koi8")
+
+
+WIDE_TEXTS = ["plain text", "é ü ñ", "x", "two\nlines \U0001f600 end", "中文 with latin", "a" * 3000]
+
+
+def _decoded(spark, raws, cut):
+    df = spark.createDataFrame([(i, r, cut) for i, r in enumerate(raws)], "i INT, raw BINARY, cut BOOLEAN")
+    out = content.with_decoded(df, "raw", cut=F.col("cut"), fallback="utf-8")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    return [(r["_encoding"], r["_decoded"]) for r in out.orderBy("i").collect()]
+
+
+def test_wide_encodings_are_found_on_the_jvm(spark):
+    raws, want = [], []
+    for order, mark in (("utf_16_le", b"\xff\xfe"), ("utf_16_be", b"\xfe\xff"), ("utf_32_le", b"\xff\xfe\0\0"),
+                        ("utf_32_be", b"\0\0\xfe\xff")):
+        for text in WIDE_TEXTS:
+            raws.append(mark + text.encode(order))
+            want.append((order[:6], text))
+            if text[0] not in "中":
+                raws.append(text.encode(order))
+                want.append((order, text))
+    assert _decoded(spark, raws, False) == want
+
+
+def test_cut_wide_texts(spark):
+    """A preview may end inside a unit or a pair; the rest is one replacement character."""
+    text = "ab \U0001f600"
+    for order, mark in (("utf_16_le", b"\xff\xfe"), ("utf_16_be", b"\xfe\xff"), ("utf_32_le", b"\xff\xfe\0\0")):
+        raw = mark + text.encode(order)
+        for lost in (1, 2, 3):
+            (name, found), = _decoded(spark, [raw[:-lost]], True)
+            assert (name, found) == (order[:6], "ab \ufffd")
+            (name, found), = _decoded(spark, [raw[:-lost]], False)
+            assert name == "utf-8"
+
+
+def test_other_bytes_are_no_wide_texts(spark):
+    raws = [b"", b"\0", b"a\0", b"plain", "é".encode(), b"\xff\xfea\0\x00\xd8b\0", b"\xff\xfe\0\xdc",
+            b"\0\0\xfe\xff\0\x11\0\0", b"\xff\xfe\0\0\0\xd8\0\0", b"a\0\0\0b", b"bin\0\x01\x02ary\0 data", b"\xff\xfea"]
+    names = [n for n, _ in _decoded(spark, raws, False)]
+    assert names == ["ascii", "ascii", "utf_16_le", "ascii", "utf_8", "utf-8", "utf-8", "utf-8", "utf-8", "ascii",
+                     "ascii", "utf-8"]
