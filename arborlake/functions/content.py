@@ -206,41 +206,50 @@ def _judged(kind: Column, data: Column, cut: Column) -> Column:
 
 def with_decoded(
     df: DataFrame, raw: str, *, hint: str | None = None, cut: Column | None = None,
-    fallback: str | None = None,
+    fallback: str | None = None, wide: bool = False,
 ) -> DataFrame:
     """Add ``_encoding`` and ``_decoded`` (U+FFFD for what cannot be decoded).
 
-    UTF-8, ASCII, UTF-16 and UTF-32 stay on the JVM. Only other bytes go to Python, in one Arrow pass that both
+    UTF-8 and ASCII stay on the JVM, and with ``wide``, which needs a ``fallback``, UTF-16 and UTF-32
+    are found and decoded there too. Only other bytes go to Python, in one Arrow pass that both
     guesses and decodes. There is no such pass in the plan with a UTF-8 hint, or with a
     ``fallback`` (``"utf-8"`` or ``"latin_1"``) that other bytes are read as instead of guessing.
     """
     if fallback is not None and fallback not in _FALLBACKS:
         raise ValueError(f"fallback must be one of {sorted(_FALLBACKS)}, not {fallback!r}")
+    if wide and (fallback is None or hint is not None):
+        raise ValueError("wide encodings are found together with a fallback and without a hint")
     source = F.col(raw)
+    if wide:
+        cut = F.lit(False) if cut is None else cut
+        # a frame of its own, so that the long expression is not copied into others
+        found = df.withColumn("_wide", wide_encoding(source, cut))
+        rest = F.when(F.col("_wide").isNull(), source)
+        plain = with_decoded(found.withColumn("_rest", rest), "_rest", cut=cut, fallback=fallback)
+        return plain.withColumns({
+            "_encoding": F.coalesce("_wide.name", "_encoding"),
+            "_decoded": F.coalesce("_wide.text", "_decoded")}).drop("_wide", "_rest")
     if hint in _UTF8_NAMES:
         return df.withColumns({
             "_encoding": F.when(source.isNotNull(), F.lit(hint)), "_decoded": decode_utf8(source)})
     if hint is None:
         cut = F.lit(False) if cut is None else cut
-        df = df.withColumn("_wide", wide_encoding(source, cut))
-        df = df.withColumn("_easy", F.when(F.col("_wide").isNull(), encoding_on_jvm(source, cut)))
+        df = df.withColumn("_easy", encoding_on_jvm(source, cut))
         if fallback is not None:
             other = decode_utf8(source) if fallback == "utf-8" else F.decode(source, _FALLBACKS[fallback])
             return df.withColumns({
-                "_encoding": F.when(source.isNotNull(), F.coalesce("_wide.name", "_easy", F.lit(fallback))),
-                "_decoded": F.when(F.col("_wide").isNotNull(), F.col("_wide.text"))
-                .when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(other),
-            }).drop("_easy", "_wide")
+                "_encoding": F.when(source.isNotNull(), F.coalesce("_easy", F.lit(fallback))),
+                "_decoded": F.when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(other),
+            }).drop("_easy")
     else:
-        df = df.withColumn("_easy", F.lit(None).cast("string")).withColumn(
-            "_wide", F.lit(None).cast("struct<name:string,encoding:string,text:string>"))
-    other = F.when(F.col("_easy").isNull() & F.col("_wide").isNull(), source)
+        df = df.withColumn("_easy", F.lit(None).cast("string"))
+    other = F.when(F.col("_easy").isNull(), source)
     df = df.withColumn("_guess", _guess_and_decode(other, F.lit(hint).cast("string")))
     return df.withColumns({
-        "_encoding": F.coalesce("_wide.name", "_easy", "_guess.encoding"),
-        "_decoded": F.when(F.col("_wide").isNotNull(), F.col("_wide.text"))
-        .when(F.col("_easy").isNotNull(), decode_utf8(source)).otherwise(F.col("_guess.text")),
-    }).drop("_easy", "_guess", "_wide")
+        "_encoding": F.coalesce("_easy", "_guess.encoding"),
+        "_decoded": F.when(F.col("_easy").isNotNull(), decode_utf8(source))
+        .otherwise(F.col("_guess.text")),
+    }).drop("_easy", "_guess")
 
 
 def decode_utf8(raw: Column) -> Column:

@@ -438,7 +438,7 @@ def detect_wide_encodings(spark, sf_dir):
         body = swapped(body) if name == "LE" else body
         raw = F.when(kind == number, F.concat(F.lit(bytes.fromhex(marks.get(number, ""))), body)).otherwise(raw)
     files = views.files(spark, sf_dir).select("path", raw.alias("raw"))
-    return content.with_decoded(files, "raw", fallback="utf-8").select(
+    return content.with_decoded(files, "raw", fallback="utf-8", wide=True).select(
         "path", F.col("_encoding").alias("encoding"), F.md5(F.encode("_decoded", "UTF-8")).alias("digest"))
 
 

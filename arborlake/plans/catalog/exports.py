@@ -347,3 +347,56 @@ def export_faults(spark, sf_dir):
         "xml": lambda line: F.regexp_replace(line, "</file>$", "</fil>"),
         "yaml": lambda line: F.replace(line, F.lit('":\n'), F.lit(":\n")),
     })
+
+
+_SUMMED = "(SELECT count(*) AS n, count(*) FILTER (failed) AS failed FROM faulty_v)"
+_FAILED = "(SELECT path, row_number() OVER (ORDER BY path) AS i FROM faulty_v WHERE failed)"
+_ERROR = "Failed to get file stats: not allowed"
+
+
+def _summary_sql(fmt: str, fixed: list[tuple[str, int, str]], fields: str, failed: str) -> str:
+    """SQL for the lines behind the structure; ``fields`` holds {n} for a name and {v} for a value."""
+    names = ("total_files", "excluded_files", "included_files", "excluded_percentage", "stopped_early",
+             "processed_files", "hash_algorithm")
+    values = {"json_array": ("0.0", "false", '"md5"'), "yaml": ("0.0", "false", '"md5"'),
+              "xml": ("0.0", "false", "md5"), "sexp": ("0", "nil", "md5")}[fmt]
+    shown = ("n", "'0'", "n", f"'{values[0]}'", f"'{values[1]}'", "n", f"'{values[2]}'")
+    own = [n.replace("_", "-") if fmt == "sexp" else n for n in names]
+    lines = ", ".join("concat(" + ", ".join(
+        v if part == "{v}" else f"'{part.replace('{n}', n)}'"
+        for part in fields.split("|")) + ")" for n, v in zip(own, shown))
+    blocks = "".join(f" UNION ALL SELECT '{fmt}', '{k}', {r}, '{line}'" for k, r, line in fixed)
+    return (f"SELECT '{fmt}' AS format, '~/2' AS sort_key, unnest([0, 1, 2, 3, 4, 5, 6])::BIGINT AS rank,"
+            f" unnest([{lines}]) AS line FROM {_SUMMED}{blocks} UNION ALL {failed}")
+
+
+_SUMMARY_LINES = " UNION ALL ".join((
+    _summary_sql("json_array", [("~", 0, "]"), ("~/~", 0, "}"), ("~/1", 0, ',"summary": {'),
+                                ("~/3", 0, '"failed_files": ['), ("~/5", 0, "]}")], '"{n}": |{v}|,', f"""
+      SELECT 'json_array', concat('~/4/', path), 1, concat('{{"file":', to_json(path), ',"error":"{_ERROR}"}}')
+      FROM {_FAILED} UNION ALL SELECT 'json_array', concat('~/4/', path), 0, ',' FROM {_FAILED} WHERE i > 1"""),
+    _summary_sql("yaml", [("~/1", 0, "summary:"), ("~/3", 0, "  failed_files:")], "  {n}: |{v}", f"""
+      SELECT 'yaml', concat('~/4/', path), 0, concat('  - file: ', to_json(path), chr(10), '    error: "{_ERROR}"')
+      FROM {_FAILED}"""),
+    _summary_sql("xml", [("~/1", 0, "<summary>"), ("~/5", 0, "</summary>"), ("~/~", 0, "</repository>")],
+                 "<{n}>|{v}|</{n}>", f"""
+      SELECT 'xml', concat('~/4/', path), 0, concat('<failed_file name="', path, '">{_ERROR}</failed_file>')
+      FROM {_FAILED}"""),
+    _summary_sql("sexp", [("~/1", 0, "  (summary"), ("~/3", 0, "    (failed-files"), ("~/4/~", 0, "    )"),
+                          ("~/5", 0, "  )"), ("~/~", 0, ")")], "    :{n} |{v}", f"""
+      SELECT 'sexp', concat('~/4/', path), 0, concat('      (failure', chr(10), '        :error "{_ERROR}"', chr(10),
+        '        :path ', path, chr(10), '      )') FROM {_FAILED}""")))
+
+
+@query("export_summary_lines", _SUMMARY_LINES)
+def export_summary_lines(spark, sf_dir):
+    """What stands behind the structure in the line formats: summary and failed files."""
+    run = analyse(views.faulty_files(spark, sf_dir), SMALL)
+    entries, totals, failed = (materialise(df, "faulty") for df in (run.entries, run.summary(), run.failures()))
+    found = None
+    for fmt, build in (("json_array", documents.json_array), ("yaml", documents.yaml_tree),
+                       ("xml", documents.xml_tree), ("sexp", documents.sexp_tree)):
+        lines = build(entries, totals, failed).filter(F.try_element_at("key", F.lit(1)) == LAST)
+        one = _keyed(lines).withColumn("format", F.lit(fmt))
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -359,7 +359,7 @@ WIDE_TEXTS = ["plain text", "é ü ñ", "x", "two\nlines \U0001f600 end", "中
 
 def _decoded(spark, raws, cut):
     df = spark.createDataFrame([(i, r, cut) for i, r in enumerate(raws)], "i INT, raw BINARY, cut BOOLEAN")
-    out = content.with_decoded(df, "raw", cut=F.col("cut"), fallback="utf-8")
+    out = content.with_decoded(df, "raw", cut=F.col("cut"), fallback="utf-8", wide=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     return [(r["_encoding"], r["_decoded"]) for r in out.orderBy("i").collect()]
