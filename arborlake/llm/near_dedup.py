@@ -1,15 +1,17 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Each text becomes the set of its distinct five-word shingles, reduced to a digest of the whole
-   set, ``BANDS`` band keys and a signature of ``CHECKS`` independent one-byte minima.
-2. Texts of equal sets form one class, so thousands of copies are one node from here on.
+1. Each text becomes the set of its distinct five-word shingles, reduced to ``BANDS`` band keys and a
+   signature of ``CHECKS`` independent one-byte minima. Shingles are counted as words; hashes of words
+   only choose minima.
+2. Texts of equal word sequences, by a digest of the sequence, form one class, so thousands of copies
+   are one node from here on.
 3. Classes that share a band key are candidates. A bucket is not expanded into all its pairs: its
    members are compared with the one that meets most others, verified links are contracted to components,
    and members of buckets that still span several components are compared across components, in
    blocks, under longer signatures and the bound on sizes; only likely pairs leave such a task.
 4. Signatures are compared in batches. After each batch the posterior of the similarity, from a
    uniform prior, bounds the chance that the pair is a link; below ``MISS`` it is pruned.
-5. Survivors are verified on their full shingle sets.
+5. Survivors are verified on their full sets of shingles, compared as words.
 
 With four rows a band, a pair of similarity 0.75 shares none of the bands with chance
 (1 - 0.75**4) ** 36, about 1e-6.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arborlake.llm.components import components
 from arborlake.llm.tables import arrow_map
-from arborlake.llm.text import Texts, parts, windows
+from arborlake.llm.text import Texts, Words, paired, parts, windows
 from arborlake.session import materialise
 
 WIDTH = 5
@@ -50,20 +52,46 @@ _SPIN = _random.integers(0, 2**31, BANDS * ROWS + CHECKS + WIDER, dtype=np.uint3
 _FOLD = _random.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: Texts) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def _numbers(words: Words) -> dict[int, np.ndarray]:
+    """By width, a number for each run of so many words; equal for equal runs of words only."""
+    one = words.numbers()
+    two = paired(one[:-1], one[1:])
+    four = paired(two[:-2], two[2:])
+    return {1: one, 2: two, 3: paired(two[:-1], one[2:]) if (words.counts() == 3).any() else two[:0],
+            4: four, 5: paired(four[:-1], one[4:])}
+
+
+def shingle_sets(texts: Texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text: numbers of its distinct shingles, sorted, and a hash of each.
+
+    Numbers stand for words and are compared within one call only; the whole sequence of a text of
+    fewer than ``WIDTH`` words is negative, so that it differs from all shingles. Hashes may collide.
+    """
     words = texts.words()
-    h, first, counts = words.hashes(), words.first, words.counts()
-    by_width = {w: windows(h, w) for w in range(1, WIDTH + 1)}
-    out = []
-    for at, n in zip(first.tolist(), counts.tolist()):
+    exact, h = _numbers(words), words.hashes()
+    hashed = {w: windows(h, w) for w in range(1, WIDTH + 1)}
+    sets, hashes = [], []
+    for at, n in zip(words.first.tolist(), words.counts().tolist()):
         if n == 0:
-            out.append(h[:0])
+            sets.append(exact[1][:0])
+            hashes.append(h[:0])
         elif n < WIDTH:
-            out.append(by_width[n][at:at + 1])
+            sets.append(-1 - (exact[n][at:at + 1] * WIDTH + n))
+            hashes.append(hashed[n][at:at + 1])
         else:
-            out.append(np.unique(by_width[WIDTH][at:at + n - WIDTH + 1]))
-    return out
+            own, places = np.unique(exact[WIDTH][at:at + n - WIDTH + 1], return_index=True)
+            sets.append(own)
+            hashes.append(hashed[WIDTH][at + places])
+    return sets, hashes
+
+
+def sequence_digests(texts: Texts) -> list[bytes]:
+    """A digest of the word sequence of each text: equal for texts that differ in blanks only."""
+    words = texts.words()
+    found = words.strings().to_pylist()
+    first = words.first.tolist()
+    return [hashlib.blake2b(" ".join(found[a:b]).encode(), digest_size=24).digest()
+            for a, b in zip(first, first[1:])]
 
 
 def minima(shingles: np.ndarray, begin: int, end: int) -> np.ndarray:
@@ -80,20 +108,17 @@ def one_byte(low: np.ndarray) -> bytes:
     return (low >> np.uint32(8)).astype(np.uint8).tobytes()
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-
-
 def _sketch(batches):
     for batch in batches:
         for part in parts(batch, size=1 << 22):
             found: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "signature")}
-            for s in shingle_sets(Texts(part.column("text"), lower=True)):
+            texts = Texts(part.column("text"), lower=True)
+            found["digest"] = sequence_digests(texts)
+            for s in shingle_sets(texts)[1]:
                 m = minima(s, 0, BANDS * ROWS + CHECKS)
                 rows = m[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 keys = (rows * _FOLD).sum(axis=1) ^ (rows[:, 0] << np.uint64(32))
                 found["n"].append(len(s))
-                found["digest"].append(_digest(s))
                 found["bands"].append(keys.view(np.int64).tolist())
                 found["signature"].append(one_byte(m[BANDS * ROWS:]))
             yield pa.record_batch({
@@ -138,10 +163,11 @@ def _widen(batches):
     begin = BANDS * ROWS + CHECKS
     for batch in batches:
         for part in parts(batch, size=1 << 22):
-            sets = shingle_sets(Texts(part.column("text"), lower=True))
+            texts = Texts(part.column("text"), lower=True)
             yield pa.record_batch({
-                "digest": pa.array([_digest(s) for s in sets], pa.binary()),
-                "wider": pa.array([one_byte(minima(s, begin, begin + WIDER)) for s in sets], pa.binary())})
+                "digest": pa.array(sequence_digests(texts), pa.binary()),
+                "wider": pa.array([one_byte(minima(s, begin, begin + WIDER)) for s in shingle_sets(texts)[1]],
+                                  pa.binary())})
 
 
 def _across(share: float):
@@ -201,9 +227,10 @@ def _verify(percent: int):
     def run(batches):
         for batch in batches:
             for part in parts(batch, "text_a", 1 << 22):
-                keep = []
-                for x, y in zip(shingle_sets(Texts(part.column("text_a"), lower=True)),
-                                shingle_sets(Texts(part.column("text_b"), lower=True))):
+                keep, n = [], len(part)
+                both = pa.concat_arrays([part.column(c).cast(pa.large_string()) for c in ("text_a", "text_b")])
+                sets = shingle_sets(Texts(both, lower=True))[0]
+                for x, y in zip(sets[:n], sets[n:]):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -262,7 +289,7 @@ def near_dedup(docs: DataFrame, share: float = SHARE) -> DataFrame:
     sketched = materialise(arrow_map(
         rows, _sketch, "doc_id LONG, n LONG, digest BINARY, bands ARRAY<LONG>, signature BINARY"),
         "sketches")
-    # one node for each set: rows of a set that everybody shares are combined before the shuffle
+    # one node for each sequence of words: rows of one that everybody shares are combined before the shuffle
     nodes = materialise(
         sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("node"),

@@ -113,6 +113,18 @@ class Words:
         return slices(self.texts.data, self.starts, self.ends)
 
 
+    def numbers(self) -> np.ndarray:
+        """A number for each word, equal for equal words only (within this object)."""
+        return self.strings().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each pair ``left[i], right[i]``, equal for equal pairs only."""
+    if not len(left):
+        return left
+    return np.unique(left * (int(right.max()) + 1) + right, return_inverse=True)[1]
+
+
 def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """``data[starts[j]:ends[j]]`` as a large_string array; spans are ordered and disjoint."""
     bounds = np.empty(2 * len(starts) + 1, np.int64)
