@@ -1,10 +1,12 @@
 """Exact dedup: owners of equal texts, found in Patricia tries.
 
-Each map task inserts its texts into compressed radix tries, one per (length, first hash digits),
-so copies inside a task leave it as one row. The distinct texts are shuffled by length and
-content hash, sorted, and inserted again; a terminal node holds count, smallest and largest
-identifier of its text. Tries are spilled whole (map side, largest first) or as soon as the sort
-order says they are complete (reduce side), so memory stays bounded.
+Each map task inserts its texts into compressed radix tries, one per first hash digit, so copies
+inside a task leave it as one row. The distinct texts are shuffled by length and content hash, sorted,
+and inserted again; a terminal node holds count, smallest and largest identifier of its text.
+
+Memory stays bounded. A map task over its bound spills subtrees, the largest first, until half of the
+bound is free: each spill is paid for by as many bytes inserted, whatever the number of subtrees. On the
+reduce side the sort order says when everything in a trie is complete, and it is spilled then.
 
 Defined results: a null text counts as empty; null identifiers are ignored for owners (a group of
 null identifiers has a null owner, and its rows are kept); rows that repeat an identifier are the
@@ -56,7 +58,17 @@ class Trie:
 
     def items(self):
         """``(text, terminal)`` of all terminals, subtree by subtree."""
-        stack = [(self.root, b"")]
+        return self._below([(self.root, b"")])
+
+    def detach(self, first: int | None):
+        """Take the texts that start with the byte ``first`` (None: the empty text) out of the trie."""
+        if first is None:
+            terminal, self.root[2] = self.root[2], None
+            return iter([(b"", terminal)])
+        return self._below([(self.root[1].pop(first), b"")])
+
+    @staticmethod
+    def _below(stack: list):
         while stack:
             node, above = stack.pop()
             text = above + node[0]
@@ -89,10 +101,10 @@ def _add(terminal: list, smallest, largest, n: int, sha: str) -> bool:
     return False
 
 
-def _rows(trie: Trie):
+def _rows(items):
     columns: list[list] = [[], [], [], [], [], []]
     held, seen = 0, {}
-    for text, (smallest, largest, n, sha) in trie.items():
+    for text, (smallest, largest, n, sha) in items:
         if seen.setdefault((sha, len(text)), text) != text:
             raise ValueError(f"two different texts share the SHA-256 {sha}")
         for column, value in zip(columns, (sha, len(text), text, smallest, largest, n)):
@@ -107,21 +119,24 @@ def _rows(trie: Trie):
 
 def _combine(held_bytes: int):
     def run(batches):
-        tries: dict[tuple, list] = {}  # (length, hash digits) -> [trie, bytes]
+        tries: dict[str, Trie] = {}  # by the first hash digit
+        sizes: dict[tuple, int] = {}  # bytes of the subtree of each trie and first byte
         held = 0
         for batch in batches:
             for sha, text, doc in zip(*(batch.column(k).to_pylist() for k in ("sha", "text", "doc"))):
-                place = tries.setdefault((len(text), sha[:2]), [Trie(), 0])
-                if _add(place[0].find(text), doc, doc, 1, sha):
-                    place[1] += len(text) + 200
+                trie = tries.setdefault(sha[:1], Trie())
+                if _add(trie.find(text), doc, doc, 1, sha):
+                    place = (sha[:1], text[0] if text else None)
+                    sizes[place] = sizes.get(place, 0) + len(text) + 200
                     held += len(text) + 200
-                while held > held_bytes:
-                    largest = max(tries, key=lambda k: tries[k][1])
-                    trie, size = tries.pop(largest)
-                    held -= size
-                    yield from _rows(trie)
-        for trie, _ in tries.values():
-            yield from _rows(trie)
+                if held > held_bytes:
+                    for digit, first in sorted(sizes, key=sizes.get, reverse=True):
+                        held -= sizes.pop((digit, first))
+                        yield from _rows(tries[digit].detach(first))
+                        if held <= held_bytes // 2:
+                            break
+        for trie in tries.values():
+            yield from _rows(trie.items())
     return run
 
 
@@ -134,12 +149,12 @@ def _merge(held_bytes: int):
                 sha, n_bytes, text, smallest, largest, n = row
                 if current != (n_bytes, sha) and (current is None or current[0] != n_bytes
                                                   or held > held_bytes):
-                    yield from _rows(trie)
+                    yield from _rows(trie.items())
                     trie, held = Trie(), 0
                 current = (n_bytes, sha)
                 if _add(trie.find(text), smallest, largest, n, sha):
                     held += len(text) + 200
-        yield from _rows(trie)
+        yield from _rows(trie.items())
 
     def slim(batches):
         for batch in run(batches):
