@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from arborlake.operators.ordering import numbered
+from arborlake.session import materialise
 
 #: rows of an Arrow batch: texts are long, so few of them
 ROWS = 1000
@@ -17,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def clean(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra ones cannot clash with an operator's own."""
-    return df.select(*columns)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z only; ``lower`` does the same, faster, where all characters are ASCII."""
     text = F.coalesce(text, F.lit(""))
@@ -38,7 +35,28 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray))
-         else columns[f.name].cast(f.type) for f in schema], schema=schema)
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """Add a number of each row: its ``doc_id`` where that is unique, else a number no ``doc_id`` has.
+
+    Rows that repeat identifier and text count as one row, and one of them stays; a null text is an
+    empty one. Only rows whose identifier is null or repeated are numbered, in the order of
+    identifier and text hash.
+    """
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    repeated = materialise(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(
+        "n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "repeated-ids")
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    keys = docs.select("doc_id", sha.alias("_sha")).join(repeated, same, "left_semi").distinct()
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    up = high is None or high < 1 << 62  # beyond all identifiers, on the side that has room
+    number = F.col("_number") + (high or 0) if up else F.lit(low) - F.col("_number")
+    numbers = numbered(keys, ["doc_id", "_sha"], name="_number").select(
+        F.col("doc_id").alias("_id"), F.col("_sha").alias("_text"), number.cast("long").alias(name))
+    many = docs.withColumn("_sha", sha).join(
+        numbers, same & (F.col("_sha") == F.col("_text"))).drop("_id", "_sha", "_text")
+    one = Window.partitionBy(name).orderBy(F.lit(1))
+    many = many.withColumn("_copy", F.row_number().over(one)).filter("_copy = 1").drop("_copy")
+    plain = docs.join(repeated, same, "left_anti").withColumn(name, F.col("doc_id").cast("long"))
+    return materialise(plain.unionByName(many), "numbered-rows")

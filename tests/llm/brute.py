@@ -159,3 +159,19 @@ class Ppm:
 
         s = [255] * self.order + list(lowered(text)) + [254]
         return sum(math.log10(self.probability(s[i - self.order:i], s[i])) for i in range(self.order, len(s)))
+
+
+def margin(model, bias, text, n_chars):
+    """Score of a factorisation machine before the logistic, pair by pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    from arborlake.llm import quality
+    from arborlake.llm.text import Texts
+    table = np.frombuffer(model, np.float32).reshape(-1, 1 + quality.FACTORS).astype(float)
+    _, place, value = quality.features(Texts(pa.array([text or ""])), np.array([n_chars or 0]))
+    terms = table[place] * value.astype(float)[:, None]
+    total = bias + terms[:, 0].sum()
+    for i in range(len(place)):
+        total += (terms[i, 1:] * terms[i + 1:, 1:]).sum()  # with each later feature
+    return total
