@@ -1,32 +1,72 @@
 """Token counts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with offsets. Neighbouring chunks are spliced at a
-boundary that both encodings have and that is proven stable: a token start behind white space,
-which the tokenizer's pattern never crosses. Where an overlap holds no such place, it is widened,
-at worst to the rest of the text. A text up to ``chunk`` bytes is one chunk; it is encoded piece
-by piece between the same stable boundaries, each distinct piece of a batch once.
-
-Defined results: a null text counts as empty, with no tokens; extra columns are ignored.
+Every text is encoded in overlapping chunks with offsets; a short one is a single chunk. Neighbouring
+chunks are spliced at a boundary that both encodings have and that is proven stable: a token start
+behind white space. ``check_stable`` reads from the tokenizer's file that nothing on one side of white
+space can change tokens on the other, and refuses the file otherwise. Where an overlap holds no such
+place, it is widened, at worst to the rest of the text.
+
+Defined results: a null text counts as empty, with no tokens; a null identifier stays null, and rows
+that repeat an identifier or a whole row are counted each; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arborlake.llm.bpe import _definition, _tokenizer
+from arborlake.llm.bpe import _definition, _tokenizer, byte_letters
 from arborlake.llm.tables import arrow_map
 from arborlake.llm.text import Texts, parts
 
-CHUNK = 1 << 16
-OVERLAP = 512
-MEMO = 500_000  # distinct pieces that a task remembers
+CHUNK = 1 << 12  # characters
+OVERLAP = 256
 _BLANK = " \t\n\r\v\f"
 
 
+def check_stable(definition: dict) -> None:
+    """Raise where the tokenizer's file does not show that white space keeps its sides apart.
+
+    No token may hold white space beside anything else, so that no merge goes across it; normalisers
+    and patterns must not look across it either; added tokens must not hold or swallow it.
+    """
+    def fail(what: str):
+        raise ValueError(f"chunks cannot be spliced behind white space: {what}")
+
+    def steps(part: dict | None, of: str):
+        if part is not None:
+            yield from [s for p in part[of] for s in steps(p, of)] if part["type"] == "Sequence" else [part]
+
+    for step in steps(definition.get("normalizer"), "normalizers"):
+        blanks_to_one = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        if step["type"] not in ("NFC", "NFD", "Lowercase") and not blanks_to_one:
+            fail(f"normaliser {step['type']}")
+    for step in steps(definition.get("pre_tokenizer"), "pretokenizers"):
+        if step["type"] == "Split":
+            pattern = step["pattern"].get("Regex", "(?")
+            if "(?" in pattern.replace("(?:", "") or r"\b" in pattern or "^" in pattern.replace("[^", ""):
+                fail(f"pattern {pattern}")
+        elif step["type"] != "ByteLevel" or step.get("add_prefix_space") or step.get("use_regex", True):
+            fail(f"pre-tokeniser {step['type']}")
+    model = definition["model"]
+    if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout"):
+        fail(f"model {model['type']}")
+    blanks = {letter for letter, byte in byte_letters().items() if chr(byte) in _BLANK}
+    suffix = model.get("end_of_word_suffix") or ""
+    for token in model["vocab"]:
+        own = token.removesuffix(suffix)
+        if len(own) > 1 and blanks & set(own):
+            fail(f"token {token!r}")
+    for token in definition["added_tokens"]:
+        if set(token["content"]) & set(_BLANK) or token["lstrip"] or token["rstrip"] or token["single_word"]:
+            fail(f"added token {token['content']!r}")
+
+
 def starts_of(tokenizer, text: str, at: int, to: int) -> list[int]:
     """Offsets in ``text`` at which the tokens of ``text[at:to]`` start."""
     found = tokenizer.encode(text[at:to], add_special_tokens=False).offsets
@@ -72,28 +112,10 @@ def _counter(shared, chunk: int, overlap: int):
 
     def run(batches):
         tokenizer = _tokenizer(shared.value)
-        memo: dict[str, int] = {}
         for batch in batches:
             for part in parts(batch, "text", 1 << 22):
-                texts = Texts(part.column("text"))
-                words = texts.words()
-                size = np.diff(texts.offsets)
-                coded = words.strings().dictionary_encode()
-                order = coded.indices.to_numpy(zero_copy_only=False)
-                short = (size <= chunk)[words.owner()]
-                wanted = np.zeros(len(coded.dictionary), bool)
-                wanted[order[short]] = True
-                distinct = coded.dictionary.to_pylist()
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = [w for w, is_wanted in zip(distinct, wanted.tolist()) if is_wanted and w not in memo]
-                for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    memo[w] = len(e)
-                each = np.array([memo.get(w, 0) for w in distinct], np.int64)
-                sums = np.concatenate([[0], np.cumsum(each[order])])
-                counts = sums[words.first[1:]] - sums[words.first[:-1]]
-                for i in np.flatnonzero(size > chunk):
-                    counts[i] = count_huge(tokenizer, part.column("text")[int(i)].as_py(), chunk, overlap)
+                size = np.diff(Texts(part.column("text")).offsets)
+                counts = [count_huge(tokenizer, text or "", chunk, overlap) for text in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()),
                                        pa.array(counts, pa.int64())], schema=schema)
     return run
@@ -103,6 +125,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
                  overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = arrow_map(rows, _counter(_definition(docs.sparkSession, path), chunk, overlap),
+    shared = _definition(docs.sparkSession, path)
+    check_stable(json.loads(shared.value))
+    counted = arrow_map(rows, _counter(shared, chunk, overlap),
                         "doc_id LONG, n_bytes LONG, n_tokens LONG")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
