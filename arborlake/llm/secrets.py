@@ -32,6 +32,7 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = ("assign", "access", "hex", "random")
 BINS = 200  # of -ln(p), tenths
+_BLOCK = 256  # matches whose places are summed in one fold
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -42,7 +43,8 @@ _ALPHABETS = {
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches as ``array<struct<start, end, value>>`` in code points; ``value`` is the group.
 
-    The gaps between matches give their places.
+    The gaps between matches give their places. They are summed in blocks of ``_BLOCK`` matches and
+    then over the blocks: a fold copies its array at each match, so it must not hold all of them.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -50,8 +52,7 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
         values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"),
                             values.alias("value"))
-        state = F.struct(F.lit(0).alias("at"), F.array().cast(
-            "array<struct<start:int,end:int,value:string>>").alias("spans"))
+        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
         def step(s: Column, row: Column) -> Column:
             start = s["at"] + F.char_length(row["gap"])
@@ -60,8 +61,21 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
                 end.alias("at"), F.array_append(s["spans"], F.struct(
                     start.alias("start"), end.alias("end"), row["value"].alias("value"))).alias("spans")))
 
-        return F.when(F.size(hits) == 0, state["spans"]).otherwise(
-            F.aggregate(rows, state, step, lambda s: s["spans"]))
+        def in_blocks(rows: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int"))
+            return F.transform(numbers, lambda i: F.aggregate(
+                F.slice(rows, i * _BLOCK + 1, F.lit(_BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+        def joined(blocks: Column) -> Column:
+            before = F.aggregate(
+                blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before")),
+                lambda s, b: F.struct((s["at"] + b["at"]).alias("at"),
+                                      F.array_append(s["before"], s["at"]).alias("before")), lambda s: s["before"])
+            return F.flatten(F.zip_with(blocks, before, lambda block, at: F.transform(
+                block["spans"], lambda s: F.struct(
+                    (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))))
+
+        return F.when(F.size(hits) == 0, none).otherwise(let(rows, lambda r: let(in_blocks(r), joined)))
 
     return let(hits, placed)
 

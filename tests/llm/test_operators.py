@@ -13,10 +13,10 @@ pytest.importorskip("arborlake.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from arborlake.llm import bpe, substrings, token_counts  # noqa: E402
+from arborlake.llm import bpe, quality, substrings, token_counts  # noqa: E402
 from arborlake.llm.components import components  # noqa: E402
 from arborlake.llm.decontaminate import decontaminate  # noqa: E402
-from arborlake.llm.exact_dedup import Trie, exact_dedup  # noqa: E402
+from arborlake.llm.exact_dedup import Trie, _combine, exact_dedup  # noqa: E402
 from arborlake.llm.near_dedup import _further, _sketch, fewest_matches, near_dedup  # noqa: E402
 from arborlake.llm.tables import arrow_map  # noqa: E402
 from arborlake.llm.ppm import lm_scores  # noqa: E402
@@ -112,11 +112,53 @@ def test_trie_holds_prefixes_and_the_empty_text():
     assert {text: terminal for text, terminal in trie.items()} == {k: [k] for k in keys}
 
 
+def test_spilling_costs_no_more_than_inserting():
+    """A task far over its bound: subtrees leave it, every text comes out, copies mostly once."""
+    import time
+    rnd = random.Random(6)
+    texts = [rnd.randbytes(rnd.randint(50, 400)) for _ in range(100_000)]
+    texts += [texts[-1]] * 1000 + [b""] * 10
+    shas = [hashlib.sha256(t).hexdigest() for t in texts]
+    batches = [pa.record_batch({"sha": shas[i:i + 1000], "text": texts[i:i + 1000],
+                                "doc": list(range(i, min(i + 1000, len(texts))))})
+               for i in range(0, len(texts), 1000)]
+    start = time.perf_counter()
+    rows = [r for b in _combine(4 << 20)(batches) for r in zip(*(b.column(c).to_pylist() for c in ("text", "n")))]
+    assert time.perf_counter() - start < 10
+    assert sum(n for _, n in rows) == len(texts) and {t for t, _ in rows} == set(texts)
+    assert len(rows) <= len(set(texts)) + 3
+
+
+def test_trie_gives_up_subtrees():
+    trie = Trie()
+    for key in (b"", b"a", b"ab", b"abc", b"b", b"bcd"):
+        trie.find(key).append(key)
+    assert {t for t, _ in trie.detach(ord("a"))} == {b"a", b"ab", b"abc"}
+    assert list(trie.detach(None)) == [(b"", [b""])]
+    assert {t for t, _ in trie.items()} == {b"b", b"bcd"}
+    assert trie.find(b"ab") == []
+
+
 def test_near_dedup(docs, rows):
     got = _sorted(near_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept"))
     assert got == brute.near(rows)
 
 
+def _thue_morse(letters, n=1024):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_share_a_hash_are_not_linked(spark):
+    """Polynomial hashes modulo a power of two agree on these words, whatever their base."""
+    ab, ba = _thue_morse("ab"), _thue_morse("ba")
+    long = [" ".join(f"w{i}" if i % 9 else word for i in range(60)) for word in (ab, ba)]
+    rows = [(1, ab), (2, ba), (3, ab), (4, f"{ab} x"), (5, f"{ba} x"), (6, long[0]), (7, long[1]), (8, long[0]),
+            (9, f"{ab} {ba} {ab} {ba} {ab} {ba}")]
+    got = _sorted(near_dedup(_docs(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept"))
+    assert got == brute.near(rows)
+    assert [r[2] for r in got[:3]] == [1, 2, 1]
+
+
 def test_pruning_keeps_the_chosen_miss_probability():
     assert fewest_matches(32, 0.75, 1e-7) < fewest_matches(32, 0.75, 1e-2) <= 24
     assert fewest_matches(896, 0.75, 1e-7) > 0.66 * 896
@@ -183,6 +225,19 @@ def test_secret_scan(docs, rows):
     assert got == sorted((i, brute.base_secrets(t)[3]) for i, t in rows)
 
 
+def test_many_hits_in_one_text(spark):
+    """36,000 hits: places are right up to the end, and the scan is linear in them."""
+    import time
+    one = "token=abcdef12 \u00e9 " + "0123456789abcdef" * 2 + " AKIA" + "A1" * 9 + " "
+    for n in (1, 127, 128, 12_000):
+        docs = spark.createDataFrame([(1, "x " + one * n, None, None, None)], SCHEMA)
+        start = time.perf_counter()
+        got = secret_scan(docs).select(listed(F.filter("spans", lambda s: s["kind"] < 3)).alias("base")).first().base
+        assert time.perf_counter() - start < 40
+        assert hashlib.sha256(got.encode()).hexdigest() == brute.base_secrets("x " + one * n)[3]
+        assert got.count(",") == 3 * n - 1
+
+
 def test_secret_scan_leaves_rulers_alone(spark):
     texts = ["=" * 20, "a" + "=" * 19, "A" + "=" * 19, "Title\n" + "=" * 40 + "\nx", "-" * 20, "7" + "=" * 30,
              "ab" + "=" * 18, "key q7Rk2ZpX9vLm4TnB8sWd1YfC6hJg and " + "=" * 20]
@@ -230,7 +285,7 @@ def test_bpe_is_the_librarys(docs):
         assert row.decoded == (row.text or "") and row.node == "clash"
 
 
-@pytest.mark.parametrize("chunk, overlap", [(1 << 16, 512), (100, 8), (7, 3)])
+@pytest.mark.parametrize("chunk, overlap", [(1 << 14, 256), (100, 8), (7, 3)])
 def test_token_counts_are_the_librarys(chunk, overlap):
     shared = _Shared(tokenizer_path("word_bpe_49k.json"))
     texts = _fuzz()
@@ -241,6 +296,25 @@ def test_token_counts_are_the_librarys(chunk, overlap):
     assert got == [len(tokenizer.encode(t or "", add_special_tokens=False)) for t in texts]
 
 
+def test_files_that_look_across_blanks_are_refused():
+    import json
+    definition = json.loads(_Shared(tokenizer_path("word_bpe_49k.json")).value)
+    token_counts.check_stable(definition)
+    split, byte_level = definition["pre_tokenizer"]["pretokenizers"]
+    token = definition["added_tokens"][0]
+    for other in (
+        json.loads(_Shared(tokenizer_path("byte_bpe_50k.json")).value),
+        {**definition, "normalizer": {"type": "Strip"}},
+        {**definition, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {**split, "pattern": {"Regex": r"\w+(?=\s)"}}, byte_level]}},
+        {**definition, "model": {**definition["model"], "vocab": {**definition["model"]["vocab"], "aĠb": 9}}},
+        {**definition, "added_tokens": [{**token, "content": "a b"}]},
+        {**definition, "added_tokens": [{**token, "rstrip": True}]},
+    ):
+        with pytest.raises(ValueError):
+            token_counts.check_stable(other)
+
+
 def test_lm_scores(docs, rows):
     model = brute.Ppm([t for i, t in rows if not brute.held_out(i, 5)], 4)
     base = brute.base_scores(rows)
@@ -267,6 +341,15 @@ def test_quality_learns_and_holds_out(spark):
     assert all(r.predicted == int(r.doc_id % 3 > 0) == int(r.score >= 0.5) for r in got)
 
 
+def test_margins_equal_a_double_loop(docs, labels, rows):
+    model, bias = quality.train(docs.drop("n_chars"), labels)
+    short = {i: t for i, t in rows if len(t or "") < 3000}
+    scores = {r.doc_id: r.score for r in quality_scores(docs.drop("n_chars"), labels).collect()}
+    for doc, text in short.items():
+        want = 1 / (1 + np.exp(-brute.margin(model, bias, text, len(text))))
+        assert scores[doc] == pytest.approx(want, abs=1e-5)
+
+
 def _operators(docs, labels, items):
     path = tokenizer_path("byte_bpe_50k.json")
     return [
