@@ -24,7 +24,7 @@ from arborlake.llm.bpe import _definition, _tokenizer, byte_letters
 from arborlake.llm.tables import arrow_map
 from arborlake.llm.text import Texts, parts
 
-CHUNK = 1 << 12  # characters
+CHUNK = 1 << 14  # characters
 OVERLAP = 256
 _BLANK = " \t\n\r\v\f"
 
@@ -84,7 +84,9 @@ def splice(text: str, left: list[int], right: list[int], low: int, high: int) ->
 
 def count_huge(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text of any length, encoded in chunks of about ``chunk`` characters."""
-    at, end = 0, min(len(text), chunk)
+    if len(text) <= chunk:  # one chunk has nothing to be spliced with, so its offsets are not asked for
+        return len(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
+    at, end = 0, chunk
     starts = starts_of(tokenizer, text, at, end)
     total, settled = 0, 0  # tokens before ``settled`` are counted
     while end < len(text):
