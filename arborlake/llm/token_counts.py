@@ -6,6 +6,9 @@ behind white space. ``check_stable`` reads from the tokenizer's file that nothin
 space can change tokens on the other, and refuses the file otherwise. Where an overlap holds no such
 place, it is widened, at worst to the rest of the text.
 
+What stands between white space is encoded once a task and kept, as texts repeat most of it; a chunk's
+encoding is put together from these stretches.
+
 Defined results: a null text counts as empty, with no tokens; a null identifier stays null, and rows
 that repeat an identifier or a whole row are counted each; extra columns are ignored; an empty table
 gives no rows.
@@ -14,7 +17,9 @@ gives no rows.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from arborlake.llm.text import Texts, parts
 CHUNK = 1 << 14  # characters
 OVERLAP = 256
 _BLANK = " \t\n\r\v\f"
+_STRETCH = re.compile(f"[^{_BLANK}]+")
+KEPT, LONGEST = 1 << 18, 64  # stretches of a generation that a task keeps, and characters of one that it keeps
 
 
 def check_stable(definition: dict) -> None:
@@ -67,10 +74,47 @@ def check_stable(definition: dict) -> None:
             fail(f"added token {token['content']!r}")
 
 
-def starts_of(tokenizer, text: str, at: int, to: int) -> list[int]:
+class Stretches(dict):
+    """Token starts of stretches without white space, by stretch.
+
+    Two generations are kept: a full one becomes the old one, from which what is met again comes back.
+    White space itself has to be without tokens, else ``starts`` and ``count`` take texts as they are.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.apart = not tokenizer.encode(_BLANK, add_special_tokens=False).ids
+        self.old: dict[str, bytes] = {}
+        self.shapes: dict[bytes, bytes] = {}  # few: one object for each series of starts
+
+    def __missing__(self, stretch: str) -> Sequence[int]:
+        found = self.old.get(stretch)
+        if found is None:
+            starts = [a for a, _ in self.tokenizer.encode(stretch, add_special_tokens=False).offsets]
+            if len(stretch) > LONGEST:
+                return starts
+            found = bytes(starts)
+        if len(self) >= KEPT:
+            self.old = dict(self)
+            self.clear()
+            self.shapes.clear()
+        self[stretch] = found = self.shapes.setdefault(found, found)
+        return found
+
+    def starts(self, text: str) -> list[int]:
+        if not self.apart:
+            return [a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets]
+        return [m.start() + a for m in _STRETCH.finditer(text) for a in self[m[0]]]
+
+    def count(self, text: str) -> int:
+        if not self.apart:
+            return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
+        return sum([len(self[s]) for s in _STRETCH.findall(text)])
+
+
+def starts_of(stretches: Stretches, text: str, at: int, to: int) -> list[int]:
     """Offsets in ``text`` at which the tokens of ``text[at:to]`` start."""
-    found = tokenizer.encode(text[at:to], add_special_tokens=False).offsets
-    return [at + a for a, _ in found]
+    return [at + a for a in stretches.starts(text[at:to])]
 
 
 def splice(text: str, left: list[int], right: list[int], low: int, high: int) -> int | None:
@@ -82,26 +126,26 @@ def splice(text: str, left: list[int], right: list[int], low: int, high: int) ->
     return None
 
 
-def count_huge(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count_huge(stretches: Stretches, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text of any length, encoded in chunks of about ``chunk`` characters."""
     if len(text) <= chunk:  # one chunk has nothing to be spliced with, so its offsets are not asked for
-        return len(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
+        return stretches.count(text)
     at, end = 0, chunk
-    starts = starts_of(tokenizer, text, at, end)
+    starts = starts_of(stretches, text, at, end)
     total, settled = 0, 0  # tokens before ``settled`` are counted
     while end < len(text):
         wide = overlap
         while True:
             begin = max(settled, end - wide)
             to = min(len(text), begin + max(chunk, 2 * wide))
-            following = starts_of(tokenizer, text, begin, to)
+            following = starts_of(stretches, text, begin, to)
             place = splice(text, starts, following, begin, end)
             if place is not None:
                 total += bisect_left(starts, place) - bisect_left(starts, settled)
                 settled, starts, end = place, following, to
                 break
             if begin == settled:  # no stable place since the last one: grow the chunk itself
-                starts, end = starts_of(tokenizer, text, settled, to), to
+                starts, end = starts_of(stretches, text, settled, to), to
                 if to < len(text):
                     chunk *= 2
                 break
@@ -113,11 +157,11 @@ def _counter(shared, chunk: int, overlap: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        tokenizer = _tokenizer(shared.value)
+        stretches = Stretches(_tokenizer(shared.value))
         for batch in batches:
             for part in parts(batch, "text", 1 << 22):
                 size = np.diff(Texts(part.column("text")).offsets)
-                counts = [count_huge(tokenizer, text or "", chunk, overlap) for text in part.column("text").to_pylist()]
+                counts = [count_huge(stretches, text or "", chunk, overlap) for text in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()),
                                        pa.array(counts, pa.int64())], schema=schema)
     return run

@@ -296,6 +296,33 @@ def test_token_counts_are_the_librarys(chunk, overlap):
     assert got == [len(tokenizer.encode(t or "", add_special_tokens=False)) for t in texts]
 
 
+def test_stretches_are_encoded_once(monkeypatch):
+    tokenizer = bpe._tokenizer(_Shared(tokenizer_path("word_bpe_49k.json")).value)
+    asked = []
+
+    class Asked:
+        def encode(self, text, **options):
+            asked.append(text)
+            return tokenizer.encode(text, **options)
+
+        encode_batch_fast = None  # whole texts are not to be encoded
+
+    long = "z" * 70
+    texts = ["one two  one\n" * 300, "two one \u0301 caf\u00e9\u0301's <|endoftext|>x \u00a0", f"{long} one {long}"]
+    stretches = token_counts.Stretches(Asked())
+    asked.clear()
+    for chunk, overlap in ((1 << 14, 256), (40, 8)):
+        for text in texts:
+            assert token_counts.count_huge(stretches, text, chunk, overlap) == len(
+                tokenizer.encode(text, add_special_tokens=False))
+    assert asked.count("one") == asked.count("two") == 1
+    monkeypatch.setattr(token_counts, "KEPT", 3)
+    few = token_counts.Stretches(tokenizer)
+    for text in _fuzz():
+        assert few.starts(text or "") == [a for a, _ in tokenizer.encode(text or "", add_special_tokens=False).offsets]
+        assert len(few) <= 3 and len(few.old) <= 3
+
+
 def test_files_that_look_across_blanks_are_refused():
     import json
     definition = json.loads(_Shared(tokenizer_path("word_bpe_49k.json")).value)
