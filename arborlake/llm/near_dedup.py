@@ -44,6 +44,7 @@ CHECKS = 128  # one-byte minima for verification
 WIDER = 768  # further ones, for members of buckets that span components
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 BATCH = 32
+PART = 1 << 20  # bytes of text that a task looks at together
 MISS = 1e-7
 
 _random = np.random.default_rng(5)
@@ -110,7 +111,7 @@ def one_byte(low: np.ndarray) -> bytes:
 
 def _sketch(batches):
     for batch in batches:
-        for part in parts(batch, size=1 << 22):
+        for part in parts(batch, size=PART):
             found: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "signature")}
             texts = Texts(part.column("text"), lower=True)
             found["digest"] = sequence_digests(texts)
@@ -162,7 +163,7 @@ def _prune(limits: list[tuple[int, int]]):
 def _widen(batches):
     begin = BANDS * ROWS + CHECKS
     for batch in batches:
-        for part in parts(batch, size=1 << 22):
+        for part in parts(batch, size=PART):
             texts = Texts(part.column("text"), lower=True)
             yield pa.record_batch({
                 "digest": pa.array(sequence_digests(texts), pa.binary()),
@@ -226,7 +227,7 @@ def _pairs(found: list[tuple]) -> pa.RecordBatch:
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            for part in parts(batch, "text_a", 1 << 22):
+            for part in parts(batch, "text_a", PART):
                 keep, n = [], len(part)
                 both = pa.concat_arrays([part.column(c).cast(pa.large_string()) for c in ("text_a", "text_b")])
                 sets = shingle_sets(Texts(both, lower=True))[0]

@@ -18,7 +18,7 @@ LOWER[65:91] += 32
 _LETTERS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_SPAN = 1 << 22  # bytes hashed at a time
+_SPAN = 1 << 18  # bytes hashed at a time: each takes some 32 bytes of memory meanwhile
 _powers: dict[int, np.ndarray] = {}
 
 

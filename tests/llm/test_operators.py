@@ -342,6 +342,21 @@ def test_files_that_look_across_blanks_are_refused():
             token_counts.check_stable(other)
 
 
+def test_hashing_words_takes_little_memory():
+    import tracemalloc
+    from arborlake.llm.near_dedup import shingle_sets
+    from arborlake.llm.text import Texts
+    found = Texts(pa.array([" ".join(f"w{i % 5000}" for i in range(400_000))]))
+    words = found.words()
+    tracemalloc.start()
+    words.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 8 bytes a word for the result; the working arrays do not grow with the text
+    assert peak < 8 * len(words) + (16 << 20)
+    assert len(shingle_sets(found)[0][0]) == 5000
+
+
 def test_lm_scores(docs, rows):
     model = brute.Ppm([t for i, t in rows if not brute.held_out(i, 5)], 4)
     base = brute.base_scores(rows)
