@@ -2,7 +2,7 @@
 
 Finding files and working on them are two steps. ``extend`` lists what changed since the last time
 and appends it to the listing, ordered by (mtime, path) and cut into chunks of at most ``max_files``
-files and about ``max_bytes`` bytes, one Parquet file each. ``stream`` reads that folder as a file
+files and about ``max_bytes`` bytes, one Parquet file each or, where chunks are small, so many together. ``stream`` reads that folder as a file
 stream, so many chunks a batch: Spark's own offset log is the cursor, and after a restart the stream
 goes on where it was, however much was found in between. The first batch is as small as any other.
 """
@@ -38,11 +38,18 @@ def in_chunks(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX
         *files.columns, F.col("chunk").cast("long").alias("chunk"))
 
 
-def write_chunks(files: DataFrame, path: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> None:
-    """One file for each chunk, in order: a chunk is bounded, so one task may write it."""
+def write_chunks(
+    files: DataFrame, path: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, together: int = 1,
+) -> None:
+    """One file for each ``together`` consecutive chunks, in order: it is bounded, so one task may write it.
+
+    A file costs a task, a folder and a batch of the stream its own time, so small chunks are written together.
+    """
+    if together < 1:
+        raise ValueError("together must be positive")
     spark = files.sparkSession
-    rows = in_chunks(files, max_files, max_bytes).withColumn("file", F.col("chunk"))
-    rows.repartition("chunk").write.partitionBy("file").parquet(path)
+    rows = in_chunks(files, max_files, max_bytes).withColumn("file", F.floor(F.col("chunk") / together))
+    rows.repartition("file").write.partitionBy("file").parquet(path)
     numbers = sorted(int(name[len("file="):]) for name in folders(spark, path) if name.startswith("file="))
     stamp_in_order(spark, [f"{path}/file={number}" for number in numbers])
 
@@ -89,6 +96,6 @@ def stream(spark: SparkSession, path: str, chunks: int = 1) -> DataFrame:
 
 
 def chunk_stream(spark: SparkSession, path: str, schema, chunks: int = 1) -> DataFrame:
-    """A stream over a folder of ``write_chunks``."""
+    """A stream over a folder of ``write_chunks``, ``chunks`` of its files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", chunks).option(
         "recursiveFileLookup", "true").parquet(path)

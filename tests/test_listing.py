@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators import ordering
 from arborlake.options import ScanOptions
-from arborlake.session import new_work_path
+from arborlake.session import folders, new_work_path
 from arborlake.sources import listing
 
 OPTIONS = ScanOptions(excluded_folders=(), exclude_patterns=(), excluded_files=())
@@ -84,3 +84,18 @@ def test_unfinished_window_is_listed_again(spark, tmp_path, monkeypatch):
             listing.extend(spark, str(root), OPTIONS, path, settle_seconds=0)
     assert listing.extend(spark, str(root), OPTIONS, path, settle_seconds=0) == 1
     assert len(listing._windows(spark, path)[0]) == 1 and listing._windows(spark, path)[1] == []
+
+
+def test_small_chunks_share_a_file(spark):
+    files = spark.createDataFrame([(f"p{i}", 10, i) for i in range(47)], "path STRING, size LONG, mtime_us LONG")
+    path = new_work_path(spark, "test-together")
+    listing.write_chunks(files, path, 2, 10**9, together=5)
+    assert sorted(int(n[5:]) for n in folders(spark, path) if n.startswith("file=")) == list(range(5))
+    seen = []
+    listing.chunk_stream(spark, path, "path STRING, size LONG, mtime_us LONG, chunk LONG").writeStream.option(
+        "checkpointLocation", f"{path}-cp").trigger(availableNow=True).foreachBatch(
+        lambda batch, _: seen.append(sorted((r["chunk"], r["mtime_us"]) for r in batch.collect()))
+    ).start().awaitTermination()
+    assert len(seen) == 5 and sum(seen, []) == [(i // 2, i) for i in range(47)]
+    with pytest.raises(ValueError):
+        listing.write_chunks(files, path, together=0)
