@@ -6,14 +6,14 @@ import logging
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arborlake.operators import analysis, cache, summary
 from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
 from arborlake.schema import ENTRIES
-from arborlake.session import materialise
+from arborlake.session import delete_folder, materialise
 from arborlake.sources.cache_table import CacheTable
 
 log = logging.getLogger(__name__)
@@ -124,6 +124,25 @@ def progress(entries: DataFrame, run: str) -> DataFrame:
         F.count_if(~failed).alias("processed"), F.count_if(failed).alias("failed"))
 
 
+def _counts(at: Column, estimate: Column) -> dict[str, Column]:
+    failed = F.col("type") == "error"
+    return {"processed": F.count_if(~failed), "failed": F.count_if(failed), "_estimate": F.max(estimate),
+            "_first": F.min(at), "_last": F.max(at)}
+
+
+_TOTALS = {"processed": F.sum, "failed": F.sum, "_estimate": F.max, "_first": F.min, "_last": F.max}
+
+
+def _shown(counts: DataFrame, run: str) -> DataFrame:
+    done = F.col("processed") + F.col("failed")
+    total = F.greatest(F.col("_estimate"), done).cast("long")
+    speed = summary.throughput(done, total, F.col("_last") - F.col("_first"))
+    return counts.select(
+        run, "processed", "failed", total.alias("estimated_total_files"),
+        *[column.alias(name) for name, column in speed.items()],
+        summary.progress_percent(done, total).alias("percent"))
+
+
 def live_progress(entries: DataFrame, run: str, *, at: Column, estimate: Column) -> DataFrame:
     """Counts, rate and remaining time of each run, as of its last batch.
 
@@ -132,17 +151,37 @@ def live_progress(entries: DataFrame, run: str, *, at: Column, estimate: Column)
     one streaming aggregation of sums, minima and maxima, so a run of any size is combined before it is
     shuffled, and the state holds one row a run.
     """
-    failed = F.col("type") == "error"
-    counts = entries.groupBy(run).agg(
-        F.count_if(~failed).alias("processed"), F.count_if(failed).alias("failed"),
-        F.max(estimate).alias("_estimate"), (F.max(at) - F.min(at)).alias("elapsed"))
-    done = F.col("processed") + F.col("failed")
-    total = F.greatest(F.col("_estimate"), done).cast("long")
-    speed = summary.throughput(done, total, F.col("elapsed"))
-    return counts.select(
-        run, "processed", "failed", total.alias("estimated_total_files"),
-        *[column.alias(name) for name, column in speed.items()],
-        summary.progress_percent(done, total).alias("percent"))
+    return _shown(entries.groupBy(run).agg(*[c.alias(n) for n, c in _counts(at, estimate).items()]), run)
+
+
+def report_chunks(
+    entries: DataFrame, run: str, chunk: str, path: str, checkpoint: str, *, at: Column, estimate: Column,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """``live_progress`` as of each chunk, for batches of several: a row for each run that a chunk changed.
+
+    Reports go to ``reports`` in ``path``. A batch is counted by run and chunk, and its few counts are
+    summed up in the order of chunks behind the totals of the batch before, one row a run in ``totals``;
+    a repeated batch starts from the same totals and overwrites what it wrote.
+    """
+    def report(batch: DataFrame, batch_id: int) -> None:
+        spark, totals = batch.sparkSession, f"{path}/totals/batch="
+        new = batch.groupBy(run, chunk).agg(*[c.alias(n) for n, c in _counts(at, estimate).items()])
+        new = materialise(new, "chunk-counts").withColumn("_new", F.lit(True))
+        if batch_id:
+            held = spark.read.schema(new.drop(chunk, "_new").schema).parquet(f"{totals}{batch_id - 1}")
+            new = new.unionByName(held.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        upto = Window.partitionBy(run).orderBy("_new", chunk).rowsBetween(Window.unboundedPreceding, 0)
+        _shown(new.withColumns({n: total(n).over(upto) for n, total in _TOTALS.items()}).filter("_new"), run
+               ).write.mode("overwrite").parquet(f"{path}/reports/batch={batch_id}")
+        new.groupBy(run).agg(*[total(n).alias(n) for n, total in _TOTALS.items()]
+                             ).write.mode("overwrite").parquet(f"{totals}{batch_id}")
+        delete_folder(spark, f"{totals}{batch_id - 2}")
+
+    return (
+        entries.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or AVAILABLE_NOW)).foreachBatch(report).start()
+    )
 
 
 def status(progress_rows: DataFrame, handle: Callable[[DataFrame, int], None],

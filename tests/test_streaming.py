@@ -226,3 +226,31 @@ def test_rolling_buffer_over_batches(spark, work):
     from arborlake.operators.logs import buffered
     want = {r["seq"] for r in buffered(views.logs(spark, SF), 7).collect()}
     assert {r["seq"] for r in state.read().collect()} == want
+
+
+def _chunked(spark, work, together):
+    """Small chunks of two runs, so many in a file of the listing."""
+    rows = [(f"p{i:02d}", 10, i * 500_000, "a" if i % 3 else "b", "error" if i % 7 == 5 else "text")
+            for i in range(29)] + [("p29", 10, 29_000_000, None, "text")]
+    schema = "path STRING, size LONG, mtime_us LONG, run STRING, type STRING"
+    listing.write_chunks(spark.createDataFrame(rows, schema), f"{work}/listing", 4, 10**9, together)
+    return listing.chunk_stream(spark, f"{work}/listing", f"{schema}, chunk LONG")
+
+
+def test_chunks_are_reported_one_by_one(spark, work):
+    figures = {"at": F.col("mtime_us") / 1_000_000, "estimate": F.expr("CASE WHEN chunk = 2 THEN 3 ELSE 9 + chunk END")}
+    single = _chunked(spark, f"{work}/one", 1)
+    progress = streams.live_progress(single, "run", **figures)
+    progress.writeStream.outputMode("update").option("checkpointLocation", f"{work}/cp").trigger(
+        availableNow=True).foreachBatch(lambda batch, n: batch.write.parquet(f"{work}/want/batch={n}")
+                                        ).start().awaitTermination()
+
+    def rows(path):
+        return sorted(map(repr, spark.read.schema(progress.schema).parquet(f"{path}/*").collect()))
+
+    want = rows(f"{work}/want")
+    for together in (1, 3, 100):
+        finish(streams.report_chunks(_chunked(spark, f"{work}/{together}", together), "run", "chunk",
+                                     f"{work}/got-{together}", f"{work}/cp-{together}", **figures))
+        assert rows(f"{work}/got-{together}/reports") == want
+    assert len(want) > 10
