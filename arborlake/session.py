@@ -98,6 +98,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()]
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end."""
+    store, place = _hadoop(spark, f"{path}/_SUCCESS")
+    return store.exists(place)
+
+
 def stamp_in_order(spark: SparkSession, paths: list[str]) -> None:
     """Give the files of each folder a later modification time than those of the folder before.
 

@@ -13,7 +13,7 @@ from arborlake.operators import analysis, cache, summary
 from arborlake.options import ScanOptions
 from arborlake.plans.analysis import analyse_incremental, stored_form
 from arborlake.schema import ENTRIES
-from arborlake.session import delete_folder, materialise
+from arborlake.session import delete_folder, is_written, materialise
 from arborlake.sources.cache_table import CacheTable
 
 log = logging.getLogger(__name__)
@@ -28,17 +28,17 @@ def entry_stream(files: DataFrame, options: ScanOptions) -> DataFrame:
     return analysis.entries(included, options)
 
 
-def marked_stream(files: DataFrame, options: ScanOptions) -> DataFrame:
+def marked_stream(files: DataFrame, options: ScanOptions, keep: tuple[str, ...] = ()) -> DataFrame:
     """``entry_stream`` plus a row for each file that a name rule leaves out.
 
-    Such a row has its path and ``name_excluded`` only; a summary counts it.
+    Such a row has its path, ``name_excluded`` and the columns ``keep`` only; a summary counts it.
     """
     rows = analysis.traversed(files, options)
     for column in ("text", "content"):
         if column in rows.columns:
             rows = rows.withColumn(column, F.when(~F.col("name_excluded"), F.col(column)))
-    marked = analysis.entries(rows, options, keep=("name_excluded",))
-    named = ("path", "parent", "filename", "name_excluded")
+    marked = analysis.entries(rows, options, keep=("name_excluded", *keep))
+    named = ("path", "parent", "filename", "name_excluded", *keep)
     return marked.withColumns({
         c: F.when(~F.col("name_excluded"), F.col(c)) for c in marked.columns if c not in named})
 
@@ -92,17 +92,26 @@ class StopRequested(Exception):
 
 def write_until(
     entries: DataFrame, path: str, checkpoint: str, stop: Callable[[int], bool], *,
-    fmt: str = "json", trigger: dict | None = None,
+    fmt: str = "json", trigger: dict | None = None, chunk: str | None = None,
 ) -> bool:
     """Write batch by batch until ``stop`` (asked with the number of each next batch) says so.
 
     True when the run ended early. The batches before stay; a later call with the same checkpoint goes
-    on with the batch that was not written. ``committed_summary`` sums up what is there.
+    on with the batch that was not written. ``committed_summary`` sums up what is there. Where one batch
+    of the stream has several chunks of a listing, ``chunk`` is the column of their numbers: each is
+    asked for and written as a batch of its own, and not again if the call before wrote it.
     """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        if stop(batch_id):
-            raise StopRequested(f"before batch {batch_id}")
-        batch.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+        numbers = [batch_id] if chunk is None else sorted(
+            row[0] for row in batch.select(chunk).distinct().collect())  # as many as a file of the listing has
+        for number in numbers:
+            target = f"{path}/batch={number}"
+            if chunk is not None and is_written(batch.sparkSession, target):
+                continue
+            if stop(number):
+                raise StopRequested(f"before batch {number}")
+            rows = batch if chunk is None else batch.filter(F.col(chunk) == number).drop(chunk)
+            rows.write.mode("overwrite").format(fmt).save(target)
 
     query = (
         entries.writeStream.option("checkpointLocation", checkpoint)

@@ -254,3 +254,20 @@ def test_chunks_are_reported_one_by_one(spark, work):
                                      f"{work}/got-{together}", f"{work}/cp-{together}", **figures))
         assert rows(f"{work}/got-{together}/reports") == want
     assert len(want) > 10
+
+
+def test_a_run_stops_between_chunks_of_a_batch(spark, work):
+    rows = _chunked(spark, work, 5)
+
+    def run(stop):
+        return streams.write_until(rows, f"{work}/out", f"{work}/cp", stop, fmt="parquet", chunk="chunk")
+
+    def written():
+        return sorted(r["batch"] for r in spark.read.parquet(f"{work}/out").select("batch").distinct().collect())
+
+    asked = []
+    assert run(lambda chunk: chunk >= 3) is True and written() == [0, 1, 2]
+    assert run(lambda chunk: asked.append(chunk) or chunk >= 4) is True and written() == [0, 1, 2, 3]
+    assert asked == [3, 4]
+    assert run(lambda chunk: False) is False and written() == list(range(8))
+    assert spark.read.parquet(f"{work}/out").count() == 30
