@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from arborlake.functions.let import let
 from arborlake.options import ENCODING_SAMPLE_BYTES
+from arborlake.session import small_arrow_batches
 
 try:
     import xxhash
@@ -244,6 +245,7 @@ def with_decoded(
     else:
         df = df.withColumn("_easy", F.lit(None).cast("string"))
     other = F.when(F.col("_easy").isNull(), source)
+    small_arrow_batches(df.sparkSession)
     df = df.withColumn("_guess", _guess_and_decode(other, F.lit(hint).cast("string")))
     return df.withColumns({
         "_encoding": F.coalesce("_easy", "_guess.encoding"),

@@ -73,6 +73,17 @@ def scratch(spark: SparkSession):
         delete_folder(spark, folder)
 
 
+#: rows of an Arrow batch: texts are long, so few of them
+ARROW_ROWS = 1000
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Few rows in each Arrow batch that goes to Python, so that its memory stays small with long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -396,3 +396,16 @@ def test_other_bytes_are_no_wide_texts(spark):
     names = [n for n, _ in _decoded(spark, raws, False)]
     assert names == ["ascii", "ascii", "utf_16_le", "ascii", "utf_8", "utf-8", "utf-8", "utf-8", "utf-8", "ascii",
                      "ascii", "utf-8"]
+
+
+def test_bytes_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        rows = spark.range(3000).select(F.encode(F.col("id").cast("string"), "UTF-16LE").alias("raw"))
+        found = content.with_decoded(rows, "raw", hint="utf-16-le")
+        assert int(spark.conf.get(name)) <= 1000
+        assert sorted(int(r["_decoded"]) for r in found.collect()) == list(range(3000))
+    finally:
+        spark.conf.set(name, before)
