@@ -8,6 +8,9 @@ byte starts a character and is no apostrophe (which could open a contraction).
 
 Fragments repeat a lot: each batch encodes its distinct fragments once, with a bounded memo.
 
+``encode`` and ``decode`` are a Python pass each; ``recode`` does both in one, so that a task needs one
+Python worker and not two at once.
+
 Defined results: a null text counts as empty and has no ids; extra columns are kept.
 """
 
@@ -24,6 +27,7 @@ from arborlake.llm.tables import arrow_map
 from arborlake.llm.text import Texts, parts, slices
 
 MEMO = 100_000  # distinct fragments that a task remembers
+PART = 1 << 20  # bytes of text encoded at a time: the library holds objects for all their tokens meanwhile
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,7 +93,7 @@ def _encoder(shared, text_column: str):
         cut = forced_cuts(json.loads(shared.value))
         memo: dict[str, bytes] = {}
         for batch in batches:
-            for part in parts(batch, text_column, 1 << 21):
+            for part in parts(batch, text_column, PART):
                 texts = Texts(part.column(text_column))
                 starts, ends = fragments(texts, cut)
                 coded = slices(texts.data, starts, ends).dictionary_encode()
@@ -153,3 +157,12 @@ def decode(df: DataFrame, path: str, text_column: str = "decoded") -> DataFrame:
     df = df.drop(text_column)
     return arrow_map(df, _decoder(_definition(df.sparkSession, path), text_column),
                      _schema(df, f"{text_column} STRING"))
+
+
+def recode(df: DataFrame, path: str, text_column: str = "text", decoded_column: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass over the rows."""
+    df = df.drop("n_tokens", "ids", decoded_column)
+    shared = _definition(df.sparkSession, path)
+    encoder, decoder = _encoder(shared, text_column), _decoder(shared, decoded_column)
+    return arrow_map(df, lambda batches: decoder(encoder(batches)),
+                     _schema(df, f"n_tokens LONG, ids BINARY, {decoded_column} STRING"))

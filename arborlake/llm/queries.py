@@ -79,10 +79,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from arborlake.llm.bpe import decode, encode
+    from arborlake.llm.bpe import recode
     path = tokenizer_path("byte_bpe_50k.json")
-    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text")
-    return decode(coded, path).select(
+    return recode(documents(spark, sf_dir).select("doc_id", "text"), path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborlake.llm.bpe import decode, encode
+from arborlake.llm.bpe import recode
 from arborlake.llm.decontaminate import decontaminate
 from arborlake.llm.exact_dedup import exact_dedup
 from arborlake.llm.near_dedup import near_dedup
@@ -57,8 +57,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether decoding gives the text back."""
-    path = tokenizer_path("byte_bpe_50k.json")
-    coded = decode(encode(docs, path), path)
+    coded = recode(docs, tokenizer_path("byte_bpe_50k.json"))
     return coded.withColumn("round_trip", F.col("decoded").eqNullSafe(
         F.coalesce("text", F.lit("")))).drop("decoded")
 

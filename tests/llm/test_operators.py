@@ -285,6 +285,19 @@ def test_bpe_is_the_librarys(docs):
         assert row.decoded == (row.text or "") and row.node == "clash"
 
 
+def test_bpe_there_and_back_is_one_python_pass(spark, docs):
+    """Each pass has a worker process of its own in every task, and they live at the same time."""
+    import corpus_pipeline
+    path = tokenizer_path("byte_bpe_50k.json")
+    once, twice = bpe.recode(docs, path), bpe.decode(bpe.encode(docs, path), path)
+    assert once.schema == twice.schema
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    coded = corpus_pipeline.encoded(spark, docs, "")
+    for frame in (once, coded):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert coded.filter("round_trip").count() == docs.count()
+
+
 @pytest.mark.parametrize("chunk, overlap", [(1 << 14, 256), (100, 8), (7, 3)])
 def test_token_counts_are_the_librarys(chunk, overlap):
     shared = _Shared(tokenizer_path("word_bpe_49k.json"))
