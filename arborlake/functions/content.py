@@ -117,14 +117,26 @@ _SAMPLE = 1024  # bytes that tell whether a text without a mark has wide units
 _MARKS = (("FFFE0000", "utf_32", "utf_32_le"), ("0000FEFF", "utf_32", "utf_32_be"),
           ("FFFE", "utf_16", "utf_16_le"), ("FEFF", "utf_16", "utf_16_be"))
 _UNIT = {"utf_16_le": 2, "utf_16_be": 2, "utf_32_le": 4, "utf_32_be": 4}
-# all units of a text, as hexadecimal digits: pairs of surrogates, or anything but half of one
+# runs of units, one character a byte: all but halves of surrogate pairs, and such pairs
 _VALID_UNITS = {
-    "utf_16_be": r"D[89AB]..D[CDEF]..|(?!D[89A-F])....",
-    "utf_16_le": r"..D[89AB]..D[CDEF]|..(?!D[89A-F])..",
-    "utf_32_be": r"0000(?!D[89A-F])....|00(?:0[1-9A-F]|10)....",
-    "utf_32_le": r"..(?!D[89A-F])..0000|....(?:0[1-9A-F]|10)00",
+    "utf_16_be": r"(?s)(?:[^\xD8-\xDF].)++|(?:[\xD8-\xDB].[\xDC-\xDF].)++",
+    "utf_16_le": r"(?s)(?:.[^\xD8-\xDF])++|(?:.[\xD8-\xDB].[\xDC-\xDF])++",
+    "utf_32_be": r"(?s)(?:\x00\x00[^\xD8-\xDF].)++|(?:\x00[\x01-\x10]..)++",
+    "utf_32_le": r"(?s)(?:.[^\xD8-\xDF]\x00\x00)++|(?:..[\x01-\x10]\x00)++",
 }
 _HIGH_SURROGATE = {"utf_16_be": "^D[89AB]", "utf_16_le": "^..D[89AB]"}
+# units of a text without a mark, one character a byte; those in a group speak for the order
+_ONE_SIDE = {
+    "utf_32_le": r"(?s)((?:..\x00\x00)++)|.{4}", "utf_32_be": r"(?s)((?:\x00\x00..)++)|.{4}",
+    "utf_16_le": r"(?s)((?:[^\x00]\x00)++)|..?", "utf_16_be": r"(?s)((?:\x00[^\x00])++)|..?",
+}
+_ALL_UNITS = {"utf_32_le": r"(?s)^(?:(?!\x00{4})..[\x00-\x10]\x00)*+$(?!.)",
+              "utf_32_be": r"(?s)^(?:(?!\x00{4})\x00[\x00-\x10]..)*+$(?!.)"}
+
+
+def _one_character_a_byte(raw: Column) -> Column:
+    """Bytes as a text of as many characters, for expressions that look at single bytes."""
+    return F.decode(raw, "ISO-8859-1")
 
 
 def _order_without_mark(raw: Column) -> Column:
@@ -133,30 +145,20 @@ def _order_without_mark(raw: Column) -> Column:
     Of UTF-16 at least half of the units have a zero byte on one side only, as in Latin scripts and in
     texts with many blanks; of UTF-32 all have one at the upper end, and at least half have two.
     """
-    def of(digits: Column) -> Column:
-        def units(width: int) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), F.floor(F.length(digits) / width).cast("int") - 1),
-                lambda i: F.substr(digits, i * width + 1, F.lit(width)))
+    def of(sample: Column) -> Column:
+        size = F.length(sample)
 
-        def share(width: int, test) -> Column:
-            return F.size(F.filter(units(width), test)) / F.floor(F.length(digits) / width)
+        def half(encoding: str) -> Column:
+            own = F.length(F.regexp_replace(sample, _ONE_SIDE[encoding], "$1"))
+            return own / _UNIT[encoding] / F.floor(size / _UNIT[encoding]) >= 0.5
 
-        def one_side(unit: Column, zero: Column, other: Column) -> Column:
-            return (F.substr(unit, zero, F.lit(2)) == "00") & (F.substr(unit, other, F.lit(2)) != "00")
-
-        first, second = F.lit(1), F.lit(3)
-        wide = (F.length(digits) >= 8) & (F.length(digits) % 8 == 0)
-        return (
-            F.when(wide & (share(8, lambda u: u.rlike(r"^(?!0{8})....(?:0.|10)00")) == 1)
-                   & (share(8, lambda u: F.endswith(u, F.lit("0000"))) >= 0.5), "utf_32_le")
-            .when(wide & (share(8, lambda u: u.rlike(r"^(?!0{8})00(?:0.|10)")) == 1)
-                  & (share(8, lambda u: F.startswith(u, F.lit("0000"))) >= 0.5), "utf_32_be")
-            .when((F.length(digits) >= 4) & (share(4, lambda u: one_side(u, second, first)) >= 0.5), "utf_16_le")
-            .when((F.length(digits) >= 4) & (share(4, lambda u: one_side(u, first, second)) >= 0.5), "utf_16_be"))
+        wide = (size >= 4) & (size % 4 == 0)
+        return F.coalesce(
+            *[F.when(wide & sample.rlike(_ALL_UNITS[e]) & half(e), e) for e in ("utf_32_le", "utf_32_be")],
+            *[F.when((size >= 2) & half(e), e) for e in ("utf_16_le", "utf_16_be")])
 
     sample = F.substring(raw, 1, _SAMPLE)
-    return F.when(F.contains(sample, F.lit(b"\x00")), let(F.hex(sample), of))
+    return F.when(F.contains(sample, F.lit(b"\x00")), let(_one_character_a_byte(sample), of))
 
 
 def wide_encoding(raw: Column, cut: Column) -> Column:
@@ -192,7 +194,7 @@ def _judged(kind: Column, data: Column, cut: Column) -> Column:
             last = F.hex(F.substring(data, whole - 1, F.lit(2)))
             whole = whole - F.when(cut & (whole >= 2) & last.rlike(_HIGH_SURROGATE[encoding]), 2).otherwise(0)
         kept = F.substring(data, F.lit(1), whole)
-        valid = (F.regexp_replace(F.hex(kept), _VALID_UNITS[encoding], "") == "") & (cut | (whole == size))
+        valid = (F.regexp_replace(_one_character_a_byte(kept), _VALID_UNITS[encoding], "") == "") & (cut | (whole == size))
         charset = encoding.upper().replace("_", "-").replace("-LE", "LE").replace("-BE", "BE")
         if width == 4:  # one charset, which reads the order from the mark
             text = F.decode(F.concat(F.lit(bytes.fromhex("FFFE0000" if encoding.endswith("le") else "0000FEFF")),

@@ -427,15 +427,16 @@ _WIDE = ("utf_16", "utf_16", "utf_16_le", "utf_16_be", "utf_32", "utf_32", "utf_
   md5(text) AS digest FROM files_v""")
 def detect_wide_encodings(spark, sf_dir):
     """Every text as UTF-16 or UTF-32, in both byte orders, with and without a mark, found and decoded."""
-    def swapped(raw):
-        return F.unhex(F.regexp_replace(F.hex(raw), "(..)(..)(..)(..)", "$4$3$2$1"))
+    def swapped(backwards):
+        """UTF-32 in the other byte order, from the text backwards: all of its bytes from the last to the first."""
+        return F.encode(F.reverse(F.decode(F.encode(backwards, "UTF-32"), "ISO-8859-1")), "ISO-8859-1")
 
     text, kind = F.col("text"), F.col("doc_id") % 8
     marks = {0: "FFFE", 1: "FEFF", 4: "FFFE0000", 5: "0000FEFF"}
     raw = F.lit(None).cast("binary")
     for number, name in enumerate(("UTF-16LE", "UTF-16BE", "UTF-16LE", "UTF-16BE", "LE", "BE", "LE", "BE")):
         body = F.encode(text, name) if "UTF" in name else F.encode(text, "UTF-32")
-        body = swapped(body) if name == "LE" else body
+        body = swapped(F.reverse(text)) if name == "LE" else body
         raw = F.when(kind == number, F.concat(F.lit(bytes.fromhex(marks.get(number, ""))), body)).otherwise(raw)
     files = views.files(spark, sf_dir).select("path", raw.alias("raw"))
     return content.with_decoded(files, "raw", fallback="utf-8", wide=True).select(

@@ -398,6 +398,23 @@ def test_other_bytes_are_no_wide_texts(spark):
                      "ascii", "utf-8"]
 
 
+def test_wide_texts_are_judged_by_runs_not_unit_by_unit(spark):
+    """No expression makes a list of units or hexadecimal digits of a text, and long texts are judged whole."""
+    long = "plain \U0001f600 \u4e2d\u6587 \n\r\u0085" * 4_000
+    df = spark.createDataFrame(
+        [(i, text.encode(order)) for i, (text, order) in enumerate(
+            (t, o) for o in ("utf_16_le", "utf_16_be", "utf_32_le", "utf_32_be") for t in (long, "a" * 100_000))],
+        "i INT, raw BINARY")
+    out = content.with_decoded(df, "raw", fallback="utf-8", wide=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "regexp_replace(hex(" not in plan
+    rows = out.orderBy("i").collect()
+    assert [r["_encoding"] for r in rows[::2]] == ["utf_16_le", "utf_16_be", "utf_32_le", "utf_32_be"]
+    assert all(r["_decoded"] == long for r in rows[::2]) and all(r["_decoded"] == "a" * 100_000 for r in rows[1::2])
+    broken = [long.encode("utf_16_le") + b"\x00\xd8", long.encode("utf_32_be") + b"\0\x11\0\0"]
+    assert [name for name, _ in _decoded(spark, broken, False)] == ["utf-8", "utf-8"]
+
+
 def test_bytes_go_to_python_in_small_batches(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
