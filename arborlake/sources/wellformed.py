@@ -15,6 +15,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from arborlake.functions.let import let
 from arborlake.session import materialise
 from arborlake.sources.nested import SPLIT, _splits_of, export_lines, stacks_before
 
@@ -32,10 +33,14 @@ def json_tokens(line: Column) -> Column:
     apart = r"[\p{L}\p{N}_.+\-\x02]"
     text = F.regexp_replace(text, f"(?<!{apart})(?:{number}|true|false|null)(?!{apart})", _VALUE)
     text = F.regexp_replace(text, r"[ \t\r]++", "")
-    faulty = line.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") | text.rlike(r"[^{}\[\],:\x02\x03]")
-    tokens = F.split(F.translate(text, _STRING + _VALUE, "sv"), "")
-    return F.when(faulty, F.array(F.lit(UNREADABLE))).when(text == "", F.array().cast("array<string>")).otherwise(
-        F.filter(tokens, lambda t: t != ""))
+
+    def of(text: Column) -> Column:
+        faulty = line.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") | text.rlike(r"[^{}\[\],:\x02\x03]")
+        tokens = F.split(F.translate(text, _STRING + _VALUE, "sv"), "")
+        return F.when(faulty, F.array(F.lit(UNREADABLE))).when(
+            text == "", F.array().cast("array<string>")).otherwise(F.filter(tokens, lambda t: t != ""))
+
+    return let(text, of)
 
 
 def xml_tokens(line: Column) -> Column:
@@ -54,14 +59,17 @@ def xml_tokens(line: Column) -> Column:
             .otherwise(UNREADABLE))
 
     def text(part: Column) -> Column:
-        return F.when(F.trim(F.translate(part, "\t\r", "  ")) != "", F.lit("t"))
+        return F.when(part.rlike(r"[^ \t\r]"), F.lit("t"))
+
+    def of(texts: Column) -> Column:
+        paired = F.zip_with(
+            texts, tags, lambda part, tag: F.array(text(part), F.when(tag.isNotNull(), token(tag))))
+        # an & that opens no reference
+        faulty = line.rlike(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]++|#x[0-9a-fA-F]++);)") | F.exists(
+            texts, lambda t: F.contains(t, F.lit("<"))) | line.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+        return F.when(faulty, F.array(F.lit(UNREADABLE))).otherwise(F.array_compact(F.flatten(paired)))
 
-    paired = F.zip_with(
-        texts, tags, lambda part, tag: F.array(text(part), F.when(tag.isNotNull(), token(tag))))
-    references = F.regexp_replace(line, r"&(?:amp|lt|gt|quot|apos|#[0-9]++|#x[0-9a-fA-F]++);", "")
-    faulty = F.contains(references, F.lit("&")) | F.exists(texts, lambda t: F.contains(t, F.lit("<"))) | line.rlike(
-        r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-    return F.when(faulty, F.array(F.lit(UNREADABLE))).otherwise(F.array_compact(F.flatten(paired)))
+    return let(texts, of)
 
 
 def yaml_tokens(line: Column) -> Column:
@@ -71,12 +79,11 @@ def yaml_tokens(line: Column) -> Column:
     key = r'(?:"[^"\\]*+"|[\p{L}_][\p{L}\p{N}_\-]*+)'
     scalar = r'(?:"[^"\\]*+"|-?[0-9][0-9.eE+\-]*+|true|false|null|[\p{L}][\p{L}\p{N}_\-]*+)'
     indent = F.length(line) - F.length(F.ltrim(line))
-    body = F.rtrim(F.ltrim(text))
-    kind = (
+    kind = let(F.rtrim(F.ltrim(text)), lambda body: (
         F.when(body.rlike(rf"^{key}:$"), "k").when(body.rlike(rf"^{key}: {scalar}$"), "p")
-        .when(body.rlike(rf"^- {key}: {scalar}$"), "i"))
-    return F.when(F.trim(line) == "", F.array().cast("array<string>")).when(
-        kind.isNull(), F.array(F.lit(UNREADABLE))).otherwise(F.array(kind, indent.cast("string")))
+        .when(body.rlike(rf"^- {key}: {scalar}$"), "i")))
+    return F.when(F.trim(line) == "", F.array().cast("array<string>")).otherwise(let(
+        kind, lambda k: F.when(k.isNull(), F.array(F.lit(UNREADABLE))).otherwise(F.array(k, indent.cast("string")))))
 
 
 def _json_after(token: str, before: str | None, top: str | None) -> str:

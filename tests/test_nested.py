@@ -176,3 +176,12 @@ def test_same_verdict_as_a_parser(spark, run, fmt, parses):
 def _near(text, variant):
     at = next((i for i, (a, b) in enumerate(zip(text, variant)) if a != b), len(variant))
     return variant[max(0, at - 40):at + 40]
+
+
+def test_a_line_is_searched_once_for_its_tokens(spark):
+    """The steps that every line goes through stand once in the plan of each format."""
+    lines = spark.createDataFrame([('{"a": 1}',)], "value STRING")
+    for fmt, mark in (("json", "[ \\t\\r]++"), ("xml", "split("), ("yaml", "rtrim(")):
+        tokens, _ = wellformed._FORMATS[fmt]
+        plan = lines.select(tokens(F.col("value")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(mark) == 1, fmt
