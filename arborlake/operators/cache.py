@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlake.functions.jsontext import strict_json
@@ -58,6 +61,31 @@ def misses(files: DataFrame, cache: DataFrame, validate: str = "stat") -> DataFr
     return files.join(readable(cache).select(*keys), keys, "left_anti")
 
 
+def spans(rows: DataFrame, column: str, parts: int = 64) -> list[tuple[int, int]]:
+    """At most ``parts`` ranges that together hold every value of an integer column, nulls aside."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return []
+    part = F.floor((F.col(column).cast("double") - float(low)) / float((high - low) // parts + 1))
+    found: list[tuple[int, int]] = []
+    before = None
+    for number, first, last in sorted(
+        rows.filter(F.col(column).isNotNull()).groupBy(part).agg(F.min(column), F.max(column)).collect()
+    ):
+        if before is not None and number == before + 1:
+            found[-1] = (found[-1][0], last)
+        else:
+            found.append((first, last))
+        before = number
+    return found
+
+
+def within(column: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a value lies in one of the ranges."""
+    return functools.reduce(
+        operator.or_, [(column >= first) & (column <= last) for first, last in ranges], F.lit(False))
+
+
 def orphans(cache: DataFrame, files: DataFrame) -> DataFrame:
     """Stored rows whose file is gone."""
     return cache.join(files.select("path"), "path", "left_anti")

@@ -31,8 +31,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(table(spark, sf_dir, "documents"))
 
 
-def as_files(docs: DataFrame) -> DataFrame:
-    """File columns of a documents table or stream."""
+def as_files(docs: DataFrame, *keep: Column) -> DataFrame:
+    """File columns of a documents table or stream; ``keep`` adds own columns."""
     ext = _pick(EXTENSIONS, F.col("doc_id") % len(EXTENSIONS))
     folder = _pick(FOLDERS, F.col("doc_id") % len(FOLDERS))
     raw = F.encode("text", "UTF-8")
@@ -49,6 +49,7 @@ def as_files(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("stat_error"),
         "text",
         raw.alias("content"),
+        *keep,
     ).withColumn("path", F.concat_ws("/", "parent", "filename"))
 
 

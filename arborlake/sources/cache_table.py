@@ -3,6 +3,7 @@
 Rows lie in a Parquet table bucketed by the hash of the path, so neither the choice of the newest row
 of a path nor a probe shuffles the state: only the files to look up move, to the bucket of their path.
 Keys, validity and payload size are columns of their own, and the payload is not read unless asked for.
+Files of the table are sorted by the rows' mtime, so payloads of known times are found by Parquet's indexes.
 Whether a payload can be parsed is judged once, when it is written.
 
 ``commits`` says which writes count: each write marks its rows, and rows of a write that was not
@@ -23,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arborlake.functions.jsontext import strict_json
-from arborlake.operators.cache import last_wins, probe_keys, rows_to_keep
+from arborlake.operators.cache import last_wins, probe_keys, rows_to_keep, within
 from arborlake.operators.ordering import newest_rows
 from arborlake.options import CACHE_LIMIT_MIB, MIB
 from arborlake.schema import CACHE
@@ -52,11 +53,17 @@ class CacheTable:
         except AnalysisException:
             return self.spark.createDataFrame([], _COMMITS)
 
+    def _heads(self, batch: str = "") -> tuple[int, int, int, bool]:
+        """Number and buckets of the last snapshot, number of the last write, whether ``batch`` was applied."""
+        base, last, applied = self._commits().agg(
+            F.max(F.when(F.col("kind") == "snapshot", F.struct("number", "buckets"))),
+            F.max("number"), F.max(F.col("batch") == batch)).first()
+        return *(base or (0, self.buckets)), last or 0, bool(applied)
+
     def _live(self) -> list:
         """The last snapshot and the writes after it, oldest first; upkeep keeps this list short."""
-        commits = self._commits()
-        base = commits.agg(F.max(F.when(F.col("kind") == "snapshot", F.col("number")))).first()[0]
-        return commits.filter(F.col("number") >= (base or 0)).orderBy("number").collect()
+        base = self._heads()[0]
+        return sorted(self._commits().filter(F.col("number") >= base).collect(), key=lambda row: row["number"])
 
     def applied(self, batch: str) -> bool:
         return not self._commits().filter(F.col("batch") == batch).isEmpty()
@@ -69,17 +76,18 @@ class CacheTable:
         place = f"{self.path}/base={base}".replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self._name(base)} ({_COLUMNS}) USING parquet "
-            f"CLUSTERED BY (path) INTO {buckets} BUCKETS LOCATION '{place}'")
+            f"CLUSTERED BY (path) SORTED BY (mtime_us) INTO {buckets} BUCKETS LOCATION '{place}'")
         self.spark.catalog.refreshTable(self._name(base))
         return self._name(base)
 
     def _commit(self, rows: DataFrame, kind: str, batch: str) -> bool:
-        if self.applied(batch):
+        base, buckets, last, applied = self._heads(batch)
+        if applied:
             return False
-        live = self._live()
-        number = (self._commits().agg(F.max("number")).first()[0] or 0) + 1
-        starts = kind == "snapshot" or not live
-        base, buckets = (number, self.buckets) if starts else (live[0]["number"], live[0]["buckets"])
+        number = last + 1
+        starts = kind == "snapshot" or not last
+        if starts:
+            base, buckets = number, self.buckets
         mark = uuid.uuid4().hex
         rows.select(
             "path", "file_hash", F.col("size").cast("long"), F.col("mtime_us").cast("long"),
@@ -101,26 +109,32 @@ class CacheTable:
 
     # ---- reading
 
-    def _rows(self) -> DataFrame:
-        """All committed rows, older ones of a path too."""
-        live = self._live()
+    def _rows(self, live: list | None = None) -> DataFrame:
+        """All committed rows, older ones of a path too; of the writes ``live`` if they are known."""
+        live = self._live() if live is None else live
         if not live:
             return self.spark.createDataFrame([], _COLUMNS)
         table = self.spark.table(self._folder(live[0]["number"], live[0]["buckets"]))
         return table.filter(F.col("mark").isin([row["mark"] for row in live]))
 
-    def keys(self) -> DataFrame:
+    def keys(self, live: list | None = None) -> DataFrame:
         """``KEYS`` of the newest row of each path; payloads are not read."""
-        keys = self._rows().select(*KEYS, "number")
+        keys = self._rows(live).select(*KEYS, "number")
         return last_wins(keys, "path", F.col("number").desc()).drop("number")
 
-    def with_payloads(self, rows: DataFrame, path: str = "path") -> DataFrame:
+    def with_payloads(self, rows: DataFrame, path: str = "path", live: list | None = None,
+                      mtimes: list[tuple[int, int]] | None = None) -> DataFrame:
         """``file_info`` for rows that carry a stored path in column ``path`` and its ``mark``.
 
+        Where all of them were stored with an mtime in the ranges ``mtimes``, other payloads are not read.
+
         The state is bucketed by path alone, so the mark is compared by two inequalities: as an
         equality it would become a join key, and the payloads would be shuffled by both.
         """
-        stored = self._rows().select(
+        stored = self._rows(live)
+        if mtimes is not None:
+            stored = stored.filter(within(F.col("mtime_us"), mtimes))
+        stored = stored.select(
             F.col("path").alias("_stored"), F.col("mark").alias("_write"), "file_info")
         same = (F.col(path) == F.col("_stored")) & (F.col("mark") <= F.col("_write")) & (
             F.col("mark") >= F.col("_write"))
@@ -131,9 +145,12 @@ class CacheTable:
         columns = [c.split(" ")[0] for c in CACHE.split(", ")]
         return self.with_payloads(self.keys()).select(*columns)
 
-    def below(self, root: str) -> RootedCache:
-        """The state of one tree, whose files have paths relative to ``root``."""
-        return RootedCache(self, root)
+    def below(self, root: str, mtimes: list[tuple[int, int]] | None = None) -> RootedCache:
+        """The state of one tree, whose files have paths relative to ``root``.
+
+        ``mtimes`` may give ranges that hold every mtime it is probed with (``operators.cache.spans``).
+        """
+        return RootedCache(self, root, mtimes)
 
     # ---- upkeep
 
@@ -161,9 +178,24 @@ class CacheTable:
         newest = newest_rows(keys.select("mtime_us", "path"), keep).select("path")
         return self.replace(self.with_payloads(keys.join(newest, "path", "left_semi")), batch)
 
-    def compact_beyond(self, writes: int, batch: str) -> bool:
-        """New snapshot once more than ``writes`` of them have to be merged to read the state."""
-        return len(self._live()) > writes and self.replace(self.read(), batch)
+    def compact_beyond(self, writes: int, batch: str, doubled: bool = False) -> bool:
+        """New snapshot once more than ``writes`` of them have to be merged to read the state.
+
+        With ``doubled`` only if the writes after the last snapshot have as many rows as it, looked up once
+        in ``writes`` of them: all snapshots together then stay in proportion to the rows written.
+        """
+        base, _, last, _ = self._heads()
+        if last - base + bool(last) <= writes:  # numbers have no gaps
+            return False
+        if doubled:
+            if (last - base) % max(writes, 1):
+                return False
+            live = self._live()
+            old = F.col("mark") == live[0]["mark"]
+            before, after = self._rows(live).agg(F.count_if(old), F.count_if(~old)).first()
+            if after < before:
+                return False
+        return self.replace(self.read(), batch)
 
     def vacuum(self) -> int:
         """Delete the folders before the last snapshot and say how many.
@@ -198,13 +230,22 @@ def _lead(root: str) -> str:
 
 
 class RootedCache:
-    """Probes with relative paths. Several trees share a table, as stored paths are full ones."""
+    """Probes with relative paths. Several trees share a table, as stored paths are full ones.
+
+    All probes see the writes that were there at the first one, or at the last ``upsert`` from here.
+    """
+
+    def __init__(self, table: CacheTable, root: str, mtimes: list[tuple[int, int]] | None = None):
+        self.table, self.root, self.mtimes = table, root, mtimes
+        self._live: list | None = None
 
-    def __init__(self, table: CacheTable, root: str):
-        self.table, self.root = table, root
+    def _writes(self) -> list:
+        if self._live is None:
+            self._live = self.table._live()
+        return self._live
 
     def _probed(self, files: DataFrame, validate: str, how: str, *columns: Column) -> DataFrame:
-        keys = self.table.keys().filter("valid").select(
+        keys = self.table.keys(self._writes()).filter("valid").select(
             *[F.col(k).alias(f"_{k}") for k in probe_keys(validate)], *columns)
         moved = files.withColumn("_full", F.concat(F.lit(_lead(self.root)), "path"))
         same = F.col("_full") == F.col("_path")
@@ -217,7 +258,8 @@ class RootedCache:
         """Files with a valid stored result for the same size and mtime, and that result."""
         stored = [c for c in ("file_hash",) if c not in files.columns]
         found = self._probed(files, validate, "inner", F.col("mark"), *[F.col(c) for c in stored])
-        return self.table.with_payloads(found, "_full").select(*files.columns, *stored, "file_info")
+        return self.table.with_payloads(found, "_full", self._writes(), self.mtimes).select(
+            *files.columns, *stored, "file_info")
 
     def misses(self, files: DataFrame, validate: str = "stat") -> DataFrame:
         """Files to process: unknown, changed, or with an unreadable stored result."""
@@ -225,4 +267,5 @@ class RootedCache:
 
     def upsert(self, rows: DataFrame, batch: str) -> bool:
         """Add rows whose paths are relative to the root."""
+        self._live = None
         return self.table.upsert(rows.withColumn("path", F.concat(F.lit(_lead(self.root)), "path")), batch)

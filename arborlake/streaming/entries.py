@@ -230,19 +230,23 @@ def reanalyse(
     """Incremental analysis: unchanged files come from the state, the others are read and kept.
 
     Per batch: probe, analyse the misses, write the batch's entries, then add the new results
-    to the state under the batch id. A repeated batch overwrites its own output and is not
-    applied twice. ``root`` is the full path that the files' paths are relative to; trees
+    to the state under the batch id, if there are any. A repeated batch overwrites its own output and is not
+    applied twice. Payloads are read for the mtimes of a batch only, and the state is compacted once more than
+    ``compact_beyond`` writes have doubled it, so neither grows with the batches before; its keys are
+    read whole. ``root`` is the full path that the files' paths are relative to; trees
     that share a state table need it.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         # metadata only, and written once: listing a tree again could give other rows
         listed = materialise(latest_of_batch(batch), "listed")
-        result = analyse_incremental(listed, state.below(root), options, load_content)
+        stored = state.below(root, cache.spans(listed, "mtime_us"))
+        result = analyse_incremental(listed, stored, options, load_content)
         target = f"{path}/batch={batch_id}"
         result.entries.write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.schema(result.entries.schema).parquet(target)
-        state.below(root).upsert(stored_form(written.filter("NOT from_state")), f"{checkpoint}:{batch_id}")
-        state.compact_beyond(compact_beyond, f"{checkpoint}:{batch_id}:compact")
+        fresh = stored_form(written.filter("NOT from_state"))
+        if not fresh.isEmpty() and stored.upsert(fresh, f"{checkpoint}:{batch_id}"):
+            state.compact_beyond(compact_beyond, f"{checkpoint}:{batch_id}:compact", doubled=True)
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint)

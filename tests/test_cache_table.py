@@ -1,8 +1,11 @@
 """The state as a bucketed table: commits, probes that leave payloads alone, upkeep."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from arborlake.operators.cache import spans
 from arborlake.schema import CACHE
 from arborlake.session import folders, new_work_path
 from arborlake.sources.cache_table import CacheTable
@@ -93,6 +96,31 @@ def test_probes_shuffle_files_only(spark, state):
         spark.conf.set(threshold, before)
 
 
+def test_snapshots_stay_in_proportion_to_the_rows_written(spark, state):
+    for i in range(1, 14):
+        state.upsert(rows(spark, [row(f"p{i}", f"[{i}]", mtime=i)]), str(i))
+        state.compact_beyond(2, f"{i}:compact", doubled=True)
+    snapshots = [r["batch"] for r in state._commits().filter("kind = 'snapshot'").collect()]
+    assert sorted(snapshots, key=lambda b: int(b.split(":")[0])) == ["1", "3:compact", "7:compact"]
+    assert current(state) == {f"p{i}": f"[{i}]" for i in range(1, 14)}
+
+
+def test_payloads_are_looked_up_by_mtime(spark, state):
+    state.upsert(rows(spark, [row(f"p{i}", f"[{i}]", mtime=10 * i) for i in range(50)]), "1")
+    state.upsert(rows(spark, [row("p7", "[70]", mtime=71)]), "2")
+    now = files(spark, [(f"p{i}", 1, 10 * i) for i in (0, 1, 2, 7, 40)] + [("q", 1, None)])
+    ranges = spans(now, "mtime_us")
+    assert ranges == [(0, 20), (70, 70), (400, 400)] and spans(now.filter("path = 'q'"), "mtime_us") == []
+    below = state.below("", ranges)
+    plan = below.hits(now)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"mtime_us#\d+L <= 20\)", plan)
+    assert {r["path"]: r["file_info"] for r in below.hits(now).collect()} == {
+        "p0": "[0]", "p1": "[1]", "p2": "[2]", "p40": "[40]"}  # p7 was stored anew with another mtime
+    assert below.misses(now).count() == 2
+    below.upsert(rows(spark, [row("q", "[9]", mtime=20)]), "3")
+    assert [r["file_info"] for r in below.hits(files(spark, [("q", 1, 20)])).collect()] == ["[9]"]
+
+
 def test_upkeep(spark, state):
     state.below("/x").upsert(rows(spark, [row(f"p{i}", "x" * 10, mtime=i) for i in range(40)]), "1")
     state.below("/y").upsert(rows(spark, [row(f"p{i}", "x" * 10, mtime=100 + i) for i in range(10)]), "2")

@@ -10,6 +10,7 @@ from arborlake.operators import analysis
 from arborlake.options import ScanOptions
 from arborlake.plans import views
 from arborlake.plans.analysis import analyse
+from arborlake.plans.catalog.streams import content_loader
 from arborlake.schema import LOGS
 from arborlake.session import new_work_path
 from arborlake.sources import content, filetree, listing
@@ -141,6 +142,49 @@ def test_reanalysis_reuses_state(spark, work, tmp_path):
     assert state.read().count() == 3
 
 
+def test_reanalysis_without_changes_leaves_the_state_alone(spark, work, tmp_path):
+    for i in range(6):
+        (tmp_path / f"f{i}.txt").write_text(f"content of {i}")
+    listing.extend(spark, str(tmp_path), OPTIONS, f"{work}/listing", max_files=2, settle_seconds=0)
+    state = CacheTable(spark, f"{work}/state", buckets=2)
+
+    def run(turn):
+        finish(streams.reanalyse(
+            listing.stream(spark, f"{work}/listing"), state, OPTIONS,
+            lambda files: content.with_content(files, OPTIONS), f"{work}/{turn}", f"{work}/cp-{turn}", compact_beyond=2))
+        found = spark.read.parquet(f"{work}/{turn}")
+        return sorted(map(tuple, found.select("path", "content", "hash").collect())), found.filter("from_state").count()
+
+    first, reused = run("one")
+    writes = state._commits().count()
+    assert len(first) == 6 and reused == 0
+    assert run("two") == (first, 6) and state._commits().count() == writes
+
+
+def test_documents_are_read_from_the_files_of_a_batch(spark, work):
+    """Texts come from the files that the rows name, and from those with copies of them, not from others."""
+    def write(name, rows):
+        spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING").coalesce(1).write.parquet(
+            f"{work}/{name}")
+        spark.read.parquet(f"{work}/{name}").coalesce(1).write.mode("append").parquet(f"{work}/documents.parquet")
+
+    write("a", [(1, "one", "en", "s"), (2, "two", "en", None), (None, "no id", "en", "s")])
+    write("b", [(3, "three", "en", "s"), (1, "one", "en", "s")])
+    write("c", [(4, "four", "en", "s")])
+    load = content_loader(spark, work)
+    files = views.as_files(
+        views.table(spark, work, "documents"), F.col("_metadata.file_path").alias("place")).drop("text", "content")
+    listed = files.localCheckpoint()
+    other = listed.filter("doc_id = 4").first()["place"]
+    with open(other.removeprefix("file:"), "r+b") as damaged:
+        damaged.write(b"none")
+    found = load(listed.filter("place <> '" + other + "' AND (doc_id IS NULL OR doc_id < 3)"))
+    got = sorted((r["doc_id"] or 0, bytes(r["content"]).decode()) for r in found.collect())
+    # document 1 is listed twice, and each has the texts of both files
+    assert got == [(0, "no id")] + [(1, "one")] * 4 + [(2, "two")]
+    assert load(listed.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("place", ["output", "rows", "commit"])
 def test_reanalysis_recovers_inside_a_batch(spark, work, tmp_path, monkeypatch, place):
     """A run that dies behind the output, the state's rows or their commit ends like an undisturbed one."""
